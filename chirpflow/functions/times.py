@@ -53,4 +53,4 @@ def archive_date_key(created_at) -> Column:
 
 def parse_archive_date_key(key) -> Column:
     """'Jan052020' -> DATE; null for 'UnknownDate' or anything unparsable."""
-    return F.try_to_date(_col(key), F.lit(ARCHIVE_DATE_KEY_FORMAT))
+    return F.try_to_date(_col(key), ARCHIVE_DATE_KEY_FORMAT)

@@ -112,3 +112,116 @@ select month, word, cast(prev_count as bigint) as prev_count, cast(cur_count as
        round(cur_count / prev_count, 2) as ratio
 from pairs where prev_count > 0 and cur_count >= prev_count * 5
 """
+
+ARCHIVE = """
+arch_base as (
+  select c.conv_id, c.turn, c.role, c.text, o.o_orderdate, c.turn as pos
+  from conversations c left join orders o on o.o_orderkey = c.conv_id
+  union all
+  select c.conv_id, c.turn, c.role, c.text || ' (edited)', o.o_orderdate, c.turn + 100
+  from conversations c left join orders o on o.o_orderkey = c.conv_id
+  where c.role = 'assistant' and c.turn = 1
+),
+archive as (
+  select cast(conv_id as varchar) as account_id, cast(pos as bigint) as pos, role = 'system' as retweeted,
+         cast(conv_id * 100 + turn as varchar) as id, text as full_text,
+         case when conv_id % 10 = 3 then ''
+              when conv_id % 10 = 7 then strftime(o_orderdate, '%b %Y')
+              else strftime(o_orderdate + to_days(cast(turn as integer)), '%a %b %d %H:%M:%S +0000 %Y')
+         end as created_at,
+         case when turn % 3 <> 0 then (case when turn = 4 then 'other' else cast(conv_id as varchar) end)
+         end as in_reply_to_user_id,
+         case when turn % 3 <> 0 then cast(case when turn = 1 and conv_id % 2 = 0 then conv_id * 100 + 99
+                                                else conv_id * 100 + turn - 1 end as varchar)
+         end as in_reply_to_status_id
+  from arch_base
+),
+tw as (select * from archive where not retweeted),
+ids as (select distinct account_id, id from tw),
+last_reply as (
+  select account_id, id, in_reply_to_status_id as parent,
+         row_number() over (partition by account_id, id order by pos desc) as rn
+  from tw where in_reply_to_user_id = account_id
+)"""
+
+
+def _roots_sql(in_archive: bool) -> str:
+    keep = (
+        "and exists (select 1 from ids i where i.account_id = l.account_id and i.id = l.parent)"
+        if in_archive else ""
+    )
+    return f"""
+edges as (select account_id, id, parent from last_reply l where rn = 1 and parent is not null {keep}),
+walk(account_id, id, cur, depth) as (
+  select account_id, id, id, 0 from ids
+  union all
+  select w.account_id, w.id, e.parent, w.depth + 1
+  from walk w join edges e on e.account_id = w.account_id and e.id = w.cur
+),
+roots as (select account_id, id, arg_max(cur, depth) as root_id, false as is_cycle from walk group by account_id, id)"""
+
+
+ORACLES["dedup_last"] = f"""
+with {ARCHIVE}
+select account_id, id, pos, full_text from (
+  select *, row_number() over (partition by account_id, id order by pos desc) as rn from tw
+) where rn = 1
+"""
+
+ORACLES["thread_roots_in_archive"] = f"""
+with recursive {ARCHIVE}, {_roots_sql(True)}
+select * from roots
+"""
+
+ORACLES["thread_roots_dangling"] = f"""
+with recursive {ARCHIVE}, {_roots_sql(False)}
+select * from roots
+"""
+
+ORACLES["thread_text"] = f"""
+with recursive {ARCHIVE}, {_roots_sql(True)}
+select r.account_id, r.root_id, string_agg(t.full_text, ' ' order by t.pos) as text, count(*) as n_posts
+from tw t join roots r on r.account_id = t.account_id and r.id = t.id
+group by r.account_id, r.root_id
+"""
+
+THREAD_WORDS = f"""
+threads as (
+  select r.account_id, r.root_id, string_agg(t.full_text, ' ' order by t.pos) as text
+  from tw t join roots r on r.account_id = t.account_id and r.id = t.id
+  group by r.account_id, r.root_id
+),
+root_tweet as (
+  select account_id, id, created_at from (
+    select *, row_number() over (partition by account_id, id order by pos desc) as rn from tw) where rn = 1
+),
+dated as (
+  select th.text, list_filter(regexp_split_to_array(trim(rt.created_at), '\\s+'), lambda x: x <> '') as parts
+  from threads th join root_tweet rt on rt.account_id = th.account_id and rt.id = th.root_id
+  where rt.created_at is not null and rt.created_at <> ''
+),
+keyed as (
+  select text, case when len(parts) < 6 then 'UnknownDate' else parts[2] || parts[3] || parts[6] end as date_key
+  from dated
+),
+words as (
+  select date_key,
+         unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), 'http\\S+|[^a-z\\s]', '', 'g'), '\\s+'),
+                            lambda x: x <> '')) as word
+  from keyed
+),
+counts as (
+  select word, date_key, cast(try_strptime(date_key, '%b%d%Y') as date) as date, count(*) as n
+  from words where word not in ('the', 'and', 'of', 'in', 'to', 'a', 'is', 'on', 'that', 'don''t')
+  group by word, date_key
+)"""
+
+ORACLES["thread_word_by_date"] = f"""
+with recursive {ARCHIVE}, {_roots_sql(True)}, {THREAD_WORDS}
+select * from counts
+"""
+
+ORACLES["word_series"] = f"""
+with recursive {ARCHIVE}, {_roots_sql(True)}, {THREAD_WORDS}
+select date, cast(sum(n) as bigint) as n from counts where word = 'ertion' and date is not null group by date
+"""

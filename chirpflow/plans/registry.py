@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chirpflow.operators import clean, trends
+from chirpflow.operators import clean, threads, trends
 from chirpflow.sources import fixtures as fx
 
 # --- Fixed values: parameters of the registered queries ---
@@ -80,3 +80,45 @@ def q_monthly_top_words(spark, sf_dir):
 def q_word_spikes(spark, sf_dir):
     top = trends.top_words(fx.posts(spark, sf_dir), top_n=TOP_WORDS)
     return trends.word_spikes(top, factor=SPIKE_FACTOR)
+
+
+# ---- reply threads ---------------------------------------------------------
+
+THREAD_WORD = "ertion"       # a cleaned word frequent in the generated conversations
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.exclude_retweets(fx.archive_tweets(spark, sf_dir))
+
+
+@register("dedup_last")
+def q_dedup_last(spark, sf_dir):
+    return threads.dedup_last(archive(spark, sf_dir)).select("account_id", "id", "pos", "full_text")
+
+
+@register("thread_roots_in_archive")
+def q_thread_roots_in_archive(spark, sf_dir):
+    return threads.thread_roots(archive(spark, sf_dir), in_archive=True)
+
+
+@register("thread_roots_dangling")
+def q_thread_roots_dangling(spark, sf_dir):
+    return threads.thread_roots(archive(spark, sf_dir), in_archive=False)
+
+
+@register("thread_text")
+def q_thread_text(spark, sf_dir):
+    tw = archive(spark, sf_dir)
+    return threads.thread_text(tw, threads.thread_roots(tw, in_archive=True))
+
+
+@register("thread_word_by_date")
+def q_thread_word_by_date(spark, sf_dir):
+    tw = archive(spark, sf_dir)
+    roots = threads.thread_roots(tw, in_archive=True)
+    return threads.thread_word_counts(tw, roots, fx.stopwords(spark))
+
+
+@register("word_series")
+def q_word_series(spark, sf_dir):
+    return threads.word_series(q_thread_word_by_date(spark, sf_dir), THREAD_WORD)
