@@ -225,3 +225,170 @@ ORACLES["word_series"] = f"""
 with recursive {ARCHIVE}, {_roots_sql(True)}, {THREAD_WORDS}
 select date, cast(sum(n) as bigint) as n from counts where word = 'ertion' and date is not null group by date
 """
+
+# ---- vectors and search ------------------------------------------------------
+
+VECS = """
+vecs as (select vec_id, cast(embedding as double[]) as emb, label from embeddings),
+cells as (
+  select label, i, avg(v) as m
+  from (select label, unnest(emb) as v, generate_subscripts(emb, 1) as i from vecs)
+  group by label, i
+),
+cent as (select label as query_id, list(m order by i) as qv from cells group by label),
+corpus as (
+  select p.*, cast(e.embedding as double[]) as emb
+  from posts p join embeddings e on cast(p.tweet_id as bigint) = e.vec_id
+)"""
+
+RESULT_COLS = """
+  h.query_id, cast(h.rank as integer) as rank, round(h.score, 6) as score, c.username,
+  strftime(c.created_at, '%Y-%m-%d') as date, c.retweet_count, c.favorite_count,
+  case when length(c.full_text) > 150 then left(c.full_text, 150) || '...' else c.full_text end as snippet,
+  c.tweet_id"""
+
+ORACLES["cosine_topk"] = f"""
+with {VECS},
+mean as (
+  select 0 as query_id, list(m order by i) as qv from (
+    select i, avg(v) as m from (select unnest(emb) as v, generate_subscripts(emb, 1) as i from vecs) group by i)
+),
+s as (select q.query_id, v.vec_id, list_cosine_similarity(v.emb, q.qv) as score from vecs v, mean q),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, round(score, 6) as score from r where rank <= 10
+"""
+
+ORACLES["cosine_topk_batch"] = f"""
+with {VECS},
+s as (select q.query_id, v.vec_id, list_cosine_similarity(v.emb, q.qv) as score from vecs v, cent q),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, round(score, 6) as score from r where rank <= 10
+"""
+
+ORACLES["knn_search"] = f"""
+with {POSTS}, {VECS},
+s as (select q.query_id, c.tweet_id, 1.0 / (1.0 + pow(list_distance(c.emb, q.qv), 2)) as score from corpus c, cent q),
+h as (select *, row_number() over (partition by query_id order by round(score, 9) desc, tweet_id) as rank from s)
+select {RESULT_COLS}
+from h join posts c on c.tweet_id = h.tweet_id where h.rank <= 5
+"""
+
+ORACLES["knn_by_date"] = f"""
+with {POSTS}, {VECS},
+s as (select q.query_id, c.tweet_id, 1.0 / (1.0 + pow(list_distance(c.emb, q.qv), 2)) as score from corpus c, cent q),
+k as (select * from (
+        select *, row_number() over (partition by query_id order by round(score, 9) desc, tweet_id) as krank from s)
+      where krank <= 10),
+h as (select k.query_id, k.tweet_id, k.score,
+             row_number() over (partition by k.query_id
+                                order by p.created_at desc nulls last, round(k.score, 9) desc, k.tweet_id) as rank
+      from k join posts p on p.tweet_id = k.tweet_id)
+select {RESULT_COLS}
+from h join posts c on c.tweet_id = h.tweet_id where h.rank <= 5
+"""
+
+CLEAN = """
+clean as (
+  select tweet_id, account_id, created_at, username, retweet_count, favorite_count,
+         case when length(stripped) > 10000 then left(stripped, 10000) else full_text end as full_text
+  from (select *, regexp_replace(full_text, '^\\s+|\\s+$', '', 'g') as stripped from posts)
+  where full_text is not null and stripped <> ''
+),
+qtext as (select * from (values (1, 'the and of'), (2, 'in'), (3, 'zzzz')) t(query_id, query_text))"""
+
+HASHED = f"""
+doc_buckets as (
+  select tweet_id, bucket, count(*) as c from (
+    select tweet_id, cast(('0x' || left(md5(tok), 8))::bigint % 64 as integer) as bucket
+    from (select tweet_id, unnest(regexp_extract_all(lower(full_text), '{TOKEN}')) as tok from clean))
+  group by tweet_id, bucket
+),
+dv as (select tweet_id, bucket, cast(c / sqrt(sum(c * c) over (partition by tweet_id)) as float) as w
+       from doc_buckets),
+q_buckets as (
+  select query_id, bucket, count(*) as c from (
+    select query_id, cast(('0x' || left(md5(tok), 8))::bigint % 64 as integer) as bucket
+    from (select query_id, unnest(regexp_extract_all(lower(query_text), '{TOKEN}')) as tok from qtext))
+  group by query_id, bucket
+),
+qv as (select query_id, bucket, cast(c / sqrt(sum(c * c) over (partition by query_id)) as float) as w
+       from q_buckets),
+dn as (select c.tweet_id, coalesce(sum(cast(dv.w as double) * cast(dv.w as double)), 0) as dd
+       from clean c left join dv on dv.tweet_id = c.tweet_id group by c.tweet_id),
+qn as (select q.query_id, coalesce(sum(cast(qv.w as double) * cast(qv.w as double)), 0) as qq
+       from qtext q left join qv on qv.query_id = q.query_id group by q.query_id),
+dots as (select qv.query_id, dv.tweet_id, sum(cast(qv.w as double) * cast(dv.w as double)) as dot
+         from qv join dv on dv.bucket = qv.bucket group by qv.query_id, dv.tweet_id),
+knn_all as (
+  select qn.query_id, dn.tweet_id,
+         1.0 / (1.0 + greatest(dn.dd + qn.qq - 2 * coalesce(dots.dot, 0), 0)) as score
+  from qn cross join dn left join dots on dots.query_id = qn.query_id and dots.tweet_id = dn.tweet_id
+),
+knn_ranked as (
+  select *, row_number() over (partition by query_id order by round(score, 9) desc, tweet_id) as rank
+  from knn_all
+)"""
+
+BM25 = f"""
+docs as (select tweet_id, regexp_extract_all(lower(full_text), '{STANDARD}') as toks from clean),
+stats as (select count(*) as n, avg(len(toks)) as avgdl from docs),
+qt as (select query_id, term, count(*) as qtf from (
+         select query_id, unnest(regexp_extract_all(lower(query_text), '{STANDARD}')) as term from qtext)
+       group by query_id, term),
+tf as (select tweet_id, dl, term, count(*) as tf from (
+         select tweet_id, len(toks) as dl, unnest(toks) as term from docs)
+       where term in (select term from qt) group by tweet_id, dl, term),
+dfq as (select term, count(*) as df from tf group by term),
+bm25_all as (
+  select qt.query_id, tf.tweet_id,
+         sum(qt.qtf * ln(1 + (stats.n - dfq.df + 0.5) / (dfq.df + 0.5))
+             * tf.tf / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * tf.dl / stats.avgdl))) as score
+  from tf join dfq on dfq.term = tf.term join qt on qt.term = tf.term cross join stats
+  group by qt.query_id, tf.tweet_id
+),
+bm25_ranked as (
+  select *, row_number() over (partition by query_id order by round(score, 9) desc, tweet_id) as rank
+  from bm25_all
+)"""
+
+HYBRID = """
+fused as (
+  select coalesce(k.query_id, b.query_id) as query_id, coalesce(k.tweet_id, b.tweet_id) as tweet_id,
+         coalesce(k.score, 0) as knn_score, coalesce(b.score, 0) as text_score,
+         coalesce(k.score, 0) + 0.3 * coalesce(b.score, 0) as score
+  from (select * from knn_ranked where rank <= 10) k
+  full outer join (select * from bm25_ranked where rank <= 10) b
+    on k.query_id = b.query_id and k.tweet_id = b.tweet_id
+),
+hybrid_ranked as (
+  select *, row_number() over (partition by query_id order by round(score, 9) desc, tweet_id) as rank
+  from fused
+)"""
+
+ORACLES["embed_posts"] = f"""
+with {POSTS}, {CLEAN}, {HASHED}
+select tweet_id, bucket, round(cast(w as double), 6) as weight from dv
+"""
+
+ORACLES["knn_text"] = f"""
+with {POSTS}, {CLEAN}, {HASHED}
+select query_id, cast(rank as integer) as rank, tweet_id, round(score, 6) as score from knn_ranked where rank <= 5
+"""
+
+ORACLES["bm25_match"] = f"""
+with {POSTS}, {CLEAN}, {BM25}
+select query_id, cast(rank as integer) as rank, tweet_id, round(score, 6) as score from bm25_ranked where rank <= 10
+"""
+
+ORACLES["hybrid_search"] = f"""
+with {POSTS}, {CLEAN}, {HASHED}, {BM25}, {HYBRID}
+select query_id, cast(rank as integer) as rank, tweet_id, round(score, 6) as score,
+       round(knn_score, 6) as knn_score, round(text_score, 6) as text_score
+from hybrid_ranked where rank <= 5
+"""
+
+ORACLES["search_results"] = f"""
+with {POSTS}, {CLEAN}, {HASHED}, {BM25}, {HYBRID}
+select {RESULT_COLS}
+from (select * from hybrid_ranked where rank <= 5) h join clean c on c.tweet_id = h.tweet_id
+"""

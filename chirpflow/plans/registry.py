@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chirpflow.operators import clean, threads, trends
+from chirpflow.operators import clean, embed, search, threads, trends
 from chirpflow.sources import fixtures as fx
 
 # --- Fixed values: parameters of the registered queries ---
@@ -122,3 +123,92 @@ def q_thread_word_by_date(spark, sf_dir):
 @register("word_series")
 def q_word_series(spark, sf_dir):
     return threads.word_series(q_thread_word_by_date(spark, sf_dir), THREAD_WORD)
+
+
+# ---- vectors and search ------------------------------------------------------
+
+HASH_DIM = 64                # stand-in encoder width (the driver's vectors are 64-d)
+SCORE_DECIMALS = 6
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.round(c, SCORE_DECIMALS))
+    return df
+
+
+def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned posts embedded with the stand-in encoder (the embed pipeline's output)."""
+    p = clean.clean_posts(fx.posts(spark, sf_dir))
+    return embed.embed(p, embed.hashing_encoder(HASH_DIM))
+
+
+def text_query_table(spark: SparkSession) -> DataFrame:
+    return search.embed_queries(fx.text_queries(spark), embed.hashing_encoder(HASH_DIM))
+
+
+@register("cosine_topk")
+def q_cosine_topk(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    hits = search.vector_topk(v, fx.centroid_queries(v, by=None), k=10, metric="cosine",
+                              id_col="vec_id", vec_col="embedding")
+    return _rounded(hits.withColumnRenamed("id", "vec_id"), "score")
+
+
+@register("cosine_topk_batch")
+def q_cosine_topk_batch(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    hits = search.vector_topk(v, fx.centroid_queries(v, by="label"), k=10, metric="cosine",
+                              id_col="vec_id", vec_col="embedding")
+    return _rounded(hits.withColumnRenamed("id", "vec_id"), "score")
+
+
+def _vector_corpus_queries(spark, sf_dir):
+    corpus = fx.vector_corpus(spark, sf_dir)
+    return corpus, fx.centroid_queries(fx.vectors(spark, sf_dir), by="label")
+
+
+@register("knn_search")
+def q_knn_search(spark, sf_dir):
+    corpus, queries = _vector_corpus_queries(spark, sf_dir)
+    hits = search.knn(corpus, queries, k=10, size=5, metric="l2")
+    return _rounded(search.result_rows(hits, corpus), "score")
+
+
+@register("knn_by_date")
+def q_knn_by_date(spark, sf_dir):
+    corpus, queries = _vector_corpus_queries(spark, sf_dir)
+    hits = search.knn_by_date(corpus, queries, k=10, size=5, metric="l2")
+    return _rounded(search.result_rows(hits, corpus), "score")
+
+
+@register("embed_posts")
+def q_embed_posts(spark, sf_dir):
+    e = embed.vector_entries(text_corpus(spark, sf_dir), "tweet_id")
+    return e.select("tweet_id", "bucket", F.round(F.col("weight").cast("double"), SCORE_DECIMALS).alias("weight"))
+
+
+@register("knn_text")
+def q_knn_text(spark, sf_dir):
+    hits = search.knn(text_corpus(spark, sf_dir), text_query_table(spark), k=10, size=5, metric="l2")
+    return _rounded(hits.withColumnRenamed("id", "tweet_id"), "score")
+
+
+@register("bm25_match")
+def q_bm25_match(spark, sf_dir):
+    corpus = clean.clean_posts(fx.posts(spark, sf_dir))
+    hits = search.bm25(corpus, fx.text_queries(spark), size=10)
+    return _rounded(hits.withColumnRenamed("id", "tweet_id"), "score")
+
+
+@register("hybrid_search")
+def q_hybrid_search(spark, sf_dir):
+    hits = search.hybrid(text_corpus(spark, sf_dir), text_query_table(spark), k=10, size=5)
+    return _rounded(hits.withColumnRenamed("id", "tweet_id"), "score", "knn_score", "text_score")
+
+
+@register("search_results")
+def q_search_results(spark, sf_dir):
+    rows = search.search(text_corpus(spark, sf_dir), fx.text_queries(spark), mode="hybrid",
+                         size=5, k=10, encoder=embed.hashing_encoder(HASH_DIM))
+    return _rounded(rows, "score")

@@ -161,3 +161,21 @@ STOPWORDS = ["the", "and", "of", "in", "to", "a", "is", "on", "that", "don't"]
 
 def stopwords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
+
+
+def centroid_queries(vecs: DataFrame, by: str | None = "label", vec_col: str = "embedding") -> DataFrame:
+    """Query vectors derived from the corpus: the mean vector per ``by`` value
+    (or of the whole corpus when ``by`` is None) -> (query_id, query_vector).
+
+    Element-wise means via posexplode + a hash aggregate (partial aggregation
+    keeps the shuffle at groups x dim rows per task).
+    """
+    key = F.col(by) if by else F.lit(0)
+    cells = (
+        vecs.select(key.alias("query_id"), F.posexplode(vec_col).alias("i", "v"))
+        .groupBy("query_id", "i")
+        .agg(F.avg("v").alias("m"))
+    )
+    return cells.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("query_vector")
+    )
