@@ -19,7 +19,8 @@ posts as (
   select cast(d.doc_id as varchar) as tweet_id, cast(o.o_custkey as varchar) as account_id,
          o.o_orderdate as created_at, d.text as full_text,
          cast(d.n_chars % 100 as integer) as retweet_count, cast(d.n_chars % 37 as integer) as favorite_count,
-         d.source as username, d.lang as lang
+         cast(null as varchar) as reply_to_tweet_id, cast(null as varchar) as reply_to_user_id,
+         cast(null as varchar) as reply_to_username, d.source as username, d.lang as lang
   from documents d join orders o on d.doc_id = o.o_orderkey
 )"""
 
@@ -392,3 +393,107 @@ with {POSTS}, {CLEAN}, {HASHED}, {BM25}, {HYBRID}
 select {RESULT_COLS}
 from (select * from hybrid_ranked where rank <= 5) h join clean c on c.tweet_id = h.tweet_id
 """
+
+# ---- cleaning, profiles, ingest ---------------------------------------------
+
+ORACLES["clean_posts"] = f"""
+with {POSTS},
+dirty as (
+  select tweet_id,
+         case when cast(tweet_id as bigint) % 17 = 0 then null
+              when cast(tweet_id as bigint) % 19 = 0 then '  '
+              when cast(tweet_id as bigint) % 23 = 0 then 'NA'
+              else full_text end as full_text
+  from posts
+),
+kept as (
+  select tweet_id, case when length(stripped) > 10000 then left(stripped, 10000) else full_text end as full_text
+  from (select *, regexp_replace(full_text, '^\\s+|\\s+$', '', 'g') as stripped from dirty)
+  where full_text is not null and stripped <> ''
+)
+select tweet_id, cast(length(full_text) as bigint) as n_chars, full_text from kept
+"""
+
+_PROFILE_ROW = """
+select '{c}' as column, count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std,
+       round(min({c}), 6)::double as min, round(quantile_cont({c}, 0.25), 6) as p25,
+       round(quantile_cont({c}, 0.5), 6) as p50, round(quantile_cont({c}, 0.75), 6) as p75,
+       round(max({c}), 6)::double as max
+from posts"""
+
+ORACLES["post_profile"] = f"""
+with {POSTS}
+{_PROFILE_ROW.format(c="retweet_count")}
+union all
+{_PROFILE_ROW.format(c="favorite_count")}
+"""
+
+_POST_TYPES = [
+    ("tweet_id", "string"), ("account_id", "string"), ("created_at", "timestamp"), ("full_text", "string"),
+    ("retweet_count", "int"), ("favorite_count", "int"), ("reply_to_tweet_id", "string"),
+    ("reply_to_user_id", "string"), ("reply_to_username", "string"), ("username", "string"), ("lang", "string"),
+]
+_NULL_ROWS = "\nunion all\n".join(
+    f"select '{c}' as column, '{t}' as dtype, count({c}) as non_null from posts"
+    for c, t in _POST_TYPES
+)
+ORACLES["null_profile"] = f"""
+with {POSTS}
+{_NULL_ROWS}
+"""
+
+LINES = """
+docs as (
+  select event_id,
+         '{"tweet_id":"' || cast(event_id as varchar) || '","account_id":"' || cast(user_id as varchar)
+         || '","created_at":"'
+         || case when event_id % 7 = 0 then 'not a date' else strftime(ts, '%Y-%m-%d %H:%M:%S') || '+05:30' end
+         || '","full_text":"' || event_type || ' event' || '","retweet_count":'
+         || case when event_id % 13 = 0 then '"many"' else cast(cast(floor(value) as bigint) as varchar) end
+         || ',"favorite_count":' || cast(event_id % 50 as varchar)
+         || ',"username":"user' || cast(user_id as varchar) || '","full_text_vector":['
+         || cast(user_id as varchar) || ',' || cast(event_id % 5 as varchar)
+         || case when event_id % 17 = 0 then '' else ',1' end || ']}' as doc
+  from events
+),
+lines as (
+  select event_id as line_id, case when event_id % 11 = 0 then left(doc, length(doc) - 1) else doc end as value
+  from docs
+),
+tagged as (
+  select line_id, value,
+         case when not json_valid(value) then 'malformed'
+              when value ->> '$.retweet_count' is not null
+                   and try_cast(value ->> '$.retweet_count' as integer) is null then 'bad_retweet_count'
+              when value ->> '$.favorite_count' is not null
+                   and try_cast(value ->> '$.favorite_count' as integer) is null then 'bad_favorite_count'
+              when json_array_length(value, '$.full_text_vector') is distinct from 3 then 'bad_vector'
+         end as reject_reason
+  from lines where trim(value) <> ''
+)"""
+
+ORACLES["ingest_accept_reject"] = f"""
+with {LINES}
+select line_id, reject_reason is null as accepted, reject_reason from tagged
+"""
+
+ORACLES["reject_counts"] = f"""
+with {LINES}
+select reject_reason, count(*) as n from tagged where reject_reason is not null group by reject_reason
+"""
+
+ORACLES["created_at_normalized"] = f"""
+with {LINES},
+acc as (select line_id, value ->> '$.tweet_id' as tweet_id, value ->> '$.created_at' as s
+        from tagged where reject_reason is null),
+parts as (
+  select line_id, tweet_id,
+         try_strptime(substr(s, 1, 19), '%Y-%m-%d %H:%M:%S') as local_ts,
+         case substr(s, 20, 1) when '+' then 1 when '-' then -1 end
+           * (try_cast(substr(s, 21, 2) as integer) * 60 + try_cast(substr(s, 24, 2) as integer)) as off_min
+  from acc
+)
+select line_id, tweet_id,
+       strftime(local_ts - to_minutes(off_min), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as created_at
+from parts
+"""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirpflow.operators import clean, embed, search, threads, trends
+from chirpflow.operators import clean, embed, ingest, profile, search, threads, trends
 from chirpflow.sources import fixtures as fx
 
 # --- Fixed values: parameters of the registered queries ---
@@ -212,3 +212,49 @@ def q_search_results(spark, sf_dir):
     rows = search.search(text_corpus(spark, sf_dir), fx.text_queries(spark), mode="hybrid",
                          size=5, k=10, encoder=embed.hashing_encoder(HASH_DIM))
     return _rounded(rows, "score")
+
+
+# ---- cleaning, profiles, ingest ---------------------------------------------
+
+INGEST_DIM = 3               # vector width of the generated JSON lines
+
+
+@register("clean_posts")
+def q_clean_posts(spark, sf_dir):
+    kept = clean.clean_posts(fx.dirty_posts(spark, sf_dir))
+    return kept.select("tweet_id", F.length("full_text").cast("long").alias("n_chars"), "full_text")
+
+
+@register("post_profile")
+def q_post_profile(spark, sf_dir):
+    p = profile.profile(fx.posts(spark, sf_dir), ["retweet_count", "favorite_count"], approx=False)
+    return _rounded(p, "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+@register("null_profile")
+def q_null_profile(spark, sf_dir):
+    return profile.null_profile(fx.posts(spark, sf_dir))
+
+
+def _validated(spark, sf_dir):
+    parsed = ingest.parse_json_lines(fx.ingest_lines(spark, sf_dir))
+    return ingest.validate_posts(parsed, dim=INGEST_DIM)
+
+
+@register("ingest_accept_reject")
+def q_ingest_accept_reject(spark, sf_dir):
+    accepted, rejected = _validated(spark, sf_dir)
+    return accepted.select("line_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        rejected.select("line_id", F.lit(False).alias("accepted"), "reject_reason")
+    )
+
+
+@register("reject_counts")
+def q_reject_counts(spark, sf_dir):
+    return ingest.reject_counts(_validated(spark, sf_dir)[1])
+
+
+@register("created_at_normalized")
+def q_created_at_normalized(spark, sf_dir):
+    accepted, _ = _validated(spark, sf_dir)
+    return ingest.created_at_iso(accepted.select("line_id", "tweet_id", "created_at"))

@@ -140,7 +140,7 @@ def ingest_lines(spark: SparkSession, sf_dir: str, dim: int = 3) -> DataFrame:
         F.lit(',"username":"user'), F.col("user_id").cast("string"),
         F.lit('","full_text_vector":['), vec, F.lit("]}"),
     )
-    line = F.when(k % 11 == 0, F.expr("substring(doc, 1, length(doc) - 1)")).otherwise(F.col("doc"))
+    line = F.when(F.col("line_id") % 11 == 0, F.expr("substring(doc, 1, length(doc) - 1)")).otherwise(F.col("doc"))
     return e.select(k.alias("line_id"), doc.alias("doc")).select("line_id", line.alias("value"))
 
 
