@@ -16,8 +16,6 @@ P_TOKEN = r"[\p{L}\p{N}_]+"
 # or whitespace, then split on whitespace (Unicode-aware, so NBSP separates):
 P_CLEAN = r"(?U)http\S+|[^a-z\s]"
 P_SPACE = r"(?U)\s+"
-# Strip of leading / trailing whitespace as Python's str.strip() does:
-P_STRIP = r"(?U)^\s+|\s+$"
 # Approximation of the search server's standard analyzer:
 P_STANDARD = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"
 # Word-character class used for whole-word boundaries:
@@ -27,6 +25,9 @@ MAX_TEXT_CHARS = 10000
 SNIPPET_CHARS = 150
 # --- end of fixed values ---
 
+# Characters Python's str.strip() removes, built from the rule str.isspace().
+PY_WHITESPACE = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -81,8 +82,8 @@ def whole_word_count(text, word: str) -> Column:
 
 
 def strip(text) -> Column:
-    """Python-style strip: removes all Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(text), P_STRIP, "")
+    """Python-style strip: removes all Unicode whitespace at both ends (no regex)."""
+    return F.btrim(_col(text), F.lit(PY_WHITESPACE))
 
 
 def is_blank(text) -> Column:

@@ -10,7 +10,7 @@ from chirpflow.functions.times import parse_timestamp
 
 
 def drop_null_text(df: DataFrame, text_col: str = "full_text") -> DataFrame:
-    return df.dropna(subset=[text_col])
+    return df.where(F.col(text_col).isNotNull())  # reaches the scan as IsNotNull
 
 
 def apply_na_strings(df: DataFrame, na_strings=(), text_col: str = "full_text") -> DataFrame:
@@ -29,7 +29,7 @@ def normalize_created_at(df: DataFrame, col: str = "created_at", on_invalid: str
     if on_invalid not in ("null", "drop"):
         raise ValueError("on_invalid must be 'null' or 'drop'")
     out = df.withColumn(col, parse_timestamp(col)) if dict(df.dtypes)[col] == "string" else df
-    return out.dropna(subset=[col]) if on_invalid == "drop" else out
+    return out.where(F.col(col).isNotNull()) if on_invalid == "drop" else out
 
 
 def clean_posts(

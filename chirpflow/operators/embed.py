@@ -45,20 +45,22 @@ class HashingEncoder:
         self._cache: dict[str, int] = {}
 
     def bucket(self, token: str) -> int:
-        b = self._cache.get(token)
-        if b is None:
-            b = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % self.dim
-            if len(self._cache) < 2_000_000:
-                self._cache[token] = b
-        return b
+        return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % self.dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        cache = self._cache
         for i, t in enumerate(texts):
             if not t:
                 continue
-            for tok in self._tok.findall(t.lower()):
-                out[i, self.bucket(tok)] += 1.0
+            toks = self._tok.findall(t.lower())
+            if not toks:
+                continue
+            if len(cache) > 2_000_000:  # bound worker memory on huge vocabularies
+                cache.clear()
+            for tok in set(toks).difference(cache):
+                cache[tok] = self.bucket(tok)
+            out[i] = np.bincount(list(map(cache.__getitem__, toks)), minlength=self.dim)
         norms = np.sqrt((out * out).sum(axis=1))
         nz = norms > 0
         out[nz] /= norms[nz, None]
@@ -134,8 +136,13 @@ def encoder_of(df: DataFrame, col: str) -> str | None:
 
 
 def vector_entries(df: DataFrame, id_col: str, vec_col: str = "full_text_vector") -> DataFrame:
-    """Non-zero vector entries in long form -> (id, bucket, weight)."""
+    """Non-zero vector entries in long form -> (id, bucket, weight).
+
+    ``posexplode_outer``: a plain posexplode makes Catalyst infer a
+    ``size(vector) > 0`` filter and push it below the exchange, which would run
+    the encoder twice; the weight filter drops the empty rows instead.
+    """
     return (
-        df.select(F.col(id_col), F.posexplode(vec_col).alias("bucket", "weight"))
+        df.select(F.col(id_col), F.posexplode_outer(vec_col).alias("bucket", "weight"))
         .where(F.col("weight") != 0)
     )

@@ -41,6 +41,7 @@ RRF_K = 60
 # --- end of fixed values ---
 
 MAX_QUERY_BYTES = 64 << 20     # query matrix broadcast per pass
+MAX_QUERIES_PER_PASS = 100_000
 MAX_QUERY_TERMS = 200_000      # query vocabulary broadcast for BM25
 TIE_DECIMALS = 9               # scores equal to 1e-9 are ties, broken by id
 
@@ -52,9 +53,16 @@ def _order(score="score", id_col="id"):
 def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
     def run(batches):
         qids, Q = bc.value
+        dim = Q.shape[1]
         qn = np.sqrt((Q * Q).sum(axis=1))
         qq = qn * qn
         for pdf in batches:
+            # rows without a vector of the query dimension are skipped here, not
+            # by a Spark filter: a filter on an encoder output would be pushed
+            # below the exchange and run the encoder twice
+            ok = pdf[vec_col].map(lambda v: v is not None and len(v) == dim).to_numpy(dtype=bool)
+            if not ok.all():
+                pdf = pdf[ok]
             n = len(pdf)
             if n == 0:
                 continue
@@ -92,16 +100,28 @@ def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
     return run
 
 
-def _query_passes(queries: DataFrame, query_id_col: str, query_vec_col: str, dim: int):
-    """Split the query set into passes whose matrix fits MAX_QUERY_BYTES."""
-    n = queries.count()
-    per_pass = max(1, MAX_QUERY_BYTES // (8 * max(dim, 1)))
-    n_pass = max(1, math.ceil(n / per_pass))
+def _matrix(rows):
+    return [r[0] for r in rows], np.array([list(r[1]) for r in rows], dtype=np.float64)
+
+
+def _query_passes(queries: DataFrame, query_id_col: str, query_vec_col: str):
+    """Query matrices, each within MAX_QUERY_BYTES; a larger query set is split
+    into hash passes (every query is kept). Yields (query ids, matrix)."""
+    q = queries.select(query_id_col, query_vec_col).where(F.col(query_vec_col).isNotNull())
+    probe = q.limit(MAX_QUERIES_PER_PASS + 1).collect()
+    dim = max((len(r[1]) for r in probe), default=0)
+    if not probe or dim == 0:
+        return
+    per_pass = max(1, min(MAX_QUERIES_PER_PASS, MAX_QUERY_BYTES // (8 * dim)))
+    if len(probe) <= per_pass:
+        yield _matrix([r for r in probe if len(r[1]) == dim])
+        return
+    n_pass = math.ceil(q.count() / per_pass)
     for p in range(n_pass):
-        part = queries if n_pass == 1 else queries.where(F.pmod(F.hash(query_id_col), F.lit(n_pass)) == p)
-        rows = part.select(query_id_col, query_vec_col).collect()
+        rows = q.where(F.pmod(F.hash(query_id_col), F.lit(n_pass)) == p).collect()
+        rows = [r for r in rows if len(r[1]) == dim]
         if rows:
-            yield [r[0] for r in rows], np.array([list(r[1]) for r in rows], dtype=np.float64)
+            yield _matrix(rows)
 
 
 def vector_topk(
@@ -123,21 +143,19 @@ def vector_topk(
     if metric not in ("cosine", "l2", "dot"):
         raise ValueError("metric must be cosine, l2 or dot")
     spark = corpus.sparkSession
-    first = queries.select(F.size(query_vec_col).alias("d")).where(F.col("d") > 0).limit(1).collect()
     qid_type = queries.schema[query_id_col].dataType
     id_type = corpus.schema[id_col].dataType
     schema = StructType([
         StructField("query_id", qid_type), StructField("id", id_type), StructField("score", DoubleType()),
     ])
-    if not first:
-        empty = StructType(schema.fields + [StructField("rank", IntegerType())])
-        return spark.createDataFrame([], empty).select("query_id", "rank", "id", "score")
-    dim = first[0]["d"]
-    rows = corpus.select(id_col, vec_col).where(F.size(vec_col) == dim)
+    rows = corpus.select(id_col, vec_col)
     parts = []
-    for qids, Q in _query_passes(queries, query_id_col, query_vec_col, dim):
+    for qids, Q in _query_passes(queries, query_id_col, query_vec_col):
         bc = spark.sparkContext.broadcast((qids, Q))
         parts.append(rows.mapInPandas(_topk_fn(bc, k, metric, id_col, vec_col), schema))
+    if not parts:
+        empty = StructType(schema.fields + [StructField("rank", IntegerType())])
+        return spark.createDataFrame([], empty).select("query_id", "rank", "id", "score")
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)

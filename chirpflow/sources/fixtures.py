@@ -24,9 +24,21 @@ from chirpflow.session import read_table
 ARCHIVE_TS_FORMAT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on its join key into ``spark.sql.shuffle.partitions`` parts.
+
+    The driver writes each table as one Parquet row group, which Spark scans in
+    a single task; partitioning on the key the next join uses anyway spreads
+    the text work over every core, and at scale it is the exchange that the
+    sort-merge join on that key would plan in any case (the join reuses it).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical posts: tweet_id, account_id, created_at, full_text, counts, username, lang."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return d.join(o, d.doc_id == o.o_orderkey).select(
         F.col("doc_id").cast("string").alias("tweet_id"),
@@ -67,7 +79,7 @@ def archive_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive form; conversation ids ending in 3 have no root date and ending in 7
     a short one.
     """
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     base = c.join(o, c.conv_id == o.o_orderkey, "left")
     edited = base.where((F.col("role") == "assistant") & (F.col("turn") == 1)).select(
@@ -120,7 +132,7 @@ def ingest_lines(spark: SparkSession, sf_dir: str, dim: int = 3) -> DataFrame:
     date, every 13th a non-numeric retweet_count and every 17th a vector one
     element short of ``dim``.
     """
-    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = spread(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id")
     k = F.col("event_id")
     created = F.when(k % 7 == 0, F.lit("not a date")).otherwise(
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+05:30"))
@@ -149,9 +161,7 @@ def text_queries(spark: SparkSession) -> DataFrame:
 
     Queries are parameters; the corpus they run against is a whole table.
     """
-    return spark.createDataFrame(
-        [(1, "the and of"), (2, "in"), (3, "zzzz")], "query_id int, query_text string"
-    )
+    return literal_table(spark, [(1, "the and of"), (2, "in"), (3, "zzzz")], "query_id int, query_text string")
 
 
 # --- Fixed values: stopword list used by the thread word counts ---
@@ -160,7 +170,20 @@ STOPWORDS = ["the", "and", "of", "in", "to", "a", "is", "on", "that", "don't"]
 
 
 def stopwords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
+    return literal_table(spark, [(w,) for w in STOPWORDS], "word string")
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small literal table built in the JVM (a local relation, no Python worker)."""
+    names = [f.strip().split()[0] for f in ddl.split(",")]
+    schema = spark.createDataFrame([], ddl).schema
+
+    def lit(v):
+        return "NULL" if v is None else ("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else repr(v))
+
+    values = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
 def centroid_queries(vecs: DataFrame, by: str | None = "label", vec_col: str = "embedding") -> DataFrame:
