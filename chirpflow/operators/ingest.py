@@ -3,7 +3,7 @@ quarantine, a reject-rate guard, and the write into a fixed-schema table.
 
 Validation never drops data silently: every input line ends up either in the
 accepted table or in the quarantine with a ``reject_reason``. Counts come from
-``DataFrame.observe`` on the write itself, so the guard costs no second pass.
+``DataFrame.observe`` on the quarantine write, so the guard costs no extra pass.
 """
 
 from __future__ import annotations
@@ -49,14 +49,11 @@ def read_posts_jsonl(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def validate_posts(parsed: DataFrame, dim: int = VECTOR_DIM) -> tuple[DataFrame, DataFrame]:
-    """Split parsed records into (accepted, rejected).
+def reject_reason(dim: int = VECTOR_DIM):
+    """Column: why a parsed record is rejected (null when it is accepted).
 
-    accepted: the typed posts schema; ``created_at`` is parsed and left null
-    when unparsable (the row is kept), counts are integers, the vector is
-    ``array<float>`` of length ``dim``.
-    rejected: the raw fields plus ``reject_reason`` (first failing check of
-    malformed / bad_retweet_count / bad_favorite_count / bad_vector).
+    First failing check of malformed / bad_retweet_count / bad_favorite_count /
+    bad_vector (missing, not numbers, or not ``dim`` long).
     """
     rt, fav = F.col("retweet_count"), F.col("favorite_count")
     vec = F.transform("full_text_vector", lambda x: x.try_cast("float"))
@@ -65,23 +62,35 @@ def validate_posts(parsed: DataFrame, dim: int = VECTOR_DIM) -> tuple[DataFrame,
         | (F.size("full_text_vector") != dim)
         | F.exists(vec, lambda x: x.isNull())
     )
-    reason = (
+    return (
         F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed"))
         .when(rt.isNotNull() & rt.try_cast("int").isNull(), F.lit("bad_retweet_count"))
         .when(fav.isNotNull() & fav.try_cast("int").isNull(), F.lit("bad_favorite_count"))
         .when(bad_vec, F.lit("bad_vector"))
     )
-    tagged = parsed.withColumn("reject_reason", reason)
-    accepted = tagged.where(F.col("reject_reason").isNull()).select(
-        *[c for c in parsed.columns if c not in ("created_at", "retweet_count", "favorite_count",
-                                                   "full_text_vector", CORRUPT)],
+
+
+def typed_accepted(tagged: DataFrame) -> DataFrame:
+    """Accepted rows in the typed posts layout; ``created_at`` stays null when
+    unparsable (the row is kept)."""
+    raw = ("created_at", "retweet_count", "favorite_count", "full_text_vector", CORRUPT, "reject_reason")
+    return tagged.where(F.col("reject_reason").isNull()).select(
+        *[c for c in tagged.columns if c not in raw],
         parse_timestamp("created_at").alias("created_at"),
-        rt.try_cast("int").alias("retweet_count"),
-        fav.try_cast("int").alias("favorite_count"),
-        vec.alias("full_text_vector"),
+        F.col("retweet_count").try_cast("int").alias("retweet_count"),
+        F.col("favorite_count").try_cast("int").alias("favorite_count"),
+        F.transform("full_text_vector", lambda x: x.try_cast("float")).alias("full_text_vector"),
     )
-    rejected = tagged.where(F.col("reject_reason").isNotNull())
-    return accepted, rejected
+
+
+def validate_posts(parsed: DataFrame, dim: int = VECTOR_DIM) -> tuple[DataFrame, DataFrame]:
+    """Split parsed records into (accepted, rejected).
+
+    accepted: the typed posts schema (see ``typed_accepted``); rejected: the
+    raw fields plus ``reject_reason``.
+    """
+    tagged = parsed.withColumn("reject_reason", reject_reason(dim))
+    return typed_accepted(tagged), tagged.where(F.col("reject_reason").isNotNull())
 
 
 def reject_counts(rejected: DataFrame) -> DataFrame:
@@ -128,19 +137,23 @@ def ingest(
     max_reject_rate: float = MAX_REJECT_RATE,
     mode: str = "append",
 ) -> dict:
-    """Validate, write accepted rows and the quarantine, then apply the reject guard.
+    """Validate, quarantine the rejects, apply the reject guard, then write the table.
 
+    The quarantine write observes both the total and the reject count, so the
+    guard costs no extra pass and fails before the posts table is touched.
     Returns {'total', 'accepted', 'rejected', 'written'}; ``written`` is the
     table's row count after the write.
     """
-    accepted, rejected = validate_posts(parsed, dim)
-    obs_a, obs_r = Observation("accepted"), Observation("rejected")
-    accepted = accepted.observe(obs_a, F.count(F.lit(1)).alias("n"))
-    rejected = rejected.observe(obs_r, F.count(F.lit(1)).alias("n"))
-    rejected.write.mode("append").parquet(quarantine_path)
-    n_rej = obs_r.get["n"]
-    write_posts(accepted, table_path, mode=mode)
-    n_acc = obs_a.get["n"]
-    check_reject_rate(n_acc + n_rej, n_rej, max_reject_rate)
+    tagged = parsed.withColumn("reject_reason", reject_reason(dim))
+    obs = Observation("ingest")
+    (
+        tagged.observe(obs, F.count(F.lit(1)).alias("n"), F.count("reject_reason").alias("bad"))
+        .where(F.col("reject_reason").isNotNull())
+        .write.mode("append")
+        .parquet(quarantine_path)
+    )
+    n, bad = obs.get["n"], obs.get["bad"]
+    check_reject_rate(n, bad, max_reject_rate)
+    write_posts(typed_accepted(tagged), table_path, mode=mode)
     written = parsed.sparkSession.read.parquet(table_path).count()
-    return {"total": n_acc + n_rej, "accepted": n_acc, "rejected": n_rej, "written": written}
+    return {"total": n, "accepted": n - bad, "rejected": bad, "written": written}
