@@ -497,3 +497,6 @@ select line_id, tweet_id,
        strftime(local_ts - to_minutes(off_min), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as created_at
 from parts
 """
+
+# exact-mode cell-pruned search must equal the exhaustive answer
+ORACLES["ann_topk"] = ORACLES["cosine_topk_batch"]

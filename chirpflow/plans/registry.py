@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirpflow.operators import clean, embed, ingest, profile, search, threads, trends
+from chirpflow.operators import ann, clean, embed, ingest, profile, search, threads, trends
 from chirpflow.sources import fixtures as fx
 
 # --- Fixed values: parameters of the registered queries ---
@@ -258,3 +258,13 @@ def q_reject_counts(spark, sf_dir):
 def q_created_at_normalized(spark, sf_dir):
     accepted, _ = _validated(spark, sf_dir)
     return ingest.created_at_iso(accepted.select("line_id", "tweet_id", "created_at"))
+
+
+@register("ann_topk")
+def q_ann_topk(spark, sf_dir):
+    """Cell-pruned search (exact mode) over the embeddings table; equals cosine_topk_batch."""
+    v = fx.vectors(spark, sf_dir)
+    path = ann.build_ivf_index(v, ann.index_path(spark), n_cells=8, metric="cosine",
+                               id_col="vec_id", vec_col="embedding")
+    hits = ann.ivf_search(spark, path, fx.centroid_queries(v, by="label"), k=10, nprobe=2, exact=True)
+    return _rounded(hits.withColumnRenamed("id", "vec_id"), "score")

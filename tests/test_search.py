@@ -141,3 +141,23 @@ def test_hybrid_fuses_and_falls_back(spark):
     assert [k for k in rows if k[0] == 2] == [(2, "a")]
     for fusion in ("minmax", "rrf"):
         assert search.hybrid(c, q, k=2, size=3, fusion=fusion).count() > 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_ivf_exact_equals_exhaustive_and_approx_recall(spark, tmp_dir, metric):
+    from chirpflow.operators import ann
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(6, DIM)) * 4
+    rows = [(f"d{i:03d}", [float(x) for x in centers[i % 6] + rng.normal(size=DIM)]) for i in range(240)]
+    rows.append(("zero", [0.0] * DIM))
+    c = spark.createDataFrame(rows, "tweet_id string, full_text_vector array<float>")
+    q = queries(spark, n=5)
+    path = ann.build_ivf_index(c, tmp_dir + "/ivf", n_cells=6, metric=metric)
+    exact = sorted((r.query_id, r.rank, r.id) for r in search.vector_topk(c, q, 10, metric).collect())
+    pruned = sorted((r.query_id, r.rank, r.id) for r in ann.ivf_search(spark, path, q, k=10, nprobe=1).collect())
+    assert pruned == exact
+    approx = ann.ivf_search(spark, path, q, k=10, nprobe=2, exact=False).collect()
+    want = {(a, i) for a, _, i in exact}
+    recall = len(want & {(r.query_id, r.id) for r in approx}) / len(want)
+    assert recall >= 0.5
