@@ -65,3 +65,26 @@ def test_jsonl_file_and_stream(spark, tmp_dir):
     q.awaitTermination(120)
     assert spark.read.parquet(os.path.join(tmp_dir, "t")).count() == 2
     assert spark.read.parquet(os.path.join(tmp_dir, "q")).count() == 1
+
+
+def test_embed_ingest_search_jobs(spark, tmp_dir):
+    from chirpflow.operators.embed import hashing_encoder
+    from chirpflow.plans import jobs
+
+    csv = os.path.join(tmp_dir, "post.csv")
+    with open(csv, "w") as f:
+        f.write("tweet_id,account_id,created_at,full_text,retweet_count,favorite_count,"
+                "reply_to_tweet_id,reply_to_user_id,reply_to_username,username\n")
+        f.write("1,a,2020-01-05 10:00:00+00:00,red apple pie,3,4,,,,u1\n")
+        f.write("2,a,2020-02-05 10:00:00+00:00,green apple,1,1,,,,u2\n")
+        f.write('3,a,2020-03-05 10:00:00+00:00,"   ",1,1,,,,u3\n')
+        f.write("4,b,bad date,blue sky,x,1,,,,u4\n")
+    enc = hashing_encoder(16)
+    out = os.path.join(tmp_dir, "vectors")
+    c = jobs.embed_posts_job(spark, csv, out, encoder=enc)
+    assert c == {"total_rows": 4, "blank": 1, "processed_rows": 3}
+    stats = jobs.ingest_job(spark, out, os.path.join(tmp_dir, "posts"), os.path.join(tmp_dir, "q"), dim=16)
+    assert stats["accepted"] == 2 and stats["rejected"] == 1  # 'x' is not a number
+    q = spark.createDataFrame([(1, "apple")], "query_id int, query_text string")
+    rows = jobs.search_job(spark, os.path.join(tmp_dir, "posts"), q, mode="hybrid", size=2, k=2, encoder=enc).collect()
+    assert {r.tweet_id for r in rows} == {"1", "2"} and all(r.snippet for r in rows)
