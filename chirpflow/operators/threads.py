@@ -172,11 +172,16 @@ def thread_word_counts(
     counting the concatenated thread text (the joiner is a space), without ever
     building thread strings.
     """
-    root_dates = dedup_last(tweets).where(
-        F.col("created_at").isNotNull() & (F.col("created_at") != "")
-    ).select("account_id", F.col("id").alias("root_id"), archive_date_key("created_at").alias("date_key"))
-    t = tweets.join(roots.where(~F.col("is_cycle")).select(*KEY, "root_id"), KEY)
-    words = t.join(root_dates, ["account_id", "root_id"]).select(
+    # id-level first (no text): each tweet id -> its root's date key. A hot root
+    # is a skewed key on the left side only, which AQE's skew join splits.
+    root_dates = (
+        dedup_last(tweets.select(*KEY, "pos", "created_at"))
+        .where(F.col("created_at").isNotNull() & (F.col("created_at") != ""))
+        .select("account_id", F.col("id").alias("root_id"), archive_date_key("created_at").alias("date_key"))
+    )
+    dated_ids = roots.where(~F.col("is_cycle")).select(*KEY, "root_id").join(root_dates, ["account_id", "root_id"])
+    # then the texts move once, joined on the unique (account_id, id)
+    words = tweets.select(*KEY, "full_text").join(dated_ids.select(*KEY, "date_key"), KEY).select(
         "date_key", F.explode(clean_split("full_text")).alias("word")
     )
     words = small_side_join(words, stopwords.select("word").distinct(), "word", "left_anti")
