@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chirpflow.functions.times import iso_utc, parse_timestamp
-from chirpflow.schemas import POSTS_JSONL
+from chirpflow.schemas import POSTS, POSTS_JSONL
 
 # --- Fixed values: ingest defaults of the reference ---
 VECTOR_DIM = 384
@@ -109,6 +109,17 @@ def created_at_iso(df: DataFrame, col: str = "created_at") -> DataFrame:
     return df.withColumn(col, iso_utc(col))
 
 
+def create_posts_table(spark: SparkSession, path: str, partition_by_month: bool = True) -> bool:
+    """Create an empty posts table with the fixed schema unless one exists; True if created."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    if hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+        return False
+    empty = spark.createDataFrame([], POSTS)
+    write_posts(empty, path, mode="overwrite", partition_by_month=partition_by_month)
+    return True
+
+
 def write_posts(df: DataFrame, path: str, mode: str = "append", partition_by_month: bool = True) -> None:
     """Write posts as Parquet. mode: 'append', 'overwrite', or 'dedup' (append only
     tweet_ids not yet in the table; re-running an ingest then adds nothing)."""

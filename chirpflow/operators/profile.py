@@ -60,3 +60,13 @@ def null_profile(df: DataFrame) -> DataFrame:
     counts = df.agg(*[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
     entries = ", ".join(f"'{c}', '{t}', c{i}" for i, (c, t) in enumerate(df.dtypes))
     return counts.selectExpr(f"stack({len(df.columns)}, {entries}) as (column, dtype, non_null)")
+
+
+def preview(df: DataFrame, n: int = 5, key: str | list[str] | None = None) -> DataFrame:
+    """First ``n`` rows in a deterministic order (``key``, default the first column).
+
+    Planned as a TakeOrderedAndProject: each task keeps its n best rows and only
+    those reach the final merge.
+    """
+    keys = [key] if isinstance(key, str) else (key or [df.columns[0]])
+    return df.orderBy(*keys).limit(n)

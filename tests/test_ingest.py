@@ -88,3 +88,17 @@ def test_embed_ingest_search_jobs(spark, tmp_dir):
     q = spark.createDataFrame([(1, "apple")], "query_id int, query_text string")
     rows = jobs.search_job(spark, os.path.join(tmp_dir, "posts"), q, mode="hybrid", size=2, k=2, encoder=enc).collect()
     assert {r.tweet_id for r in rows} == {"1", "2"} and all(r.snippet for r in rows)
+
+
+def test_create_posts_table_once(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "posts")
+    assert ingest.create_posts_table(spark, path) is True
+    assert ingest.create_posts_table(spark, path) is False
+    assert os.path.exists(os.path.join(path, "_SUCCESS"))
+
+
+def test_preview_is_ordered(spark):
+    from chirpflow.operators.profile import preview
+
+    df = spark.createDataFrame([(i, str(i)) for i in (5, 3, 9, 1)], "k int, v string")
+    assert [r.k for r in preview(df, 2).collect()] == [1, 3]
