@@ -500,3 +500,11 @@ from parts
 
 # exact-mode cell-pruned search must equal the exhaustive answer
 ORACLES["ann_topk"] = ORACLES["cosine_topk_batch"]
+
+ORACLES["ingest_stream_accepted"] = f"""
+with {LINES}
+select value ->> '$.tweet_id' as tweet_id,
+       cast(value ->> '$.retweet_count' as integer) as retweet_count,
+       cast(value ->> '$.favorite_count' as integer) as favorite_count
+from tagged where reject_reason is null
+"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chirpflow.operators import ann, clean, embed, ingest, profile, search, threads, trends
 from chirpflow.sources import fixtures as fx
+from chirpflow.streaming.ingest_stream import ingest_stream
 
 # --- Fixed values: parameters of the registered queries ---
 SERIES_WORD = "the"          # a word present in the generated text
@@ -265,6 +266,18 @@ def q_ann_topk(spark, sf_dir):
     """Cell-pruned search (exact mode) over the embeddings table; equals cosine_topk_batch."""
     v = fx.vectors(spark, sf_dir)
     path = ann.build_ivf_index(v, ann.index_path(spark), n_cells=8, metric="cosine",
-                               id_col="vec_id", vec_col="embedding")
+                               id_col="vec_id", vec_col="embedding", max_iter=4)
     hits = ann.ivf_search(spark, path, fx.centroid_queries(v, by="label"), k=10, nprobe=2, exact=True)
     return _rounded(hits.withColumnRenamed("id", "vec_id"), "score")
+
+
+@register("ingest_stream_accepted")
+def q_ingest_stream_accepted(spark, sf_dir):
+    """The JSON lines written as files, ingested by the checkpointed file stream
+    (availableNow, a few files per micro-batch), read back from the posts table."""
+    root = ann.index_path(spark, "stream")
+    fx.ingest_lines(spark, sf_dir).select("value").write.text(f"{root}/in")
+    q = ingest_stream(spark, f"{root}/in", f"{root}/posts", f"{root}/quarantine", f"{root}/checkpoint",
+                      dim=INGEST_DIM, max_files_per_trigger=4)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/posts").select("tweet_id", "retweet_count", "favorite_count")
