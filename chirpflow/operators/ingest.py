@@ -134,6 +134,9 @@ def write_posts(df: DataFrame, path: str, mode: str = "append", partition_by_mon
         except Exception:  # no table yet
             pass
         mode = "append"
+    # sorted by id inside each file: Parquet row-group statistics on tweet_id then
+    # let id lookups (search result rows) skip almost every row group
+    out = out.sortWithinPartitions(*(["month"] if partition_by_month else []), "tweet_id")
     writer = out.write.mode(mode)
     if partition_by_month:
         writer = writer.partitionBy("month")

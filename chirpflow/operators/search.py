@@ -13,8 +13,10 @@ Scale design
 * Only (query_id, id, score) flows through top-k; wide columns (text, user,
   dates) are joined back afterwards against a broadcast of the bounded hits.
 * BM25 keeps, per document, only tokens that occur in some query (the query
-  vocabulary is size-checked and broadcast), so the shuffle carries matched
-  (doc, term) pairs only.
+  vocabulary is size-checked and broadcast; a larger one is semi-joined), so
+  the shuffle carries matched (doc, term) pairs only.
+* Display columns of the hits are fetched with a literal IN-list on the id,
+  pushed into the Parquet scan (row-group statistics skip the rest).
 """
 
 from __future__ import annotations
@@ -195,9 +197,8 @@ def knn_by_date(
     """
     k, size = _defaults(k, size)
     cand = vector_topk(corpus, queries, k, metric, id_col=id_col, **cols)
-    dates = corpus.select(F.col(id_col).alias("id"), F.col(ts_col).alias("_ts"))
-    # hits are bounded (queries x k): broadcast them against the corpus
-    j = dates.join(F.broadcast(cand.drop("rank")), "id")
+    # candidates are bounded (queries x k): fetch their dates by id
+    j = lookup(corpus, cand.drop("rank"), id_col, [F.col(ts_col).alias("_ts")])
     w = Window.partitionBy("query_id").orderBy(
         F.desc_nulls_last("_ts"), F.desc(F.round("score", TIE_DECIMALS)), F.asc("id")
     )
@@ -235,6 +236,7 @@ def bm25(
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
     vocab = [r[0] for r in qt.select("term").distinct().limit(MAX_QUERY_TERMS + 1).collect()]
+    small_vocab = len(vocab) <= MAX_QUERY_TERMS
     schema = StructType([
         StructField("query_id", queries.schema[query_id_col].dataType),
         StructField("rank", IntegerType()),
@@ -243,22 +245,26 @@ def bm25(
     ])
     if not vocab:
         return spark.createDataFrame([], schema)
-    if len(vocab) > MAX_QUERY_TERMS:
-        raise ValueError(f"query vocabulary above {MAX_QUERY_TERMS} terms; split the query set")
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
     n_docs, avgdl = stats["n"], stats["avgdl"] or 0.0
-    wanted = F.array(*[F.lit(t) for t in vocab])
-    matched = (
-        docs.select("id", F.size("toks").alias("dl"), F.explode(F.filter("toks", lambda t: F.array_contains(wanted, t))).alias("term"))
-        .groupBy("id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    if small_vocab:
+        # keep only query terms inside each token array, before anything explodes
+        wanted = F.array(*[F.lit(t) for t in vocab])
+        terms = F.explode(F.filter("toks", lambda t: F.array_contains(wanted, t)))
+        per_doc = docs.select("id", F.size("toks").alias("dl"), terms.alias("term"))
+    else:
+        # a very large query set: semi-join the tokens with the query terms (shuffled)
+        per_doc = docs.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(
+            qt.select("term").distinct(), "term", "left_semi"
+        )
+    matched = per_doc.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
+    side = F.broadcast if small_vocab else (lambda d: d)
     scored = (
-        matched.join(F.broadcast(dfreq), "term")
-        .join(F.broadcast(qt), "term")
+        matched.join(side(dfreq), "term")
+        .join(side(qt), "term")
         .select("query_id", "id", (F.col("qtf") * idf * F.col("tf") / (F.col("tf") + norm)).alias("s"))
         .groupBy("query_id", "id")
         .agg(F.sum("s").alias("score"))
@@ -323,13 +329,35 @@ def hybrid(
     )
 
 
+MAX_LOOKUP_IDS = 100_000     # hit ids fetched through an IN-list pushed into the scan
+
+
+def lookup(corpus: DataFrame, hits: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+    """Join bounded ``hits`` (with column ``id``) to ``cols`` of the matching corpus rows.
+
+    The hits are materialised once (queries x size rows) and their ids become a
+    literal IN filter that reaches the Parquet scan, so row groups whose
+    tweet_id statistics exclude every hit are skipped instead of reading all
+    texts for a handful of results. Above MAX_LOOKUP_IDS the hits are joined by
+    a broadcast hash join instead.
+    """
+    spark = corpus.sparkSession
+    rows = hits.limit(MAX_LOOKUP_IDS + 1).collect()
+    if len(rows) > MAX_LOOKUP_IDS:
+        wide = corpus.select(F.col(id_col).alias("id"), *cols)
+        return wide.join(F.broadcast(hits), "id")
+    local = spark.createDataFrame(rows, hits.schema) if rows else spark.createDataFrame([], hits.schema)
+    ids = sorted({r["id"] for r in rows})
+    wide = corpus.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), *cols)
+    return wide.join(F.broadcast(local), "id")
+
+
 def result_rows(hits: DataFrame, corpus: DataFrame, id_col: str = "tweet_id") -> DataFrame:
     """Hits as display rows -> (query_id, rank, score, username, date, retweet_count,
     favorite_count, snippet, tweet_id). Text over 150 characters is cut with '...'."""
-    wide = corpus.select(
-        F.col(id_col).alias("id"), "username", "created_at", "retweet_count", "favorite_count", "full_text"
-    )
-    return wide.join(F.broadcast(hits.select("query_id", "rank", "score", "id")), "id").select(
+    j = lookup(corpus, hits.select("query_id", "rank", "score", "id"), id_col,
+               ["username", "created_at", "retweet_count", "favorite_count", "full_text"])
+    return j.select(
         "query_id",
         "rank",
         "score",

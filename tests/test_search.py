@@ -161,3 +161,14 @@ def test_ivf_exact_equals_exhaustive_and_approx_recall(spark, tmp_dir, metric):
     want = {(a, i) for a, _, i in exact}
     recall = len(want & {(r.query_id, r.id) for r in approx}) / len(want)
     assert recall >= 0.5
+
+
+def test_bm25_large_vocabulary_path_same_scores(spark, monkeypatch):
+    docs = {"1": "the cat sat", "2": "the dog", "3": "cat cat cat dog bird", "4": "bird"}
+    c = spark.createDataFrame(list(docs.items()), "tweet_id string, full_text string")
+    q = spark.createDataFrame([(1, "cat dog"), (2, "bird the")], "query_id int, query_text string")
+    small = sorted(tuple(r) for r in search.bm25(c, q).collect())
+    monkeypatch.setattr(search, "MAX_QUERY_TERMS", 1)
+    large = sorted(tuple(r) for r in search.bm25(c, q).collect())
+    assert [r[:3] for r in small] == [r[:3] for r in large]
+    assert all(math.isclose(a[3], b[3], rel_tol=1e-12) for a, b in zip(small, large))
