@@ -35,7 +35,13 @@ def parse_json_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
         *keep,
         F.from_json(F.col(value_col), POSTS_JSONL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"),
     )
-    return parsed.select(*keep, "j.*")
+    # Row counters of the parse (records, corrupt). The observation node also
+    # keeps validation filters above the parse: without it Catalyst inlines
+    # from_json into every pushed-down predicate and parses each line once per
+    # checked field.
+    return parsed.select(*keep, "j.*").observe(
+        "json_lines", F.count(F.lit(1)).alias("records"), F.count(F.col(CORRUPT)).alias("corrupt")
+    )
 
 
 def read_posts_jsonl(spark: SparkSession, path: str) -> DataFrame:
