@@ -258,7 +258,9 @@ def bm25(
             qt.select("term").distinct(), "term", "left_semi"
         )
     matched = per_doc.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # count(tf), not count(*): both branches then read the same (id, dl, term, tf)
+    # aggregate and Spark reuses its exchange instead of tokenizing the corpus again
+    dfreq = matched.groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
     side = F.broadcast if small_vocab else (lambda d: d)
