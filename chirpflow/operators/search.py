@@ -7,9 +7,10 @@ Scale design
   (``MAX_QUERY_BYTES`` per pass) before it is broadcast as one matrix; a larger
   query set is split into several passes, never truncated.
 * Per Arrow batch, a NumPy matrix product scores every corpus row against all
-  queries and keeps only the exact top-k per query (ties included up to k by id),
-  so the shuffle carries at most k candidates per query per batch; a window with
-  a partial WindowGroupLimit then picks the final k. No cross join is planned.
+  queries; each task keeps a running exact top-k per query (ties broken by id)
+  and emits it once, so the shuffle carries at most k candidates per query per
+  task; a window with a partial WindowGroupLimit then picks the final k. No
+  cross join is planned.
 * Only (query_id, id, score) flows through top-k; wide columns (text, user,
   dates) are joined back afterwards against a broadcast of the bounded hits.
 * BM25 keeps, per document, only tokens that occur in some query (the query
@@ -52,12 +53,29 @@ def _order(score="score", id_col="id"):
     return [F.desc(F.round(F.col(score), TIE_DECIMALS)), F.asc(id_col)]
 
 
+def _best(ids, keys, scores, k):
+    """Indices of the exact top-k by (score desc, id asc); scores equal to 1e-9 tie."""
+    n = len(scores)
+    if n > k:
+        thr = np.partition(scores, n - k)[n - k]
+        cand = np.flatnonzero(scores >= thr - 10.0 ** -TIE_DECIMALS)
+    else:
+        cand = np.arange(n)
+    if len(cand) > 1:
+        cand = cand[np.lexsort((keys[cand], -np.round(scores[cand], TIE_DECIMALS)))]
+    return cand[:k]
+
+
 def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
+    """mapInPandas kernel: score every row of the task against the broadcast
+    queries and emit, once per task, the exact top-k per query."""
+
     def run(batches):
         qids, Q = bc.value
         dim = Q.shape[1]
         qn = np.sqrt((Q * Q).sum(axis=1))
         qq = qn * qn
+        best = [None] * len(qids)  # per query: (ids, keys, scores) of the running top-k
         for pdf in batches:
             # rows without a vector of the query dimension are skipped here, not
             # by a Spark filter: a filter on an encoder output would be pushed
@@ -65,13 +83,11 @@ def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
             ok = pdf[vec_col].map(lambda v: v is not None and len(v) == dim).to_numpy(dtype=bool)
             if not ok.all():
                 pdf = pdf[ok]
-            n = len(pdf)
-            if n == 0:
+            if len(pdf) == 0:
                 continue
             X = np.array(pdf[vec_col].tolist(), dtype=np.float64)
             ids = pdf[id_col].to_numpy()
-            if ids.dtype == object:
-                ids = ids.astype(str)
+            keys = ids.astype(str) if ids.dtype == object else ids
             S = X @ Q.T
             if metric == "cosine":
                 denom = np.sqrt((X * X).sum(axis=1))[:, None] * qn[None, :]
@@ -79,24 +95,22 @@ def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
             elif metric == "l2":
                 d2 = (X * X).sum(axis=1)[:, None] + qq[None, :] - 2.0 * S
                 S = 1.0 / (1.0 + np.maximum(d2, 0.0))
-            kk = min(k, n)
-            out_q, out_i, out_s = [], [], []
-            for j, qid in enumerate(qids):
+            for j in range(len(qids)):
                 s = S[:, j]
-                if n > kk:
-                    thr = np.partition(s, n - kk)[n - kk]
-                    cand = np.flatnonzero(s >= thr - 10.0 ** -TIE_DECIMALS)
-                    if len(cand) > kk:
-                        cand = cand[np.lexsort((ids[cand], -np.round(s[cand], TIE_DECIMALS)))[:kk]]
+                top = _best(ids, keys, s, k)
+                if best[j] is None:
+                    best[j] = (ids[top], keys[top], s[top])
                 else:
-                    cand = np.arange(n)
-                out_q.append(np.full(len(cand), qid, dtype=object))
-                out_i.append(pdf[id_col].to_numpy()[cand])
-                out_s.append(s[cand])
+                    bi, bk, bs = best[j]
+                    ci, ck, cs = np.concatenate([bi, ids[top]]), np.concatenate([bk, keys[top]]), np.concatenate([bs, s[top]])
+                    keep = _best(ci, ck, cs, k)
+                    best[j] = (ci[keep], ck[keep], cs[keep])
+        out = [(qid, b) for qid, b in zip(qids, best) if b is not None]
+        if out:
             yield pd.DataFrame({
-                "query_id": np.concatenate(out_q),
-                "id": np.concatenate(out_i),
-                "score": np.concatenate(out_s),
+                "query_id": np.concatenate([np.full(len(b[0]), qid, dtype=object) for qid, b in out]),
+                "id": np.concatenate([b[0] for _, b in out]),
+                "score": np.concatenate([b[2] for _, b in out]),
             })
 
     return run

@@ -172,3 +172,16 @@ def test_bm25_large_vocabulary_path_same_scores(spark, monkeypatch):
     large = sorted(tuple(r) for r in search.bm25(c, q).collect())
     assert [r[:3] for r in small] == [r[:3] for r in large]
     assert all(math.isclose(a[3], b[3], rel_tol=1e-12) for a, b in zip(small, large))
+
+
+def test_running_topk_across_many_batches(spark):
+    c, q = corpus(spark, n=80).coalesce(1), queries(spark, n=3)
+    want = sorted((r.query_id, r.rank, r.id) for r in search.vector_topk(c, q, k=6).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r.query_id, r.rank, r.id) for r in search.vector_topk(c, q, k=6).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    ref = brute([(r[0], r[1]) for r in c.collect()], [(r[0], r[1]) for r in q.collect()], 6, "cosine")
+    assert [(a, i + 1, cid) for a in sorted(ref) for i, (cid, _) in enumerate(ref[a])] == got
