@@ -5,7 +5,8 @@ documents. Here a folder of JSON-lines files is a file stream: each
 micro-batch is parsed with the fixed schema (bad lines kept as corrupt
 records), validated, and written by ``foreachBatch`` into the posts table and
 the quarantine. The checkpoint makes the stream restartable, each file is
-processed once; ``availableNow`` processes what is there and stops. The
+processed once, and a re-run batch overwrites only its own partitions;
+``availableNow`` processes what is there and stops. The
 reject-rate guard applies per micro-batch, as it did per bulk request, and
 fails the batch before anything of it is written.
 """
@@ -22,12 +23,16 @@ from chirpflow.operators.ingest import (
     check_reject_rate,
     reject_reason,
     typed_accepted,
-    write_posts,
 )
 from chirpflow.schemas import POSTS_JSONL
 
 
 def _batch_writer(table_path: str, quarantine_path: str, dim: int, max_reject_rate: float):
+    """foreachBatch body. foreachBatch is at-least-once: a batch can run again
+    after a failure. Each batch therefore writes only its own partitions
+    (``ingest_batch`` / ``epoch_id``) with dynamic partition overwrite, so a
+    re-run replaces what the failed attempt wrote instead of duplicating it."""
+
     def write(batch: DataFrame, epoch_id: int) -> None:
         tagged = batch.withColumn("reject_reason", reject_reason(dim)).persist()
         try:
@@ -38,10 +43,20 @@ def _batch_writer(table_path: str, quarantine_path: str, dim: int, max_reject_ra
             (
                 tagged.where(F.col("reject_reason").isNotNull())
                 .withColumn("epoch_id", F.lit(epoch_id))
-                .write.mode("append")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("epoch_id")
                 .parquet(quarantine_path)
             )
-            write_posts(typed_accepted(tagged), table_path, mode="append")
+            accepted = typed_accepted(tagged).withColumn("ingest_batch", F.lit(epoch_id))
+            (
+                accepted.withColumn("month", F.date_format("created_at", "yyyy-MM"))
+                .sortWithinPartitions("month", "tweet_id")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("month", "ingest_batch")
+                .parquet(table_path)
+            )
         finally:
             tagged.unpersist()
 

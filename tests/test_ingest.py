@@ -102,3 +102,23 @@ def test_preview_is_ordered(spark):
 
     df = spark.createDataFrame([(i, str(i)) for i in (5, 3, 9, 1)], "k int, v string")
     assert [r.k for r in preview(df, 2).collect()] == [1, 3]
+
+
+def test_stream_batch_rerun_is_idempotent(spark, tmp_dir):
+    from chirpflow.streaming.ingest_stream import _batch_writer
+
+    batch = ingest.read_posts_jsonl(spark, _write_lines(tmp_dir, [line(1), line(2), line(3, rt="many")]))
+    write = _batch_writer(os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "q"), 3, 0.5)
+    write(batch, 0)
+    write(batch, 0)  # the same micro-batch again, as after a failure
+    write(batch.where("tweet_id = '1'"), 1)
+    assert spark.read.parquet(os.path.join(tmp_dir, "t")).count() == 3
+    assert spark.read.parquet(os.path.join(tmp_dir, "q")).count() == 1
+
+
+def _write_lines(tmp_dir, values):
+    src = os.path.join(tmp_dir, "lines")
+    os.makedirs(src, exist_ok=True)
+    with open(os.path.join(src, "part.jsonl"), "w") as f:
+        f.write("\n".join(values) + "\n")
+    return src
