@@ -234,9 +234,14 @@ def bm25(
     text_col: str = "full_text",
     query_id_col: str = "query_id",
     query_text_col: str = "query_text",
+    corpus_stats: tuple[int, float] | None = None,
 ) -> DataFrame:
     """Keyword match (OR of the query's terms) scored with BM25 -> (query_id, rank, id, score).
 
+    ``corpus_stats`` = (document count, average document length) when the
+    caller maintains them (e.g. at ingest); otherwise one aggregate pass
+    computes them.
+
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); term score
     idf * tf / (tf + k1 * (1 - b + b * dl / avgdl)), summed over query terms
     (a term repeated in the query counts again). Statistics are global and use
@@ -259,8 +264,10 @@ def bm25(
     ])
     if not vocab:
         return spark.createDataFrame([], schema)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-    n_docs, avgdl = stats["n"], stats["avgdl"] or 0.0
+    if corpus_stats is None:
+        stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
+        corpus_stats = (stats["n"], stats["avgdl"] or 0.0)
+    n_docs, avgdl = corpus_stats
     if small_vocab:
         # keep only query terms inside each token array, before anything explodes
         wanted = F.array(*[F.lit(t) for t in vocab])
@@ -424,3 +431,9 @@ def search(
     else:
         raise ValueError("mode must be knn, hybrid or by_date")
     return result_rows(hits, corpus, id_col)
+
+
+def bm25_corpus_stats(corpus: DataFrame, tokenizer: str = "standard", text_col: str = "full_text") -> tuple[int, float]:
+    """(document count, average token count) for ``bm25(corpus_stats=...)``."""
+    r = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenize(text_col, tokenizer))).alias("a")).first()
+    return r["n"], r["a"] or 0.0
