@@ -27,8 +27,12 @@ def parse_timestamp(s) -> Column:
 
 
 def iso_utc(ts) -> Column:
-    """Format as ``toISOString()`` does: UTC, millisecond precision, 'Z'."""
-    return F.date_format(_col(ts), ISO_UTC_FORMAT)
+    """Format as ``toISOString()`` does: UTC, millisecond precision, 'Z'.
+
+    Correct in any session time zone: the instant is shifted to UTC wall-clock
+    time before formatting.
+    """
+    return F.date_format(F.to_utc_timestamp(_col(ts), F.current_timezone()), ISO_UTC_FORMAT)
 
 
 def month_key(ts) -> Column:

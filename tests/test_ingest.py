@@ -122,3 +122,17 @@ def _write_lines(tmp_dir, values):
     with open(os.path.join(src, "part.jsonl"), "w") as f:
         f.write("\n".join(values) + "\n")
     return src
+
+
+def test_iso_dates_do_not_depend_on_session_zone(spark):
+    from chirpflow.functions.times import iso_utc, parse_timestamp
+
+    df = spark.createDataFrame([("2020-01-05 10:00:00+05:30",), ("garbage",)], "s string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "Asia/Kolkata", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = [r.x for r in df.select(iso_utc(parse_timestamp("s")).alias("x")).collect()]
+            assert got == ["2020-01-05T04:30:00.000Z", None], tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
