@@ -54,6 +54,7 @@ def build_ivf_index(
     vec_col: str = "full_text_vector",
     max_iter: int = 10,
     seed: int = 42,
+    init_mode: str = "k-means||",
 ) -> str:
     """Write the index under ``path`` (``/cells`` partitioned by cell, ``/centroids``)."""
     from pyspark.ml.clustering import KMeans
@@ -64,7 +65,9 @@ def build_ivf_index(
     vec = _unit(F.col(vec_col)) if metric == "cosine" else F.transform(vec_col, lambda x: x.cast("double"))
     base = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vec.alias("v"))
     feats = base.select("id", "v", array_to_vector("v").alias("features"))
-    model = KMeans(k=n_cells, maxIter=max_iter, seed=seed, featuresCol="features", predictionCol="cell").fit(feats)
+    model = KMeans(
+        k=n_cells, maxIter=max_iter, seed=seed, initMode=init_mode, featuresCol="features", predictionCol="cell"
+    ).fit(feats)
     spark = corpus.sparkSession
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cent = spark.createDataFrame(centers, "cell int, c array<double>")

@@ -266,7 +266,7 @@ def q_ann_topk(spark, sf_dir):
     """Cell-pruned search (exact mode) over the embeddings table; equals cosine_topk_batch."""
     v = fx.vectors(spark, sf_dir)
     path = ann.build_ivf_index(v, ann.index_path(spark), n_cells=8, metric="cosine",
-                               id_col="vec_id", vec_col="embedding", max_iter=4)
+                               id_col="vec_id", vec_col="embedding", max_iter=4, init_mode="random")
     hits = ann.ivf_search(spark, path, fx.centroid_queries(v, by="label"), k=10, nprobe=2, exact=True)
     return _rounded(hits.withColumnRenamed("id", "vec_id"), "score")
 
