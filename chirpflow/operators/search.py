@@ -361,14 +361,14 @@ def lookup(corpus: DataFrame, hits: DataFrame, id_col: str, cols: list[str]) ->
     The hits are materialised once (queries x size rows) and their ids become a
     literal IN filter that reaches the Parquet scan, so row groups whose
     tweet_id statistics exclude every hit are skipped instead of reading all
-    texts for a handful of results. Above MAX_LOOKUP_IDS the hits are joined by
-    a broadcast hash join instead.
+    texts for a handful of results. Above MAX_LOOKUP_IDS (a very large query
+    set) the hits are joined without a hint; the planner shuffles both sides.
     """
     spark = corpus.sparkSession
     rows = hits.limit(MAX_LOOKUP_IDS + 1).collect()
     if len(rows) > MAX_LOOKUP_IDS:
         wide = corpus.select(F.col(id_col).alias("id"), *cols)
-        return wide.join(F.broadcast(hits), "id")
+        return wide.join(hits, "id")
     local = spark.createDataFrame(rows, hits.schema) if rows else spark.createDataFrame([], hits.schema)
     ids = sorted({r["id"] for r in rows})
     wide = corpus.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), *cols)

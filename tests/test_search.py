@@ -185,3 +185,12 @@ def test_running_topk_across_many_batches(spark):
     assert got == want
     ref = brute([(r[0], r[1]) for r in c.collect()], [(r[0], r[1]) for r in q.collect()], 6, "cosine")
     assert [(a, i + 1, cid) for a in sorted(ref) for i, (cid, _) in enumerate(ref[a])] == got
+
+
+def test_lookup_large_hit_set_path(spark, monkeypatch):
+    c = spark.createDataFrame([(f"d{i}", f"text {i}") for i in range(20)], "tweet_id string, full_text string")
+    hits = spark.createDataFrame([(1, f"d{i}") for i in range(0, 20, 2)], "query_id int, id string")
+    small = sorted(tuple(r) for r in search.lookup(c, hits, "tweet_id", ["full_text"]).collect())
+    monkeypatch.setattr(search, "MAX_LOOKUP_IDS", 3)
+    large = sorted(tuple(r) for r in search.lookup(c, hits, "tweet_id", ["full_text"]).collect())
+    assert small == large and len(small) == 10
