@@ -20,3 +20,57 @@ def small_side_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on, how)
+
+
+# A left-side key with at least this many rows is treated as hot.
+HOT_KEY_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
+
+
+def split_hot_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[tuple[str, str]],
+    how: str = "inner",
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Join ``left`` to a ``right`` side that has at most one row per key, with hot keys split off.
+
+    ``keys`` pairs (left column, right column). Keys holding at least
+    ``hot_rows`` left rows (one thread root may collect a third of all
+    replies) are found with a partially aggregated count; their rows join a
+    broadcast of just the matching right rows (at most one per hot key, so the
+    broadcast is bounded by MAX_HOT_KEYS), map-side and without shuffling the
+    hot rows. Every other row takes the normal shuffle join. ``how`` is
+    'inner' or 'left'. Result columns: left columns then right columns.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    hot_rows = hot_rows or HOT_KEY_ROWS
+    lk, rk = [a for a, _ in keys], [b for _, b in keys]
+    cond = None
+    for a, b in keys:
+        c = left[a] == right[b]
+        cond = c if cond is None else cond & c
+    hot = (
+        left.groupBy(*lk).count().where(F.col("count") >= hot_rows).drop("count")
+        .limit(MAX_HOT_KEYS + 1).collect()
+    )
+    if not hot or len(hot) > MAX_HOT_KEYS:
+        return left.join(right, cond, how)
+    spark = left.sparkSession
+    hot_df = spark.createDataFrame(hot, left.select(*lk).schema)
+    hot_right = right.join(F.broadcast(hot_df.toDF(*rk)), rk, "left_semi")
+    is_hot = left.join(F.broadcast(hot_df), lk, "left_semi")
+    cold = left.join(F.broadcast(hot_df), lk, "left_anti")
+    # rebuild the condition on the filtered frames
+    def on(lf, rf):
+        c = None
+        for a, b in keys:
+            e = lf[a] == rf[b]
+            c = e if c is None else c & e
+        return c
+
+    hot_part = is_hot.join(F.broadcast(hot_right), on(is_hot, hot_right), how)
+    cold_part = cold.join(right, on(cold, right), how)
+    return hot_part.unionByName(cold_part)

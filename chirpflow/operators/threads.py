@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from chirpflow.functions.text import clean_split
 from chirpflow.functions.times import archive_date_key, parse_archive_date_key
-from chirpflow.operators.joins import small_side_join
+from chirpflow.operators.joins import small_side_join, split_hot_join
 from chirpflow.session import ensure_checkpoint_dir
 
 KEY = ["account_id", "id"]
@@ -75,8 +75,8 @@ def resolve_roots(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
         max_rounds = max(1, math.ceil(math.log2(n_edges + 1)) + 1)
     # state: anc = current ancestor pointer, final = anc has no edge (is the root)
     heads = edges.select(F.col("account_id").alias("h_account"), F.col("id").alias("h_id"))
-    state = edges.join(
-        heads, (F.col("account_id") == F.col("h_account")) & (F.col("parent_id") == F.col("h_id")), "left"
+    state = split_hot_join(
+        edges, heads, [("account_id", "h_account"), ("parent_id", "h_id")], "left"
     ).select("account_id", "id", F.col("parent_id").alias("anc"), F.col("h_id").isNull().alias("final"))
     state = _checkpoint(state)
     # Resolved rows never change again: they stay where they were checkpointed
@@ -93,8 +93,9 @@ def resolve_roots(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
             F.col("account_id").alias("a2"), F.col("id").alias("id2"),
             F.col("anc").alias("anc2"), F.col("final").alias("final2"),
         )
-        stepped = active.join(
-            nxt, (F.col("account_id") == F.col("a2")) & (F.col("anc") == F.col("id2")), "left"
+        # a hot ancestor (many replies under one tweet) is split off and joined map-side
+        stepped = split_hot_join(
+            active, nxt, [("account_id", "a2"), ("anc", "id2")], "left"
         ).select(
             "account_id", "id",
             F.coalesce("anc2", "anc").alias("anc"),
@@ -184,14 +185,16 @@ def thread_word_counts(
     counting the concatenated thread text (the joiner is a space), without ever
     building thread strings.
     """
-    # id-level first (no text): each tweet id -> its root's date key. A hot root
-    # is a skewed key on the left side only, which AQE's skew join splits.
+    # id-level first (no text): each tweet id -> its root's date key; a hot
+    # root (one thread holding a large share of all tweets) is split off.
     root_dates = (
         dedup_last(tweets.select(*KEY, "pos", "created_at"))
         .where(F.col("created_at").isNotNull() & (F.col("created_at") != ""))
         .select("account_id", F.col("id").alias("root_id"), archive_date_key("created_at").alias("date_key"))
     )
-    dated_ids = roots.where(~F.col("is_cycle")).select(*KEY, "root_id").join(root_dates, ["account_id", "root_id"])
+    r = roots.where(~F.col("is_cycle")).select(*KEY, "root_id")
+    d = root_dates.select(F.col("account_id").alias("d_account"), F.col("root_id").alias("d_root"), "date_key")
+    dated_ids = split_hot_join(r, d, [("account_id", "d_account"), ("root_id", "d_root")], "inner")
     # then the texts move once, joined on the unique (account_id, id)
     words = tweets.select(*KEY, "full_text").join(dated_ids.select(*KEY, "date_key"), KEY).select(
         "date_key", F.explode(clean_split("full_text")).alias("word")

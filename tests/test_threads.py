@@ -128,3 +128,20 @@ def test_word_series_sorted_and_absent_word(spark):
     s = threads.word_series(counts, "reply").collect()
     assert [r.date for r in s] == sorted(r.date for r in s) and all(r.date is not None for r in s)
     assert threads.word_series(counts, "absentword").count() == 0
+
+
+def test_hot_key_path_gives_same_answers(spark, monkeypatch):
+    from chirpflow.operators import joins
+
+    rows = archive_rows()
+    # a hot root: 30 direct replies to tweet 1
+    rows += [("A", 300 + i, f"h{i}", f"hot reply {i}", DATE, "A", "1") for i in range(30)]
+    tw = spark.createDataFrame(rows, COLS)
+    stop = spark.createDataFrame([("the",)], "word string")
+    base_roots = sorted(tuple(r) for r in threads.thread_roots(tw, True).collect())
+    base_words = sorted(tuple(r) for r in threads.thread_word_counts(tw, threads.thread_roots(tw, True), stop).collect())
+    monkeypatch.setattr(joins, "HOT_KEY_ROWS", 2)
+    assert sorted(tuple(r) for r in threads.thread_roots(tw, True).collect()) == base_roots
+    got_words = sorted(tuple(r) for r in threads.thread_word_counts(tw, threads.thread_roots(tw, True), stop).collect())
+    assert got_words == base_words
+    assert dict(((r[0], r[1]), r[2]) for r in base_roots)[("A", "h7")] == "1"
