@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chirpflow.functions.text import clean_split
@@ -70,15 +70,15 @@ def resolve_roots(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     bound (ceil(log2(#edges)) + 1, enough for any acyclic chain) they are
     returned with ``is_cycle`` true and a null root.
     """
-    n_edges = edges.count()
-    if max_rounds is None:
-        max_rounds = max(1, math.ceil(math.log2(n_edges + 1)) + 1)
     # state: anc = current ancestor pointer, final = anc has no edge (is the root)
     heads = edges.select(F.col("account_id").alias("h_account"), F.col("id").alias("h_id"))
     state = split_hot_join(
         edges, heads, [("account_id", "h_account"), ("parent_id", "h_id")], "left"
     ).select("account_id", "id", F.col("parent_id").alias("anc"), F.col("h_id").isNull().alias("final"))
-    state = _checkpoint(state)
+    size = Observation("edges")
+    state = _checkpoint(state.observe(size, F.count(F.lit(1)).alias("n")))
+    if max_rounds is None:  # enough rounds for the longest possible acyclic chain
+        max_rounds = max(1, math.ceil(math.log2(size.get["n"] + 1)) + 1)
     # Resolved rows never change again: they stay where they were checkpointed
     # and only the active rows are stepped and written each round, so the
     # checkpoint volume shrinks with the active set instead of rewriting all.
