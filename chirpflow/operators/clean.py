@@ -35,18 +35,22 @@ def normalize_created_at(df: DataFrame, col: str = "created_at", on_invalid: str
 def clean_posts(
     df: DataFrame,
     text_col: str = "full_text",
-    max_chars: int = MAX_TEXT_CHARS,
+    max_chars: int | None = MAX_TEXT_CHARS,
     na_strings=(),
 ) -> DataFrame:
     """Keep posts whose text is non-blank after a Python-style strip; cut long texts.
 
     Only a text longer than ``max_chars`` after stripping is replaced (by its
     stripped first ``max_chars`` characters); shorter texts keep their
-    whitespace, as the embedding script does.
+    whitespace, as the embedding script does before encoding. ``max_chars=None``
+    keeps every text whole.
     """
     df = apply_na_strings(df, na_strings, text_col)
     stripped = strip(text_col)
-    return df.where(F.coalesce(stripped != "", F.lit(False))).withColumn(
+    kept = df.where(F.coalesce(stripped != "", F.lit(False)))
+    if max_chars is None:
+        return kept
+    return kept.withColumn(
         text_col,
         F.when(F.length(stripped) > max_chars, F.substring(stripped, 1, max_chars)).otherwise(
             F.col(text_col)

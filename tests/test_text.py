@@ -97,3 +97,9 @@ def test_snippet(spark):
 def test_standard_tokens_keep_inner_apostrophes(spark):
     (r,) = rows(spark, ["Don't U.S.A. l’homme end."]).select(T.standard_tokens("t").alias("w")).collect()
     assert r.w == ["don't", "u.s.a", "l’homme", "end"]
+
+
+def test_clean_posts_whole_texts(spark):
+    text = "b" * 12000
+    df = spark.createDataFrame([("1", text)], "tweet_id string, full_text string")
+    assert clean.clean_posts(df, max_chars=None).first().full_text == text
