@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from chirpflow.functions import text as T
 from chirpflow.operators import clean
