@@ -24,16 +24,17 @@ from chirpflow.session import read_table
 ARCHIVE_TS_FORMAT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` on its join key into ``spark.sql.shuffle.partitions`` parts.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` on a unique key into ``spark.sql.shuffle.partitions`` parts.
 
     The driver writes each table as one Parquet row group, which Spark scans in
-    a single task; partitioning on the key the next join uses anyway spreads
-    the text work over every core, and at scale it is the exchange that the
-    sort-merge join on that key would plan in any case (the join reuses it).
+    a single task; this spreads the text work over every core. The key is
+    unique, so the parts are even however skewed other columns are; when it is
+    also the key of the next join (documents on doc_id) the sort-merge join at
+    scale reuses this exchange instead of planning its own.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key)
+    return df.repartition(n, *keys)
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,8 @@ def archive_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive form; conversation ids ending in 3 have no root date and ending in 7
     a short one.
     """
-    c = spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id")
+    # spread on the unique (conv_id, turn): one account may hold a third of all tweets
+    c = spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     base = c.join(o, c.conv_id == o.o_orderkey, "left")
     edited = base.where((F.col("role") == "assistant") & (F.col("turn") == 1)).select(
