@@ -278,6 +278,6 @@ def q_ingest_stream_accepted(spark, sf_dir):
     root = ann.index_path(spark, "stream")
     fx.ingest_lines(spark, sf_dir).select("value").write.text(f"{root}/in")
     q = ingest_stream(spark, f"{root}/in", f"{root}/posts", f"{root}/quarantine", f"{root}/checkpoint",
-                      dim=INGEST_DIM, max_files_per_trigger=4)
+                      dim=INGEST_DIM, max_files_per_trigger=8)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/posts").select("tweet_id", "retweet_count", "favorite_count")
