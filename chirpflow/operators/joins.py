@@ -60,9 +60,10 @@ def split_hot_join(
         return left.join(right, cond, how)
     spark = left.sparkSession
     hot_df = spark.createDataFrame(hot, left.select(*lk).schema)
-    hot_right = right.join(F.broadcast(hot_df.toDF(*rk)), rk, "left_semi")
-    is_hot = left.join(F.broadcast(hot_df), lk, "left_semi")
-    cold = left.join(F.broadcast(hot_df), lk, "left_anti")
+    # semi / anti joins on key names put the keys first: restore the column order
+    hot_right = right.join(F.broadcast(hot_df.toDF(*rk)), rk, "left_semi").select(*right.columns)
+    is_hot = left.join(F.broadcast(hot_df), lk, "left_semi").select(*left.columns)
+    cold = left.join(F.broadcast(hot_df), lk, "left_anti").select(*left.columns)
     # rebuild the condition on the filtered frames
     def on(lf, rf):
         c = None
