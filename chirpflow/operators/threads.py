@@ -118,10 +118,10 @@ def resolve_roots(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
 def thread_roots(tweets: DataFrame, in_archive: bool = True, max_rounds: int | None = None) -> DataFrame:
     """Root of every archive tweet -> (account_id, id, root_id, is_cycle).
 
-    ``in_archive=True`` (word-counter variant): climbing stops before a parent
-    missing from the archive, so every root is an archive tweet.
-    ``in_archive=False`` (thread notebook variant): the climb follows parents
-    even outside the archive, so a root may be a missing id.
+    ``in_archive=True``: climbing stops before a parent missing from the
+    archive, so every root is an archive tweet.
+    ``in_archive=False``: the climb follows parents even outside the archive,
+    so a root may be a missing id.
     Tweets that reply to nothing are their own root.
     """
     ids = tweets.select(*KEY).distinct()
