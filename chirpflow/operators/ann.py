@@ -76,14 +76,18 @@ def build_ivf_index(
         "d", F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells_path = os.path.join(path, "cells")
     (
-        with_d.select("cell", "id", "v")
+        with_d.select("cell", "id", "v", "d")
         .repartition(n, "cell", F.pmod(F.hash("id"), F.lit(WRITE_SALT)))
         .write.mode("overwrite")
         .partitionBy("cell")
-        .parquet(os.path.join(path, "cells"))
+        .parquet(cells_path)
+    )
+    # radii from the written index (two small columns), not a second k-means assignment pass
+    stats = spark.read.parquet(cells_path).groupBy("cell").agg(
+        F.max("d").alias("radius"), F.count(F.lit(1)).alias("n")
     )
-    stats = with_d.groupBy("cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n"))
     cent.join(stats, "cell").withColumn("metric", F.lit(metric)).write.mode("overwrite").parquet(
         os.path.join(path, "centroids")
     )
