@@ -194,3 +194,28 @@ def test_lookup_large_hit_set_path(spark, monkeypatch):
     monkeypatch.setattr(search, "MAX_LOOKUP_IDS", 3)
     large = sorted(tuple(r) for r in search.lookup(c, hits, "tweet_id", ["full_text"]).collect())
     assert small == large and len(small) == 10
+
+
+def test_search_dispatch_modes_and_encoder_check(spark):
+    import datetime as dt
+
+    from chirpflow.operators.embed import embed, hashing_encoder
+
+    enc = hashing_encoder(16)
+    posts = spark.createDataFrame(
+        [("1", "red apple pie " * 20, "u1", dt.datetime(2020, 1, 1), 1, 2),
+         ("2", "green apple", "u2", dt.datetime(2021, 1, 1), 3, 4),
+         ("3", "blue sky", "u3", None, 5, 6)],
+        "tweet_id string, full_text string, username string, created_at timestamp, retweet_count int, favorite_count int",
+    )
+    corpus = embed(posts, enc)
+    q = spark.createDataFrame([(1, "apple")], "query_id int, query_text string")
+    knn_rows = search.search(corpus, q, mode="knn", size=2, k=3, encoder=enc).orderBy("rank").collect()
+    assert [r.tweet_id for r in knn_rows] == ["2", "1"]
+    assert knn_rows[1].snippet.endswith("...") and len(knn_rows[1].snippet) == 153
+    by_date = search.search(corpus, q, mode="by_date", size=3, k=3, encoder=enc).orderBy("rank").collect()
+    assert [r.tweet_id for r in by_date] == ["2", "1", "3"] and by_date[0].date == "2021-01-01"
+    with pytest.raises(ValueError):
+        search.search(corpus, q, mode="knn", encoder=hashing_encoder(8))
+    with pytest.raises(ValueError):
+        search.search(corpus, q, mode="nope", encoder=enc)
