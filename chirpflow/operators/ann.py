@@ -24,7 +24,6 @@ and the centroid table (n_cells x dim) are broadcast.
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chirpflow.operators import search
-from chirpflow.session import ensure_checkpoint_dir
+from chirpflow.session import scratch_path
 
 WRITE_SALT = 16
 
@@ -219,5 +218,4 @@ def ivf_search(
 
 def index_path(spark: SparkSession, name: str = "ivf") -> str:
     """A fresh folder for an index under the cluster's shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    return scratch_path(spark, name)

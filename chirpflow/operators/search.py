@@ -26,13 +26,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from chirpflow.functions.text import snippet, tokenize
 from chirpflow.functions.times import display_date
 from chirpflow.operators.embed import EncoderFactory, embed, encoder_of
+from chirpflow.session import scratch_path
 
 # --- Fixed values: search defaults of the reference ---
 DEFAULT_K = 10          # nearest neighbours considered
@@ -239,8 +240,9 @@ def bm25(
     """Keyword match (OR of the query's terms) scored with BM25 -> (query_id, rank, id, score).
 
     ``corpus_stats`` = (document count, average document length) when the
-    caller maintains them (e.g. at ingest); otherwise one aggregate pass
-    computes them.
+    caller maintains them (e.g. at ingest); otherwise they are observed during
+    the single pass that extracts the matches, which are then written once to
+    the shared checkpoint folder.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); term score
     idf * tf / (tf + k1 * (1 - b + b * dl / avgdl)), summed over query terms
@@ -264,21 +266,33 @@ def bm25(
     ])
     if not vocab:
         return spark.createDataFrame([], schema)
+    sized = docs.select("id", F.size("toks").alias("dl"), "toks")
+    observed = None
     if corpus_stats is None:
-        stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-        corpus_stats = (stats["n"], stats["avgdl"] or 0.0)
-    n_docs, avgdl = corpus_stats
+        # corpus statistics are observed on every document while the matches
+        # are computed: one pass over the texts, no separate statistics scan
+        observed = Observation()
+        sized = sized.observe(observed, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
     if small_vocab:
         # keep only query terms inside each token array, before anything explodes
         wanted = F.array(*[F.lit(t) for t in vocab])
         terms = F.explode(F.filter("toks", lambda t: F.array_contains(wanted, t)))
-        per_doc = docs.select("id", F.size("toks").alias("dl"), terms.alias("term"))
+        per_doc = sized.select("id", "dl", terms.alias("term"))
     else:
         # a very large query set: semi-join the tokens with the query terms (shuffled)
-        per_doc = docs.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(
+        per_doc = sized.select("id", "dl", F.explode("toks").alias("term")).join(
             qt.select("term").distinct(), "term", "left_semi"
         )
     matched = per_doc.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if observed is not None:
+        # the (doc, term, tf) matches are written once to the shared checkpoint
+        # folder (cutting lineage); the statistics arrive with that write
+        path = scratch_path(spark, "bm25-matches")
+        matched.write.parquet(path)
+        matched = spark.read.parquet(path)
+        m = observed.get
+        corpus_stats = (m["n"], (m["total"] / m["n"]) if m["n"] else 0.0)
+    n_docs, avgdl = corpus_stats
     # count(tf), not count(*): both branches then read the same (id, dl, term, tf)
     # aggregate and Spark reuses its exchange instead of tokenizing the corpus again
     dfreq = matched.groupBy("term").agg(F.count("tf").alias("df"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,6 +76,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an intermediate table under the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
