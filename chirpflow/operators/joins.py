@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chirpflow.session import local_frame
+
 # Largest side (rows) broadcast by ``small_side_join``; beyond it the join shuffles.
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -59,7 +61,7 @@ def split_hot_join(
     if not hot or len(hot) > MAX_HOT_KEYS:
         return left.join(right, cond, how)
     spark = left.sparkSession
-    hot_df = spark.createDataFrame(hot, left.select(*lk).schema)
+    hot_df = local_frame(spark, hot, left.select(*lk).schema)
     # semi / anti joins on key names put the keys first: restore the column order
     hot_right = right.join(F.broadcast(hot_df.toDF(*rk)), rk, "left_semi").select(*right.columns)
     is_hot = left.join(F.broadcast(hot_df), lk, "left_semi").select(*left.columns)

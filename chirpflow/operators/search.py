@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from chirpflow.functions.text import snippet, tokenize
 from chirpflow.functions.times import display_date
 from chirpflow.operators.embed import EncoderFactory, embed, encoder_of
-from chirpflow.session import scratch_path
+from chirpflow.session import local_frame, scratch_path
 
 # --- Fixed values: search defaults of the reference ---
 DEFAULT_K = 10          # nearest neighbours considered
@@ -383,7 +383,7 @@ def lookup(corpus: DataFrame, hits: DataFrame, id_col: str, cols: list[str]) ->
     if len(rows) > MAX_LOOKUP_IDS:
         wide = corpus.select(F.col(id_col).alias("id"), *cols)
         return wide.join(hits, "id")
-    local = spark.createDataFrame(rows, hits.schema) if rows else spark.createDataFrame([], hits.schema)
+    local = local_frame(spark, rows, hits.schema)
     ids = sorted({r["id"] for r in rows})
     wide = corpus.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), *cols)
     return wide.join(F.broadcast(local), "id")

@@ -88,3 +88,12 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table (one Parquet file or folder) by name."""
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def local_frame(spark: SparkSession, rows: list, schema):
+    """A small DataFrame from collected rows, shipped to the JVM as Arrow (no Python
+    workers needed to decode it). Only for bounded, already-collected data."""
+    import pandas as pd
+
+    pdf = pd.DataFrame([tuple(r) for r in rows], columns=schema.fieldNames())
+    return spark.createDataFrame(pdf, schema)
