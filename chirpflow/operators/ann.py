@@ -29,10 +29,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from chirpflow.operators import search
-from chirpflow.session import scratch_path
+from chirpflow.session import local_frame, scratch_path
 
 WRITE_SALT = 16
 
@@ -69,7 +69,9 @@ def build_ivf_index(
     ).fit(feats)
     spark = corpus.sparkSession
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    cent = spark.createDataFrame(centers, "cell int, c array<double>")
+    cent = local_frame(spark, centers, StructType([
+        StructField("cell", IntegerType()), StructField("c", ArrayType(DoubleType())),
+    ]))
     assigned = model.transform(feats).select("id", "v", F.col("cell").cast("int").alias("cell"))
     with_d = assigned.join(F.broadcast(cent), "cell").withColumn(
         "d", F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
