@@ -67,6 +67,27 @@ def _best(ids, keys, scores, k):
     return cand[:k]
 
 
+def _block_top(keys, S, k):
+    """Per column of the score block S (rows x queries): row indices of the exact
+    top-k by (score rounded to 1e-9 desc, key asc). One vectorised partition
+    finds every column's k-th score; ties at the cut are resolved by key."""
+    n, q = S.shape
+    if n <= k:
+        return [np.arange(n)] * q
+    R = np.round(S, TIE_DECIMALS)
+    kth = np.partition(R, n - k, axis=0)[n - k]
+    above, at = R > kth, R == kth
+    out = []
+    for j in range(q):
+        a = np.flatnonzero(above[:, j])
+        t = np.flatnonzero(at[:, j])
+        need = k - len(a)
+        if len(t) > need:
+            t = t[np.argsort(keys[t], kind="stable")[:need]]
+        out.append(np.concatenate([a, t]))
+    return out
+
+
 def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
     """mapInPandas kernel: score every row of the task against the broadcast
     queries and emit, once per task, the exact top-k per query."""
@@ -96,9 +117,8 @@ def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
             elif metric == "l2":
                 d2 = (X * X).sum(axis=1)[:, None] + qq[None, :] - 2.0 * S
                 S = 1.0 / (1.0 + np.maximum(d2, 0.0))
-            for j in range(len(qids)):
+            for j, top in enumerate(_block_top(keys, S, k)):
                 s = S[:, j]
-                top = _best(ids, keys, s, k)
                 if best[j] is None:
                     best[j] = (ids[top], keys[top], s[top])
                 else:

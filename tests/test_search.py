@@ -219,3 +219,15 @@ def test_search_dispatch_modes_and_encoder_check(spark):
         search.search(corpus, q, mode="knn", encoder=hashing_encoder(8))
     with pytest.raises(ValueError):
         search.search(corpus, q, mode="nope", encoder=enc)
+
+
+def test_ties_at_the_cut_keep_smallest_ids(spark):
+    rows = [(f"d{i:02d}", [1.0, 1.0]) for i in range(30)] + [("z", [0.0, 1.0])]
+    c = spark.createDataFrame(rows, "tweet_id string, full_text_vector array<float>").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, query_vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = [r.id for r in search.vector_topk(c, q, k=5).orderBy("rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == ["d00", "d01", "d02", "d03", "d04"]
