@@ -118,13 +118,10 @@ def _score_cells(spark, path, plan: dict[int, list], qvecs: dict, k: int, metric
                 # cosine: stored and query vectors are unit length (or zero), so the
                 # dot product is the cosine and a zero vector scores 0
                 S = X @ Q.T if metric == "cosine" else 1.0 / (1.0 + d2)
-                kk = min(k, len(part))
-                for j, qid in enumerate(qids):
-                    s = S[:, j]
-                    order = np.lexsort((keys, -np.round(s, search.TIE_DECIMALS)))[:kk]
-                    out_q.append(np.full(len(order), qid, dtype=object))
-                    out_i.append(ids[order])
-                    out_s.append(s[order])
+                for j, top in enumerate(search._block_top(keys, S, k)):
+                    out_q.append(np.full(len(top), qids[j], dtype=object))
+                    out_i.append(ids[top])
+                    out_s.append(S[top, j])
             if out_q:
                 yield pd.DataFrame(
                     {"query_id": np.concatenate(out_q), "id": np.concatenate(out_i), "score": np.concatenate(out_s)}
