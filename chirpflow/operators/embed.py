@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from chirpflow.functions.text import P_TOKEN
+
 # --- Fixed values: encoder defaults ---
 DEFAULT_MODEL = "all-MiniLM-L6-v2"
 DEFAULT_DIM = 384
@@ -41,7 +43,7 @@ class HashingEncoder:
         import regex
 
         self.dim = dim
-        self._tok = regex.compile(r"[\p{L}\p{N}_]+")
+        self._tok = regex.compile(P_TOKEN)  # the same word tokens as the Spark tokenizer
         self._cache: dict[str, int] = {}
 
     def bucket(self, token: str) -> int:
