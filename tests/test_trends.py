@@ -96,3 +96,12 @@ def test_spike_needs_word_in_previous_top_list(spark):
     assert trends.word_spikes(top, 10).count() == 0
     top2 = trends.top_words(posts(spark, rows), top_n=2)
     assert [(r.word, r.ratio) for r in trends.word_spikes(top2, 10).collect()] == [("rare", 30.0)]
+
+
+def test_monthly_posts_without_gap_fill_and_sorted_vocabulary(spark):
+    df = posts(spark, [
+        ("1", ts("2020-01-05 00:00:00"), "Beta alpha"), ("2", ts("2020-03-01 00:00:00"), "alpha Zeta"),
+    ])
+    got = sorted((r.month, r.n_posts) for r in trends.monthly_posts(df, fill_gaps=False).collect())
+    assert got == [("2020-01", 1), ("2020-03", 1)]
+    assert [r.term for r in trends.vocabulary(df).collect()] == ["alpha", "beta", "zeta"]
