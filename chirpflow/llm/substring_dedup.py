@@ -2,7 +2,7 @@
 
 Every run of 13 words (a window) that also starts in a document with a smaller doc_id
 is repeated; each word under a repeated window is removed. A window's *minimiser* is
-the smallest hash of its five-word pieces. Consecutive windows with one minimiser form
+the smallest hash of its four-word pieces. Consecutive windows with one minimiser form
 a *super-k-mer*, which travels as one packed string of words to the bucket of its
 minimiser, so each bucket sees all copies of a window; there windows are sorted and
 their smallest document found by comparing the words themselves.
@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirpflow.llm import ledger as L
-from chirpflow.session import read_table, scratch_path
+from chirpflow.session import read_table
 
 WINDOW = 13
-PIECE = 5
+PIECE = 4
 #: A minimiser in more documents than this is dealt out window by window.
 HOT = 200
 #: Windows per super-k-mer at most (repetitive texts give long runs).
-LONGEST = 32
+LONGEST = 48
 LAST = 2**63 - 1  # order of a missing doc_id
 
 _ODD = np.random.RandomState(7).randint(1, 2**62, size=PIECE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,17 +91,29 @@ def _batch_minimisers(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray,
     return values[starts], np.add.reduceat(new_pair.astype(np.int64), starts) if len(starts) else starts
 
 
+def _cut(values: np.ndarray) -> bytes:
+    """The top 40 bits of each value, packed."""
+    return (values >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _uncut(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def _spread(rows: pd.DataFrame) -> pd.DataFrame:
     """In one bucket of minimisers: tell each batch 0 (one document), 1 (several), 2 (hot)."""
-    keys = [np.frombuffer(a, dtype=np.uint64) for a in rows["a"]]
-    docs = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in rows["b"]])
+    keys = [_uncut(a) for a in rows["a"]]
+    docs = np.concatenate([np.frombuffer(L.unpack(b), dtype=np.uint8) for b in rows["b"]])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=docs)[at]
     # rows of one doc_id in two batches count twice: more travels then, nothing is lost
+    total = np.bincount(at, weights=docs)[at]
     flag = ((total > 1).astype(np.uint8) + (total > HOT)).astype(np.uint8)
-    ends = np.cumsum([len(k) for k in keys])
-    parts = np.split(flag, ends[:-1])
-    return pd.DataFrame({"batch": rows["batch"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "a": [L.pack(p.tobytes()) for p in parts]})
+    parts = np.split(flag, np.cumsum([len(k) for k in keys])[:-1])
+    return pd.DataFrame(
+        {"batch": rows["batch"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "a": [L.pack(p.tobytes()) for p in parts]}
+    )
 
 
 def _by_batch(texts: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
@@ -123,52 +135,63 @@ def _super_kmers(n_buckets: int):
         values = np.unique(np.concatenate([*least, np.empty(0, np.uint64)]))
         flag = np.zeros(len(values), np.uint8)
         flag[L.in_bucket_order((values % np.uint64(n_buckets)).astype(np.int64))] = flags
-        key, packed, at, doc, start = [], [], [], [], []
+        places: dict[tuple[int, bytes], list[int]] = {}  # (key, packed string) -> doc, at, start, doc, ...
         for i, (words, mins) in enumerate(zip(docs, least, strict=True)):
             begin, size = runs(mins)
             if not len(begin):
                 continue
             kind = flag[np.searchsorted(values, mins[begin])]
+            shared = np.flatnonzero(kind)
             owner = LAST if ids[i] == L.NO_ID else int(ids[i])
-            for s, n, k, m in zip(begin.tolist(), size.tolist(), kind.tolist(), mins[begin].view(np.int64).tolist(), strict=True):
-                if k == 1:
-                    key.append(m), packed.append(b" ".join(words[s : s + n + WINDOW - 1]))
-                    at.append(i), doc.append(owner), start.append(s)
-                elif k == 2:
+            names = mins[begin].view(np.int64)
+            for j in shared.tolist():
+                s, n = int(begin[j]), int(size[j])
+                if kind[j] == 1:
+                    found = (int(names[j]), b" ".join(words[s : s + n + WINDOW - 1]))
+                    places.setdefault(found, []).extend((owner, i, s))
+                else:
                     for x in range(s, s + n):
                         w = b" ".join(words[x : x + WINDOW])
-                        key.append(xxhash.xxh3_64_intdigest(w) - 2**63), packed.append(w)
-                        at.append(i), doc.append(owner), start.append(x)
-        return pd.DataFrame({"key": np.array(key, np.int64), "packed": packed, "batch": int(text["batch"]), "at": np.array(at, np.int32), "doc": np.array(doc, np.int64), "start": np.array(start, np.int32)})
+                        places.setdefault((xxhash.xxh3_64_intdigest(w) - 2**63, w), []).extend((owner, i, x))
+        return pd.DataFrame(
+            {
+                "key": np.array([k for k, _ in places], np.int64),
+                "packed": [p for _, p in places],
+                "batch": int(text["batch"]),
+                "refs": [np.array(r, np.int64).tobytes() for r in places.values()],
+            }
+        )
 
     return run
 
 
-def _smallest(rows: pd.DataFrame) -> pd.DataFrame:
-    """In one bucket: sort the windows of its distinct super-k-mers, give every window the
-    smallest document among its copies, and return the super-k-mers where that matters."""
+def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
+    """In one bucket: sort all windows of its super-k-mers with their document; the first
+    copy of a window has the smallest. Returns per batch the places (at, start, mask of
+    repeated windows) that stand in a larger document."""
+    refs = [np.frombuffer(r, dtype=np.int64).reshape(-1, 3) for r in rows["refs"]]
     windows: list[tuple[bytes, int, int, int]] = []
-    for r, (packed, low) in enumerate(zip(rows["packed"], rows["low"], strict=True)):
+    mins: list[np.ndarray] = []
+    for r, packed in enumerate(rows["packed"]):
         words = packed.split(b" ")
-        for i in range(len(words) - WINDOW + 1):
-            windows.append((b" ".join(words[i : i + WINDOW]), low, r, i))
+        low = int(refs[r][:, 0].min())
+        n = len(words) - WINDOW + 1
+        mins.append(np.empty(n, np.int64))
+        windows += [(b" ".join(words[i : i + WINDOW]), low, r, i) for i in range(n)]
     windows.sort()
-    mins: list[list[int]] = [[0] * (p.count(b" ") - WINDOW + 2) for p in rows["packed"]]
     last, low = None, 0
     for w, d, r, i in windows:
         if w != last:
-            last, low = w, d  # copies are sorted by document: the first is the smallest
+            last, low = w, d
         mins[r][i] = low
-    high = rows["high"].to_numpy()
-    least = np.array([min(m) for m in mins], np.int64)
-    keep = least < high
+    out: dict[int, list[np.ndarray]] = {}
+    for batch, places, low in zip(rows["batch"], refs, mins, strict=True):
+        bits = (low[None, :] < places[:, :1]) @ (np.int64(1) << np.arange(len(low), dtype=np.int64))
+        hit = bits != 0
+        if hit.any():
+            out.setdefault(int(batch), []).append(np.column_stack([places[hit, 1:], bits[hit]]))
     return pd.DataFrame(
-        {
-            "key": rows["key"].to_numpy()[keep],
-            "packed": [p for p, k in zip(rows["packed"], keep, strict=True) if k],
-            "least": least[keep],
-            "mins": [np.array(m, np.int64).tobytes() for m, k in zip(mins, keep, strict=True) if k],
-        }
+        {"batch": np.array([*out], np.int64), "a": [L.pack(np.concatenate(x).tobytes()) for x in out.values()]}
     )
 
 
@@ -204,18 +227,23 @@ def _remove(with_text: bool):
         ids = np.frombuffer(text["ids"], dtype=np.int64)
         found = rows[rows["bucket"] >= 0]
         hits: dict[int, list] = {}
-        for at, start, doc, mins in zip(found["at"], found["start"], found["doc"], found["a"], strict=True):
-            hits.setdefault(int(at), []).append((int(start), np.frombuffer(mins, dtype=np.int64) < doc))
+        for a in found["a"]:
+            for at, start, mask in np.frombuffer(L.unpack(a), dtype=np.int64).reshape(-1, 3).tolist():
+                hits.setdefault(at, []).append((start, mask))
         n_words, n_removed, sha, kept = [], [], [], []
         for i, t in enumerate(L.unpack_texts(text["a"])):
             words = t.split()
             removed = np.zeros(len(words), bool)
             if i in hits:
                 mark = np.zeros(len(words) + 1, np.int64)
-                for start, flags in hits[i]:
-                    hit = start + np.flatnonzero(flags)
-                    mark[hit] += 1
-                    mark[hit + WINDOW] -= 1
+                for start, mask in hits[i]:
+                    at = start
+                    while mask:
+                        if mask & 1:
+                            mark[at] += 1
+                            mark[at + WINDOW] -= 1
+                        mask >>= 1
+                        at += 1
                 removed = np.cumsum(mark)[:-1] > 0
                 words = [w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]
             n_words.append(len(removed))
@@ -240,25 +268,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     def keys(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple]:
         values, counts = _batch_minimisers(ids, texts)
         for k, v, c in L.split_by((values % np.uint64(n_buckets)).astype(np.int64), n_buckets, values, counts):
-            yield "key", k, v.tobytes(), c.tobytes()
+            yield "key", k, _cut(v), L.pack(np.minimum(c, 255).astype(np.uint8).tobytes())
 
     path = L.write_ledger(docs, keys, "dedup")
     texts = L.read_kind(spark, path, "text")
     flags = L.read_kind(spark, path, "key").groupBy("bucket").applyInPandas(_spread, "batch long, bucket int, a binary")
-    schema = "key long, packed binary, batch long, at int, doc long, start int"
-    rows_path = scratch_path(spark, "dedup-rows")
-    _by_batch(texts, flags, _super_kmers(n_buckets), schema).write.parquet(rows_path)
-    rows = spark.read.parquet(rows_path)
-    # copies collapse to one row per distinct string before the buckets sort
-    distinct = rows.groupBy("key", "packed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    per_bucket = distinct.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(4 * n_buckets)))
-    # high is over this string's copies; a window may also stand in other strings of the bucket
-    smallest = per_bucket.groupBy("bucket").applyInPandas(_smallest, "key long, packed binary, least long, mins binary")
-    hits = rows.join(smallest, ["key", "packed"]).where(F.col("least") < F.col("doc"))
-    found = hits.select("batch", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("ids"), F.col("mins").alias("a"), "at", "start", "doc")
-    own = texts.select("batch", F.lit(-1).alias("bucket"), "ids", "a", F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).cast("long").alias("doc"))
-    return own.unionByName(found).groupBy("batch").applyInPandas(
-        _remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    rows = _by_batch(texts, flags, _super_kmers(n_buckets), "key long, packed binary, batch long, refs binary")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(4 * n_buckets)))
+    hits = rows.groupBy("bucket").applyInPandas(_repeated, "batch long, a binary")
+    found = hits.select("batch", F.lit(0).alias("bucket"), "a")
+    return _by_batch(
+        texts, found, _remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )
 
 
