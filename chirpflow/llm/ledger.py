@@ -27,8 +27,8 @@ NO_ID = -(2**63)
 SCHEMA = "kind string, batch long, bucket int, ids binary, a binary, b binary"
 
 
-def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def pack(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unpack(data: bytes) -> bytes:
@@ -37,7 +37,7 @@ def unpack(data: bytes) -> bytes:
 
 def pack_texts(texts: list[bytes]) -> bytes:
     sizes = np.array([len(texts), *map(len, texts)], dtype=np.int64)
-    return pack(sizes.tobytes() + b"".join(texts))
+    return pack(sizes.tobytes() + b"".join(texts), 4)
 
 
 def unpack_texts(data: bytes) -> list[bytes]:

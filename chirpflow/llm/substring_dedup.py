@@ -153,12 +153,18 @@ def _super_kmers(n_buckets: int):
                     for x in range(s, s + n):
                         w = b" ".join(words[x : x + WINDOW])
                         places.setdefault((xxhash.xxh3_64_intdigest(w) - 2**63, w), []).extend((owner, i, x))
+        dealt: dict[int, tuple[list[bytes], list[int], list[int]]] = {}
+        for (key, packed), refs in places.items():
+            strings, counts, flat = dealt.setdefault(key % (4 * n_buckets), ([], [], []))
+            strings.append(packed)
+            counts.append(len(refs) // 3)
+            flat += refs
         return pd.DataFrame(
             {
-                "key": np.array([k for k, _ in places], np.int64),
-                "packed": [p for _, p in places],
                 "batch": int(text["batch"]),
-                "refs": [np.array(r, np.int64).tobytes() for r in places.values()],
+                "bucket": np.array([*dealt], np.int32),
+                "a": [L.pack(b"\n".join(x[0])) for x in dealt.values()],
+                "b": [L.pack(np.array([len(x[1]), *x[1], *x[2]], np.int64).tobytes()) for x in dealt.values()],
             }
         )
 
@@ -169,15 +175,21 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     """In one bucket: sort all windows of its super-k-mers with their document; the first
     copy of a window has the smallest. Returns per batch the places (at, start, mask of
     repeated windows) that stand in a larger document."""
-    refs = [np.frombuffer(r, dtype=np.int64).reshape(-1, 3) for r in rows["refs"]]
+    refs: list[np.ndarray] = []
+    batches: list[int] = []
     windows: list[tuple[bytes, int, int, int]] = []
     mins: list[np.ndarray] = []
-    for r, packed in enumerate(rows["packed"]):
-        words = packed.split(b" ")
-        low = int(refs[r][:, 0].min())
-        n = len(words) - WINDOW + 1
-        mins.append(np.empty(n, np.int64))
-        windows += [(b" ".join(words[i : i + WINDOW]), low, r, i) for i in range(n)]
+    for batch, strings, places in zip(rows["batch"], rows["a"], rows["b"], strict=True):
+        numbers = np.frombuffer(L.unpack(places), dtype=np.int64)
+        n = int(numbers[0])
+        own = np.split(numbers[n + 1 :].reshape(-1, 3), np.cumsum(numbers[1 : n + 1])[:-1])
+        for packed, place in zip(L.unpack(strings).split(b"\n"), own, strict=True):
+            words = packed.split(b" ")
+            r, low, size = len(refs), int(place[:, 0].min()), len(words) - WINDOW + 1
+            refs.append(place)
+            batches.append(int(batch))
+            mins.append(np.empty(size, np.int64))
+            windows += [(b" ".join(words[i : i + WINDOW]), low, r, i) for i in range(size)]
     windows.sort()
     last, low = None, 0
     for w, d, r, i in windows:
@@ -185,11 +197,13 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
             last, low = w, d
         mins[r][i] = low
     out: dict[int, list[np.ndarray]] = {}
-    for batch, places, low in zip(rows["batch"], refs, mins, strict=True):
+    for batch, places, low in zip(batches, refs, mins, strict=True):
+        if low[0] == low[-1] == places[0, 0] and len(places) == 1 and (low == low[0]).all():
+            continue
         bits = (low[None, :] < places[:, :1]) @ (np.int64(1) << np.arange(len(low), dtype=np.int64))
         hit = bits != 0
         if hit.any():
-            out.setdefault(int(batch), []).append(np.column_stack([places[hit, 1:], bits[hit]]))
+            out.setdefault(batch, []).append(np.column_stack([places[hit, 1:], bits[hit]]))
     return pd.DataFrame(
         {"batch": np.array([*out], np.int64), "a": [L.pack(np.concatenate(x).tobytes()) for x in out.values()]}
     )
@@ -273,8 +287,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     path = L.write_ledger(docs, keys, "dedup")
     texts = L.read_kind(spark, path, "text")
     flags = L.read_kind(spark, path, "key").groupBy("bucket").applyInPandas(_spread, "batch long, bucket int, a binary")
-    rows = _by_batch(texts, flags, _super_kmers(n_buckets), "key long, packed binary, batch long, refs binary")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(4 * n_buckets)))
+    rows = _by_batch(texts, flags, _super_kmers(n_buckets), "batch long, bucket int, a binary, b binary")
     hits = rows.groupBy("bucket").applyInPandas(_repeated, "batch long, a binary")
     found = hits.select("batch", F.lit(0).alias("bucket"), "a")
     return _by_batch(
