@@ -39,7 +39,7 @@ from chirpflow.llm.common import bytes_list, documents_only, rebatched
 from chirpflow.session import read_table
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 BATCH_BYTES = 8 << 20
 #: Unicode white space, spelled out (fixed values).
 UNICODE_SPACE = "\t-\r \x85\xa0  -     　"

@@ -39,7 +39,7 @@ STEM_LETTERS = range(4, 8)
 MAX_ENTRIES = 5_000
 CONTEXT = 6
 THRESHOLD = 0.3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 BATCH_BYTES = 8 << 20
 #: Quotation marks and reporting words (fixed values).
 QUOTES = "\"“”„«»"
