@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chirpflow.llm.common import bytes_list, crc_mod, rebatched
 from chirpflow.session import read_table, scratch_path
@@ -302,31 +301,20 @@ def score_text(found: list[tuple[int, int, int, int]], shares: dict) -> float:
     return p + (1 - p) * 0.5 * (1 - 0.5 ** max(0, plain - 1))
 
 
-def score_documents(docs: DataFrame, model: tuple, keep_columns: bool = False) -> DataFrame:
-    """doc_id, score, n_matches, matches (word position, entry, edits, context) for every row.
-
-    With ``keep_columns`` the columns of docs stand before these, so that a filter on the
-    score needs no join back to the texts.
-    """
+def score_documents(docs: DataFrame, model: tuple) -> DataFrame:
+    """doc_id, score, n_matches, matches (word position, entry, edits, context) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*docs.columns) if keep_columns else docs.select("doc_id", "text")
-    at = kept.columns.index("text")
-    extra = T.StructType.fromDDL(
-        "score double, n_matches long, matches array<struct<at:int,entry:string,edits:int,context:int>>"
-    )
-    fields = [f for f in kept.schema.fields if keep_columns or f.name == "doc_id"]
-    n_kept = len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, shares = shared.value
         matcher = Matcher(*lexicon)
         entries = matcher.automaton.entries
         match = pa.struct([("at", pa.int32()), ("entry", pa.string()), ("edits", pa.int32()), ("context", pa.int32())])
-        for batch in rebatched(batches, BATCH_BYTES, at):
-            found = [matcher.matches(t or b"") for t in bytes_list(batch.column(at))]
+        for batch in rebatched(batches, BATCH_BYTES, 1):
+            found = [matcher.matches(t or b"") for t in bytes_list(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:n_kept],
+                    batch.column(0),
                     pa.array([score_text(f, shares) for f in found], pa.float64()),
                     pa.array([len(f) for f in found], pa.int64()),
                     pa.array(
@@ -334,10 +322,27 @@ def score_documents(docs: DataFrame, model: tuple, keep_columns: bool = False) -
                         pa.list_(match),
                     ),
                 ],
-                [*batch.schema.names[:n_kept], "score", "n_matches", "matches"],
+                ["doc_id", "score", "n_matches", "matches"],
             )
 
-    return kept.mapInArrow(run, T.StructType([*fields, *extra.fields]))
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, score double, n_matches long, matches array<struct<at:int,entry:string,edits:int,context:int>>"
+    )
+
+
+def clean_documents(docs: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns (no join back)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, shares = shared.value
+        matcher = Matcher(*lexicon)
+        for batch in rebatched(batches, BATCH_BYTES, at):
+            scores = [score_text(matcher.matches(t or b""), shares) for t in bytes_list(batch.column(at))]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from chirpflow.llm.bpe import token_digests
 from chirpflow.llm.jaccard_join import one_per_group
 from chirpflow.llm.mixing import mixed_documents
 from chirpflow.llm.substring_dedup import remove_repeats
-from chirpflow.llm.toxicity import THRESHOLD, fit_from_tables, score_documents
+from chirpflow.llm.toxicity import clean_documents, fit_from_tables
 from chirpflow.session import read_table, scratch_path, ship_package
 
 
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold (their label, if any, is never looked at)."""
     ship_package(spark)
     model = fit_from_tables(docs, read_table(spark, sf_dir, "labels"))
-    return score_documents(docs, model, keep_columns=True).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    return clean_documents(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words under windows that a smaller document has too; a null text stays null."""
     ship_package(spark)
-    kept = remove_repeats(docs).where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), "kept")
+    kept = remove_repeats(docs).where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept_text"))
     out = docs.join(kept, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("kept", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("kept"))}
+    text = F.coalesce("_kept_text", "text")
+    changed = {"text": text, "n_chars": F.when(F.col("_kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept_text"))}
     return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
