@@ -35,15 +35,15 @@ def normalize_created_at(df: DataFrame, col: str = "created_at", on_invalid: str
 def clean_posts(
     df: DataFrame,
     text_col: str = "full_text",
-    max_chars: int | None = MAX_TEXT_CHARS,
+    max_chars: int | None = None,
     na_strings=(),
 ) -> DataFrame:
     """Keep posts whose text is non-blank after a Python-style strip; cut long texts.
 
     Only a text longer than ``max_chars`` after stripping is replaced (by its
     stripped first ``max_chars`` characters); shorter texts keep their
-    whitespace, as the embedding script does before encoding. ``max_chars=None``
-    keeps every text whole.
+    whitespace. The default keeps every text whole; pass ``MAX_TEXT_CHARS`` for
+    the cut the embedding script makes before encoding.
     """
     df = apply_na_strings(df, na_strings, text_col)
     stripped = strip(text_col)

@@ -21,6 +21,14 @@ BULK_DOCS = 100           # documents per bulk request (rows per output file chu
 # --- end of fixed values ---
 
 CORRUPT = "_corrupt_record"
+
+# The one option set of every JSON-lines parser (file, column, stream).
+JSON_OPTIONS = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": CORRUPT,
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
 REASONS = ("malformed", "bad_retweet_count", "bad_favorite_count", "bad_vector")
 
 
@@ -33,7 +41,7 @@ def parse_json_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     keep = [c for c in lines.columns if c != value_col]
     parsed = lines.where(F.trim(F.col(value_col)) != "").select(
         *keep,
-        F.from_json(F.col(value_col), POSTS_JSONL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"),
+        F.from_json(F.col(value_col), POSTS_JSONL, JSON_OPTIONS).alias("j"),
     )
     # Row counters of the parse (records, corrupt). The observation node also
     # keeps validation filters above the parse: without it Catalyst inlines
@@ -48,9 +56,7 @@ def read_posts_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines file(s) -> records + ``_corrupt_record`` (splittable, parallel by block)."""
     return (
         spark.read.schema(POSTS_JSONL)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("allowSingleQuotes", False)
+        .options(**JSON_OPTIONS)
         .json(path)
     )
 
@@ -59,14 +65,14 @@ def reject_reason(dim: int = VECTOR_DIM):
     """Column: why a parsed record is rejected (null when it is accepted).
 
     First failing check of malformed / bad_retweet_count / bad_favorite_count /
-    bad_vector (missing, not numbers, or not ``dim`` long).
+    bad_vector (missing, not finite numbers, or not ``dim`` long).
     """
     rt, fav = F.col("retweet_count"), F.col("favorite_count")
     vec = F.transform("full_text_vector", lambda x: x.try_cast("float"))
     bad_vec = (
         F.col("full_text_vector").isNull()
         | (F.size("full_text_vector") != dim)
-        | F.exists(vec, lambda x: x.isNull())
+        | F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
     return (
         F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed"))

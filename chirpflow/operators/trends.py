@@ -165,23 +165,23 @@ def top_words(
     )
 
 
-def word_spikes(top: DataFrame, factor: float = 10.0) -> DataFrame:
+def word_spikes(counts: DataFrame, factor: float = 10.0) -> DataFrame:
     """Words whose count grew ``factor``-fold over the previous calendar month.
 
-    Input is ``top_words`` output: both months are already cut to their top
-    list, so a word outside last month's list reads 0 and cannot spike. The
+    Input is ``monthly_doc_counts`` output, complete for every month (cut lists
+    would hide words that come from outside last month's list). The
     previous month is the calendar month before: the previous row of the word
     counts only when it is exactly that month, so a word absent last month is
     never compared with an older month. One window partitioned by word; each
     word has at most one row per month, so a partition is bounded by the
-    number of months, and the top lists are read once (no self-join).
+    number of months, and the counts are read once (no self-join).
     -> (month, word, prev_count, cur_count, ratio)
     """
     w = Window.partitionBy("word").orderBy("month")
     last_month = F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), -1), MONTH_FORMAT)
     prev = F.when(F.lag("month").over(w) == last_month, F.lag("doc_count").over(w)).otherwise(F.lit(0))
     return (
-        top.select("month", "word", F.col("doc_count").alias("cur_count"), prev.alias("prev_count"))
+        counts.select("month", "word", F.col("doc_count").alias("cur_count"), prev.alias("prev_count"))
         .where((F.col("prev_count") > 0) & (F.col("cur_count") >= F.col("prev_count") * F.lit(factor)))
         .select(
             "month",

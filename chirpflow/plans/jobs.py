@@ -20,8 +20,9 @@ def embed_posts_job(
     out_path: str,
     encoder: embed.EncoderFactory | None = None,
     fmt: str = "json",
+    max_chars: int | None = None,
 ) -> dict:
-    """Posts CSV -> non-blank, cut texts -> vectors -> JSON lines (or Parquet).
+    """Posts CSV -> non-blank texts (whole, or cut to ``max_chars``) -> vectors -> JSON lines (or Parquet).
 
     Row counters (rows read, rows with text) are observed on the write itself.
     """
@@ -29,7 +30,7 @@ def embed_posts_job(
     raw = posts_src.read_posts_csv(spark, csv_path)
     obs_in = Observation("read")
     raw = raw.observe(obs_in, F.count(F.lit(1)).alias("total_rows"), F.count_if(is_blank("full_text")).alias("blank"))
-    embedded = embed.embed(clean.clean_posts(raw), encoder)
+    embedded = embed.embed(clean.clean_posts(raw, max_chars=max_chars), encoder)
     obs_out = Observation("written")
     embedded = embedded.observe(obs_out, F.count(F.lit(1)).alias("processed_rows"))
     if fmt == "json":

@@ -101,13 +101,13 @@ select month, word, doc_count, rank from top
 
 ORACLES["word_spikes"] = f"""
 with {POSTS}, {TOP_WORDS},
-pairs as (
+pairs as (  -- complete monthly counts, not the top lists
   select c.month, c.word, c.doc_count as cur_count,
-         coalesce((select p.doc_count from top p
+         coalesce((select p.doc_count from month_counts p
                    where p.word = c.word
                      and p.month = strftime(cast(c.month || '-01' as date) - interval 1 month, '%Y-%m')), 0)
            as prev_count
-  from top c
+  from month_counts c
 )
 select month, word, cast(prev_count as bigint) as prev_count, cast(cur_count as bigint) as cur_count,
        round(cur_count / prev_count, 2) as ratio
@@ -291,7 +291,7 @@ from h join posts c on c.tweet_id = h.tweet_id where h.rank <= 5
 CLEAN = """
 clean as (
   select tweet_id, account_id, created_at, username, retweet_count, favorite_count,
-         case when length(stripped) > 10000 then left(stripped, 10000) else full_text end as full_text
+         full_text
   from (select *, regexp_replace(full_text, '^\\s+|\\s+$', '', 'g') as stripped from posts)
   where full_text is not null and stripped <> ''
 ),

@@ -80,8 +80,8 @@ def q_monthly_top_words(spark, sf_dir):
 
 @register("word_spikes")
 def q_word_spikes(spark, sf_dir):
-    top = trends.top_words(fx.posts(spark, sf_dir), top_n=TOP_WORDS)
-    return trends.word_spikes(top, factor=SPIKE_FACTOR)
+    counts = trends.monthly_doc_counts(fx.posts(spark, sf_dir))
+    return trends.word_spikes(counts, factor=SPIKE_FACTOR)
 
 
 # ---- reply threads ---------------------------------------------------------
@@ -222,7 +222,7 @@ INGEST_DIM = 3               # vector width of the generated JSON lines
 
 @register("clean_posts")
 def q_clean_posts(spark, sf_dir):
-    kept = clean.clean_posts(fx.dirty_posts(spark, sf_dir))
+    kept = clean.clean_posts(fx.dirty_posts(spark, sf_dir), max_chars=clean.MAX_TEXT_CHARS)
     return kept.select("tweet_id", F.length("full_text").cast("long").alias("n_chars"), "full_text")
 
 

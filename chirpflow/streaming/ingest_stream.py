@@ -13,11 +13,13 @@ fails the batch before anything of it is written.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirpflow.operators.ingest import (
-    CORRUPT,
+    JSON_OPTIONS,
     MAX_REJECT_RATE,
     VECTOR_DIM,
     check_reject_rate,
@@ -27,11 +29,13 @@ from chirpflow.operators.ingest import (
 from chirpflow.schemas import POSTS_JSONL
 
 
-def _batch_writer(table_path: str, quarantine_path: str, dim: int, max_reject_rate: float):
+def _batch_writer(table_path: str, quarantine_path: str, dim: int, max_reject_rate: float, run: str = "run"):
     """foreachBatch body. foreachBatch is at-least-once: a batch can run again
     after a failure. Each batch therefore writes only its own partitions
     (``ingest_batch`` / ``epoch_id``) with dynamic partition overwrite, so a
-    re-run replaces what the failed attempt wrote instead of duplicating it."""
+    re-run replaces what the failed attempt wrote instead of duplicating it.
+    ``run`` names the stream (its checkpoint): another stream into the same table
+    counts its epochs from 0 as well and must not replace these partitions."""
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         tagged = batch.withColumn("reject_reason", reject_reason(dim)).persist()
@@ -42,13 +46,13 @@ def _batch_writer(table_path: str, quarantine_path: str, dim: int, max_reject_ra
             check_reject_rate(c["n"], c["bad"], max_reject_rate)
             (
                 tagged.where(F.col("reject_reason").isNotNull())
-                .withColumn("epoch_id", F.lit(epoch_id))
+                .withColumn("epoch_id", F.lit(f"{run}-{epoch_id}"))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("epoch_id")
                 .parquet(quarantine_path)
             )
-            accepted = typed_accepted(tagged).withColumn("ingest_batch", F.lit(epoch_id))
+            accepted = typed_accepted(tagged).withColumn("ingest_batch", F.lit(f"{run}-{epoch_id}"))
             (
                 accepted.withColumn("month", F.date_format("created_at", "yyyy-MM"))
                 .sortWithinPartitions("month", "tweet_id")
@@ -77,14 +81,15 @@ def ingest_stream(
     """Start the ingest stream; returns the StreamingQuery (call awaitTermination)."""
     reader = (
         spark.readStream.schema(POSTS_JSONL)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
+        .options(**JSON_OPTIONS)
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     writer = (
         reader.json(in_dir)
-        .writeStream.foreachBatch(_batch_writer(table_path, quarantine_path, dim, max_reject_rate))
+        .writeStream.foreachBatch(
+            _batch_writer(table_path, quarantine_path, dim, max_reject_rate, hashlib.sha256(checkpoint.encode()).hexdigest()[:12])
+        )
         .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -136,3 +136,30 @@ def test_iso_dates_do_not_depend_on_session_zone(spark):
             assert got == ["2020-01-05T04:30:00.000Z", None], tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_second_stream_keeps_the_rows_of_the_first(spark, tmp_dir):
+    import json
+
+    from chirpflow.streaming.ingest_stream import ingest_stream
+
+    base = {"account_id": "a", "full_text": "t", "retweet_count": 1, "favorite_count": 1, "full_text_vector": [0.5, 1.0]}
+    for k, ids in ((1, "abcd"), (2, "e")):
+        os.makedirs(f"{tmp_dir}/in{k}")
+        with open(f"{tmp_dir}/in{k}/x.json", "w") as f:
+            f.writelines(json.dumps({"tweet_id": i, **base}) + "\n" for i in ids)
+        ingest_stream(spark, f"{tmp_dir}/in{k}", f"{tmp_dir}/t", f"{tmp_dir}/q", f"{tmp_dir}/c{k}", dim=2).awaitTermination()
+    assert sorted(r.tweet_id for r in spark.read.parquet(f"{tmp_dir}/t").collect()) == list("abcde")
+
+
+def test_parsers_agree_and_vectors_are_finite(spark, tmp_dir):
+    lines = ["{'tweet_id': 'q'}", '{"tweet_id": "n", "full_text_vector": [NaN, 1.0]}', '{"tweet_id": "s", "full_text_vector": ["NaN", 1.0]}', '{"tweet_id": "ok", "full_text_vector": [1.0, 2.0]}']
+    with open(f"{tmp_dir}/l.json", "w") as f:
+        f.write("\n".join(lines))
+    from chirpflow.operators import ingest
+
+    by_file = ingest.read_posts_jsonl(spark, f"{tmp_dir}/l.json")
+    by_column = ingest.parse_json_lines(spark.createDataFrame([(x,) for x in lines], "value string"), "value")
+    for df in (by_file, by_column):
+        reasons = sorted(str(r[0]) for r in df.select(ingest.reject_reason(2)).collect())
+        assert reasons == ["None", "bad_vector", "malformed", "malformed"]

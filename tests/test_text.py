@@ -68,7 +68,7 @@ def test_strip_like_python(spark):
 def test_long_text_cut(spark, n, cut):
     text = "  " + "a" * n
     df = spark.createDataFrame([("1", text)], "tweet_id string, full_text string")
-    (r,) = clean.clean_posts(df).collect()
+    (r,) = clean.clean_posts(df, max_chars=clean.MAX_TEXT_CHARS).collect()
     stripped = text.strip()
     if len(stripped) > 10000:
         assert r.full_text == stripped[:10000]
