@@ -301,20 +301,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 with w as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
   from documents),
 p as (
   select doc_id, i, array_to_string(words[i:i + 12], ' ') as win
   from w, lateral (select unnest(range(1, greatest(len(words) - 11, 1))) as i) x),
 m as (select win, min(doc_id) as low from p group by win),
 h as (select p.doc_id, p.i from p join m on m.win = p.win where m.low < p.doc_id),
-gone as (select distinct doc_id, i + k as at from h, lateral (select unnest(range(0, 13)) as k) x),
-g as (select doc_id, list(at) as ats, count(*) as n from gone group by doc_id),
+gone as (select distinct doc_id, i + k as pos from h, lateral (select unnest(range(0, 13)) as k) x),
+g as (select doc_id, count(*) as n from gone group by doc_id),
 e as (
-  select w.doc_id, u.x, u.at from w, lateral (select unnest(words) as x, unnest(range(1, len(words) + 1)) as at) u),
+  select w.doc_id, u.x, u.pos from w, lateral (select unnest(words) as x, unnest(range(1, len(words) + 1)) as pos) u),
 k as (
-  select e.doc_id, string_agg(e.x, ' ' order by e.at) as kept
-  from e anti join gone on gone.doc_id = e.doc_id and gone.at = e.at group by e.doc_id)
+  select e.doc_id, string_agg(e.x, ' ' order by e.pos) as kept
+  from e anti join gone on gone.doc_id = e.doc_id and gone.pos = e.pos group by e.doc_id)
 select w.doc_id, cast(len(w.words) as bigint) as n_words, coalesce(g.n, 0) as n_removed,
        sha256(coalesce(k.kept, '')) as kept_sha256
 from w left join g on g.doc_id = w.doc_id left join k on k.doc_id = w.doc_id
