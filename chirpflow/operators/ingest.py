@@ -3,21 +3,23 @@ quarantine, a reject-rate guard, and the write into a fixed-schema table.
 
 Validation never drops data silently: every input line ends up either in the
 accepted table or in the quarantine with a ``reject_reason``. Counts come from
-``DataFrame.observe`` on the quarantine write, so the guard costs no extra pass.
+``DataFrame.observe`` on the staging write, so the guard costs no extra pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from chirpflow.functions.times import iso_utc, parse_timestamp
 from chirpflow.schemas import POSTS, POSTS_JSONL
+from chirpflow.session import scratch_path
 
 # --- Fixed values: ingest defaults of the reference ---
 VECTOR_DIM = 384
 MAX_REJECT_RATE = 0.5     # fail when more than half of the documents are rejected
-BULK_DOCS = 100           # documents per bulk request (rows per output file chunk here)
 # --- end of fixed values ---
 
 CORRUPT = "_corrupt_record"
@@ -121,31 +123,55 @@ def created_at_iso(df: DataFrame, col: str = "created_at") -> DataFrame:
     return df.withColumn(col, iso_utc(col))
 
 
+MONTHLY_POSTS = StructType([*POSTS.fields, StructField("month", StringType())])
+
+
+def read_posts_table(spark: SparkSession, path: str) -> DataFrame:
+    """The posts table in its fixed schema (with the partition column ``month``), also while it holds no file."""
+    return spark.read.schema(MONTHLY_POSTS).parquet(path)
+
+
+def _table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        read_posts_table(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def create_posts_table(spark: SparkSession, path: str, partition_by_month: bool = True) -> bool:
     """Create an empty posts table with the fixed schema unless one exists; True if created."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    if hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+    if _table_exists(spark, path):
         return False
-    empty = spark.createDataFrame([], POSTS)
-    write_posts(empty, path, mode="overwrite", partition_by_month=partition_by_month)
+    write_posts(spark.createDataFrame([], POSTS), path, mode="overwrite", partition_by_month=partition_by_month)
     return True
 
 
+def _row_key() -> Column:
+    """What makes a post one post: its id, or for rows without an id their whole content."""
+    return F.coalesce("tweet_id", F.sha2(F.to_json(F.struct(*POSTS.fieldNames())), 256))
+
+
+def _new_posts(df: DataFrame, path: str) -> DataFrame:
+    """One row per post of the batch (the latest date wins, then the content hash), without those of the table."""
+    last = Window.partitionBy("_key").orderBy(F.desc_nulls_last("created_at"), F.xxhash64(*POSTS.fieldNames()))
+    out = df.withColumn("_key", _row_key()).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    if _table_exists(df.sparkSession, path):
+        out = out.join(read_posts_table(df.sparkSession, path).select(_row_key().alias("_key")), "_key", "left_anti")
+    return out.drop("_key")
+
+
 def write_posts(df: DataFrame, path: str, mode: str = "append", partition_by_month: bool = True) -> None:
-    """Write posts as Parquet. mode: 'append', 'overwrite', or 'dedup' (append only
-    tweet_ids not yet in the table; re-running an ingest then adds nothing)."""
-    spark = df.sparkSession
+    """Write posts as Parquet. mode: 'append', 'overwrite', or 'dedup' (append one row of each
+    tweet_id that is not yet in the table; re-running an ingest then adds nothing)."""
     out = df
-    if partition_by_month:
-        out = out.withColumn("month", F.date_format("created_at", "yyyy-MM"))
     if mode == "dedup":
-        try:
-            existing = spark.read.parquet(path).select("tweet_id")
-            out = out.join(existing, "tweet_id", "left_anti")
-        except Exception:  # no table yet
-            pass
-        mode = "append"
+        out, mode = _new_posts(out, path), "append"
+    if partition_by_month:
+        # few files: a month's rows come together, and a large month is split again by its size
+        out = out.withColumn("month", F.date_format("created_at", "yyyy-MM")).hint("rebalance", "month")
     # sorted by id inside each file: Parquet row-group statistics on tweet_id then
     # let id lookups (search result rows) skip almost every row group
     out = out.sortWithinPartitions(*(["month"] if partition_by_month else []), "tweet_id")
@@ -163,23 +189,26 @@ def ingest(
     max_reject_rate: float = MAX_REJECT_RATE,
     mode: str = "append",
 ) -> dict:
-    """Validate, quarantine the rejects, apply the reject guard, then write the table.
+    """Validate, apply the reject guard, then write the table and the quarantine.
 
-    The quarantine write observes both the total and the reject count, so the
-    guard costs no extra pass and fails before the posts table is touched.
+    The records are parsed and tagged once, into a staging table of the shared
+    folder whose write observes the counts; the guard fails before the posts
+    table or the quarantine is touched, so a retry doubles nothing.
     Returns {'total', 'accepted', 'rejected', 'written'}; ``written`` is the
     table's row count after the write.
     """
-    tagged = parsed.withColumn("reject_reason", reject_reason(dim))
+    spark = parsed.sparkSession
+    staged = scratch_path(spark, "ingest")
     obs = Observation("ingest")
     (
-        tagged.observe(obs, F.count(F.lit(1)).alias("n"), F.count("reject_reason").alias("bad"))
-        .where(F.col("reject_reason").isNotNull())
-        .write.mode("append")
-        .parquet(quarantine_path)
+        parsed.withColumn("reject_reason", reject_reason(dim))
+        .observe(obs, F.count(F.lit(1)).alias("n"), F.count("reject_reason").alias("bad"))
+        .write.parquet(staged)
     )
     n, bad = obs.get["n"], obs.get["bad"]
     check_reject_rate(n, bad, max_reject_rate)
+    tagged = spark.read.parquet(staged)
     write_posts(typed_accepted(tagged), table_path, mode=mode)
-    written = parsed.sparkSession.read.parquet(table_path).count()
+    tagged.where(F.col("reject_reason").isNotNull()).write.mode("append").parquet(quarantine_path)
+    written = read_posts_table(spark, table_path).count()
     return {"total": n, "accepted": n - bad, "rejected": bad, "written": written}

@@ -42,8 +42,9 @@ def split_hot_join(
     ``hot_rows`` left rows (one thread root may collect a third of all
     replies) are found with a partially aggregated count; their rows join a
     broadcast of just the matching right rows (at most one per hot key, so the
-    broadcast is bounded by MAX_HOT_KEYS), map-side and without shuffling the
-    hot rows. Every other row takes the normal shuffle join. ``how`` is
+    broadcast is bounded by MAX_HOT_KEYS: of more keys the hottest are split
+    off), map-side and without shuffling the hot rows. Every other row takes the
+    normal shuffle join, where AQE divides what is still skewed. ``how`` is
     'inner' or 'left'. Result columns: left columns then right columns.
     """
     if how not in ("inner", "left"):
@@ -55,10 +56,10 @@ def split_hot_join(
         c = left[a] == right[b]
         cond = c if cond is None else cond & c
     hot = (
-        left.groupBy(*lk).count().where(F.col("count") >= hot_rows).drop("count")
-        .limit(MAX_HOT_KEYS + 1).collect()
+        left.groupBy(*lk).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows)
+        .orderBy(F.desc("_rows"), *lk).limit(MAX_HOT_KEYS).drop("_rows").collect()
     )
-    if not hot or len(hot) > MAX_HOT_KEYS:
+    if not hot:
         return left.join(right, cond, how)
     spark = left.sparkSession
     hot_df = local_frame(spark, hot, left.select(*lk).schema)

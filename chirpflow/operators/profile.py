@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Exact percentiles keep a value -> count map per column; above this many
-# distinct values the profile switches to percentile_approx.
-EXACT_PERCENTILE_MAX_DISTINCT = 100_000
 APPROX_ACCURACY = 100_000
 
 
@@ -20,26 +17,21 @@ def _numeric(df: DataFrame) -> list[str]:
             or t.startswith("decimal")]
 
 
-def profile(df: DataFrame, cols: list[str] | None = None, approx: bool | None = None) -> DataFrame:
+def profile(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """describe(): per column count, mean, std, min, p25, p50, p75, max.
 
     -> (column, count, mean, std, min, p25, p50, p75, max). Percentiles are
-    exact with linear interpolation when ``approx`` is False; True uses
-    percentile_approx; None (auto) decides per column from an approximate
-    distinct count, so a high-cardinality column never builds an exact value map.
+    exact with linear interpolation (which keeps a value -> count map per
+    column); ``approx=True`` asks for percentile_approx, for columns with very
+    many distinct values.
     """
     cols = cols or _numeric(df)
-    if approx is None:
-        nd = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-        use_approx = {c: nd[c] > EXACT_PERCENTILE_MAX_DISTINCT for c in cols}
-    else:
-        use_approx = {c: approx for c in cols}
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         q = (
             F.percentile_approx(x, [0.25, 0.5, 0.75], APPROX_ACCURACY)
-            if use_approx[c]
+            if approx
             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         )
         aggs += [

@@ -44,6 +44,7 @@ BM25_B = 0.75
 RRF_K = 60
 # --- end of fixed values ---
 
+MAX_BLOCK_CELLS = 4_000_000  # rows x queries scored at once in a task (32 MB of scores)
 MAX_QUERY_BYTES = 64 << 20     # query matrix broadcast per pass
 MAX_QUERIES_PER_PASS = 100_000
 MAX_QUERY_TERMS = 200_000      # query vocabulary broadcast for BM25
@@ -98,17 +99,9 @@ def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
         qn = np.sqrt((Q * Q).sum(axis=1))
         qq = qn * qn
         best = [None] * len(qids)  # per query: (ids, keys, scores) of the running top-k
-        for pdf in batches:
-            # rows without a vector of the query dimension are skipped here, not
-            # by a Spark filter: a filter on an encoder output would be pushed
-            # below the exchange and run the encoder twice
-            ok = pdf[vec_col].map(lambda v: v is not None and len(v) == dim).to_numpy(dtype=bool)
-            if not ok.all():
-                pdf = pdf[ok]
-            if len(pdf) == 0:
-                continue
-            X = np.array(pdf[vec_col].tolist(), dtype=np.float64)
-            ids = pdf[id_col].to_numpy()
+        step = max(1, MAX_BLOCK_CELLS // len(qids))
+
+        def score_block(X, ids):
             keys = ids.astype(str) if ids.dtype == object else ids
             S = X @ Q.T
             if metric == "cosine":
@@ -126,6 +119,22 @@ def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
                     ci, ck, cs = np.concatenate([bi, ids[top]]), np.concatenate([bk, keys[top]]), np.concatenate([bs, s[top]])
                     keep = _best(ci, ck, cs, k)
                     best[j] = (ci[keep], ck[keep], cs[keep])
+
+        for pdf in batches:
+            # rows without a vector of the query dimension are skipped here, not
+            # by a Spark filter: a filter on an encoder output would be pushed
+            # below the exchange and run the encoder twice
+            ok = pdf[vec_col].map(lambda v: v is not None and len(v) == dim).to_numpy(dtype=bool)
+            if not ok.all():
+                pdf = pdf[ok]
+            if len(pdf) == 0:
+                continue
+            X = np.array(pdf[vec_col].tolist(), dtype=np.float64)
+            ids = pdf[id_col].to_numpy()
+            finite = np.isfinite(X).all(axis=1)  # a NaN would rank by chance
+            X, ids = X[finite], ids[finite]
+            for i in range(0, len(X), step):
+                score_block(X[i : i + step], ids[i : i + step])
         out = [(qid, b) for qid, b in zip(qids, best) if b is not None]
         if out:
             yield pd.DataFrame({
@@ -141,6 +150,12 @@ def _matrix(rows):
     return [r[0] for r in rows], np.array([list(r[1]) for r in rows], dtype=np.float64)
 
 
+def _same_length(rows, dim):
+    if any(len(r[1]) != dim for r in rows):
+        raise ValueError("the query vectors differ in length")
+    return rows
+
+
 def _query_passes(queries: DataFrame, query_id_col: str, query_vec_col: str):
     """Query matrices, each within MAX_QUERY_BYTES; a larger query set is split
     into hash passes (every query is kept). Yields (query ids, matrix)."""
@@ -151,14 +166,13 @@ def _query_passes(queries: DataFrame, query_id_col: str, query_vec_col: str):
         return
     per_pass = max(1, min(MAX_QUERIES_PER_PASS, MAX_QUERY_BYTES // (8 * dim)))
     if len(probe) <= per_pass:
-        yield _matrix([r for r in probe if len(r[1]) == dim])
+        yield _matrix(_same_length(probe, dim))
         return
     n_pass = math.ceil(q.count() / per_pass)
     for p in range(n_pass):
         rows = q.where(F.pmod(F.hash(query_id_col), F.lit(n_pass)) == p).collect()
-        rows = [r for r in rows if len(r[1]) == dim]
         if rows:
-            yield _matrix(rows)
+            yield _matrix(_same_length(rows, dim))
 
 
 def vector_topk(
@@ -174,7 +188,8 @@ def vector_topk(
     """Exact top-k corpus rows per query -> (query_id, rank, id, score).
 
     metric: 'cosine' (zero vector scores 0), 'l2' (score 1/(1+d^2)) or 'dot'.
-    Corpus rows whose vector is null or of another dimension are skipped.
+    Corpus rows whose vector is null, of another dimension or not finite are
+    skipped; query vectors of different lengths raise ValueError.
     Ties (to 1e-9) are broken by id ascending.
     """
     if metric not in ("cosine", "l2", "dot"):
@@ -369,7 +384,8 @@ def hybrid(
         def scaled(c):
             wq = Window.partitionBy("query_id")
             lo, hi = F.min(c).over(wq), F.max(c).over(wq)
-            return F.coalesce(F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(1.0)), F.lit(0.0))
+            inside = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(1.0))
+            return F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(inside)
         score = scaled("knn_score") + F.lit(boost) * scaled("text_score")
     elif fusion == "rrf":
         score = F.coalesce(1.0 / (RRF_K + F.col("knn_rank")), F.lit(0.0)) + F.coalesce(

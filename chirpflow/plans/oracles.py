@@ -508,3 +508,117 @@ select value ->> '$.tweet_id' as tweet_id,
        cast(value ->> '$.favorite_count' as integer) as favorite_count
 from tagged where reject_reason is null
 """
+
+# ---- sources, clips, cycles and the other search modes ------------------------
+
+_DAILY = ORACLES["daily_word_count"].strip()
+ORACLES["daily_word_count_clipped"] = f"""
+select * from ({_DAILY}) where day between date '1993-07-01' and date '1996-06-30'
+"""
+
+DIRTY = POSTS.replace("posts as (", "whole_posts as (", 1) + """,
+posts as (
+  select * replace (case when cast(tweet_id as bigint) % 17 = 0 then null
+                         when cast(tweet_id as bigint) % 19 = 0 then '  '
+                         when cast(tweet_id as bigint) % 23 = 0 then 'NA'
+                         else full_text end as full_text)
+  from whole_posts
+)"""
+
+ORACLES["csv_posts"] = f"""
+with {DIRTY}
+select tweet_id, account_id, cast(created_at as timestamp) as created_at, full_text,
+       case when cast(tweet_id as bigint) % 31 <> 0 then retweet_count end as retweet_count, favorite_count,
+       reply_to_tweet_id, reply_to_user_id, reply_to_username, username
+from posts where full_text is not null and full_text <> 'NA' and cast(tweet_id as bigint) % 29 <> 0
+"""
+
+ORACLES["archive_flat"] = f"""
+with {ARCHIVE}
+select * exclude (retweeted, part) from (
+  select account_id, retweeted, id, full_text, created_at, in_reply_to_user_id, in_reply_to_status_id, pos // 100 as part,
+         row_number() over (partition by account_id, pos // 100 order by pos) - 1 as pos
+  from archive)
+where not retweeted
+"""
+
+ORACLES["embed_job"] = f"""
+with {DIRTY}, {CLEAN}, {HASHED}
+select tweet_id, bucket, round(cast(w as double), 6) as weight from dv
+"""
+
+ORACLES["ingest_batch"] = f"""
+with {LINES}
+select value ->> '$.tweet_id' as tweet_id,
+       case when line_id % 7 <> 0
+            then strftime(strptime(substr(value ->> '$.created_at', 1, 19), '%Y-%m-%d %H:%M:%S') - to_minutes(330), '%Y-%m')
+       end as month,
+       cast(value ->> '$.retweet_count' as integer) as retweet_count,
+       cast(value ->> '$.favorite_count' as integer) as favorite_count
+from tagged where reject_reason is null
+"""
+
+LOOPING = ARCHIVE.replace("tw as (select * from archive where not retweeted)", """looping as (
+  select * replace (
+    case when cast(account_id as bigint) % 10 = 5 and cast(id as bigint) % 100 = 0 then account_id || '02'
+         when cast(account_id as bigint) % 10 = 9 and cast(id as bigint) % 100 = 5 then null
+         else in_reply_to_status_id end as in_reply_to_status_id,
+    case when cast(account_id as bigint) % 10 = 5 and cast(id as bigint) % 100 = 0 then account_id
+         else in_reply_to_user_id end as in_reply_to_user_id)
+  from archive
+),
+tw as (select * from looping where not retweeted)""")
+
+# a chain of an account is at most as long as its tweets are many: whoever walks on is in a cycle
+ORACLES["thread_roots_cycles"] = f"""
+with recursive {LOOPING},
+edges as (
+  select account_id, id, parent from last_reply l where rn = 1 and parent is not null
+    and exists (select 1 from ids i where i.account_id = l.account_id and i.id = l.parent)
+),
+longest as (select max(n) + 1 as n from (select count(*) as n from ids group by account_id)),
+walk(account_id, id, cur, depth) as (
+  select account_id, id, id, 0 from ids
+  union all
+  select w.account_id, w.id, e.parent, w.depth + 1
+  from walk w join edges e on e.account_id = w.account_id and e.id = w.cur
+  where w.depth < (select n from longest)
+)
+select account_id, id, max(depth) >= (select n from longest) as is_cycle,
+       case when max(depth) < (select n from longest) then arg_max(cur, depth) end as root_id
+from walk group by account_id, id
+"""
+
+
+def _fused(score: str) -> str:
+    return f"""
+with {POSTS}, {CLEAN}, {HASHED}, {BM25},
+lists as (
+  select coalesce(k.query_id, b.query_id) as query_id, coalesce(k.tweet_id, b.tweet_id) as tweet_id,
+         k.score as ks, b.score as ts, k.rank as kr, b.rank as tr
+  from (select * from knn_ranked where rank <= 10) k
+  full outer join (select * from bm25_ranked where rank <= 10) b
+    on k.query_id = b.query_id and k.tweet_id = b.tweet_id
+),
+bounds as (select query_id, min(ks) as klo, max(ks) as khi, min(ts) as tlo, max(ts) as thi from lists group by query_id),
+scored as (select query_id, tweet_id, coalesce(ks, 0) as ks, coalesce(ts, 0) as ts, {score} as score
+           from lists join bounds using (query_id)),
+ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, tweet_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, tweet_id, round(score, 6) as score,
+       round(ks, 6) as knn_score, round(ts, 6) as text_score
+from ranked where rank <= 5
+"""
+
+
+def _scaled(x: str, lo: str, hi: str) -> str:
+    return f"(case when {x} is null then 0.0 when {hi} > {lo} then ({x} - {lo}) / ({hi} - {lo}) else 1.0 end)"
+
+
+ORACLES["hybrid_minmax"] = _fused(f"{_scaled('ks', 'klo', 'khi')} + 0.3 * {_scaled('ts', 'tlo', 'thi')}")
+ORACLES["hybrid_rrf"] = _fused("coalesce(1.0 / (60 + kr), 0) + coalesce(1.0 / (60 + tr), 0)")
+
+ORACLES["search_results_knn"] = f"""
+with {POSTS}, {CLEAN}, {HASHED}
+select {RESULT_COLS}
+from (select * from knn_ranked where rank <= 5) h join clean c on c.tweet_id = h.tweet_id
+"""

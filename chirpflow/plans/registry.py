@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirpflow.operators import ann, clean, embed, ingest, profile, search, threads, trends
+from chirpflow.plans import jobs
+from chirpflow.session import scratch_path
+from chirpflow.sources import archives, posts
 from chirpflow.sources import fixtures as fx
 from chirpflow.streaming.ingest_stream import ingest_stream
 
@@ -20,6 +23,7 @@ from chirpflow.streaming.ingest_stream import ingest_stream
 SERIES_WORD = "the"          # a word present in the generated text
 SPIKE_FACTOR = 5.0           # the reference's 10 finds nothing at sf0.01; 10 is unit-tested
 TOP_WORDS = 1000
+CLIP = ("1993-07-01", "1996-06-30")   # both ends inclusive
 # --- end of fixed values ---
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +52,11 @@ def q_daily_word_count(spark, sf_dir):
     return trends.daily_word_count(typed_posts(spark, sf_dir), SERIES_WORD)
 
 
+@register("daily_word_count_clipped")
+def q_daily_word_count_clipped(spark, sf_dir):
+    return trends.daily_word_count(typed_posts(spark, sf_dir), SERIES_WORD, start=CLIP[0], end=CLIP[1])
+
+
 @register("doc_term_counts")
 def q_doc_term_counts(spark, sf_dir):
     return trends.doc_term_counts(typed_posts(spark, sf_dir))
@@ -118,7 +127,9 @@ def q_thread_text(spark, sf_dir):
 def q_thread_word_by_date(spark, sf_dir):
     tw = archive(spark, sf_dir)
     roots = threads.thread_roots(tw, in_archive=True)
-    return threads.thread_word_counts(tw, roots, fx.stopwords(spark))
+    path = scratch_path(spark, "stopwords")
+    fx.stopwords(spark).write.text(path)
+    return threads.thread_word_counts(tw, roots, posts.read_stopwords(spark, path))
 
 
 @register("word_series")
@@ -126,6 +137,52 @@ def q_word_series(spark, sf_dir):
     return threads.word_series(q_thread_word_by_date(spark, sf_dir), THREAD_WORD)
 
 
+@register("thread_roots_cycles")
+def q_thread_roots_cycles(spark, sf_dir):
+    return threads.thread_roots(threads.exclude_retweets(fx.looping_tweets(spark, sf_dir)), in_archive=True)
+
+
+# ---- sources: the tables written as the reference's files and read back ------
+
+
+@register("csv_posts")
+def q_csv_posts(spark, sf_dir):
+    path = scratch_path(spark, "posts-csv")
+    posts.write_posts_csv(fx.csv_posts(spark, sf_dir), path)
+    typed = posts.type_posts(posts.read_posts_csv(spark, path, na_strings=("NA",)))
+    return clean.drop_null_text(typed)
+
+
+@register("archive_flat")
+def q_archive_flat(spark, sf_dir):
+    path = scratch_path(spark, "archives")
+    fx.archive_documents(spark, sf_dir).write.json(path)
+    return archives.read_archives(spark, path, multiline=False)
+
+
+@register("embed_job")
+def q_embed_job(spark, sf_dir):
+    """Posts CSV -> vectors -> JSON lines (the job), read back and validated."""
+    root = scratch_path(spark, "embed-job")
+    posts.write_posts_csv(fx.csv_posts(spark, sf_dir), f"{root}/csv")
+    jobs.embed_posts_job(spark, f"{root}/csv", f"{root}/jsonl", encoder=embed.hashing_encoder(HASH_DIM))
+    parsed = ingest.read_posts_jsonl(spark, f"{root}/jsonl")
+    e = embed.vector_entries(parsed.select("tweet_id", F.col("full_text_vector").cast("array<float>")), "tweet_id")
+    return e.select("tweet_id", "bucket", F.round(F.col("weight").cast("double"), SCORE_DECIMALS).alias("weight"))
+
+
+@register("ingest_batch")
+def q_ingest_batch(spark, sf_dir):
+    """The JSON lines written as files and ingested twice into one new table; the second run adds nothing."""
+    root = scratch_path(spark, "ingest-batch")
+    fx.ingest_lines(spark, sf_dir).select("value").write.text(f"{root}/in")
+    ingest.create_posts_table(spark, f"{root}/posts")
+    for _ in range(2):
+        jobs.ingest_job(spark, f"{root}/in", f"{root}/posts", f"{root}/quarantine", dim=INGEST_DIM, mode="dedup")
+    table = ingest.read_posts_table(spark, f"{root}/posts")
+    return table.select("tweet_id", "month", "retweet_count", "favorite_count")
+
+
 # ---- vectors and search ------------------------------------------------------
 
 HASH_DIM = 64                # stand-in encoder width (the driver's vectors are 64-d)
@@ -208,6 +265,25 @@ def q_hybrid_search(spark, sf_dir):
     return _rounded(hits.withColumnRenamed("id", "tweet_id"), "score", "knn_score", "text_score")
 
 
+@register("hybrid_minmax")
+def q_hybrid_minmax(spark, sf_dir):
+    hits = search.hybrid(text_corpus(spark, sf_dir), text_query_table(spark), k=10, size=5, fusion="minmax")
+    return _rounded(hits.withColumnRenamed("id", "tweet_id"), "score", "knn_score", "text_score")
+
+
+@register("hybrid_rrf")
+def q_hybrid_rrf(spark, sf_dir):
+    hits = search.hybrid(text_corpus(spark, sf_dir), text_query_table(spark), k=10, size=5, fusion="rrf")
+    return _rounded(hits.withColumnRenamed("id", "tweet_id"), "score", "knn_score", "text_score")
+
+
+@register("search_results_knn")
+def q_search_results_knn(spark, sf_dir):
+    rows = search.search(text_corpus(spark, sf_dir), fx.text_queries(spark), mode="knn",
+                         size=5, k=10, encoder=embed.hashing_encoder(HASH_DIM))
+    return _rounded(rows, "score")
+
+
 @register("search_results")
 def q_search_results(spark, sf_dir):
     rows = search.search(text_corpus(spark, sf_dir), fx.text_queries(spark), mode="hybrid",

@@ -37,7 +37,8 @@ def flatten_archives(raw: DataFrame, retweeted_path: str = "wrapper") -> DataFra
     )
 
 
-def read_archives(spark: SparkSession, path: str, retweeted_path: str = "wrapper") -> DataFrame:
-    """Read a folder of archive files (one account per file; many files read in parallel)."""
-    raw = spark.read.option("multiLine", True).schema(ARCHIVE).json(path)
+def read_archives(spark: SparkSession, path: str, retweeted_path: str = "wrapper", multiline: bool = True) -> DataFrame:
+    """Read a folder of archive files: one account per file (many files read in parallel),
+    or with ``multiline=False`` one account per line (files can be split)."""
+    raw = spark.read.option("multiLine", multiline).schema(ARCHIVE).json(path)
     return flatten_archives(raw, retweeted_path)

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chirpflow.schemas import POST_COLUMNS
 from chirpflow.session import read_table
 
 ARCHIVE_TS_FORMAT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
@@ -69,6 +70,48 @@ def dirty_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("full_text", text)
 
 
+def csv_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dirty_posts`` as the strings of a posts CSV; every 29th date and every 31st count is no such value."""
+    k = F.col("tweet_id").cast("long")
+    stamp = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")
+    return dirty_posts(spark, sf_dir).withColumns({
+        "created_at": F.when(k % 29 == 0, F.lit("not a date")).otherwise(stamp),
+        "retweet_count": F.when(k % 31 == 0, F.lit("many")).otherwise(F.col("retweet_count").cast("string")),
+    }).select(*[F.col(c).cast("string").alias(c) for c in POST_COLUMNS])
+
+
+ARCHIVE_PART = 100           # positions of one archive document: large accounts come in parts
+
+
+def archive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``archive_tweets`` nested as archive documents (account, tweets), at most 100 positions in one."""
+    entry = F.struct("pos", F.struct(
+        "retweeted",
+        F.struct("id", "full_text", "created_at", "in_reply_to_user_id", "in_reply_to_status_id").alias("tweet"),
+    ).alias("entry"))
+    parts = (
+        archive_tweets(spark, sf_dir)
+        .groupBy("account_id", F.floor(F.col("pos") / ARCHIVE_PART).alias("part"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    )
+    account = F.struct(F.col("account_id").alias("accountId"))
+    return parts.select(
+        F.array(F.struct(account.alias("account"))).alias("account"),
+        F.transform("rows", lambda r: r["entry"]).alias("tweets"),
+    )
+
+
+def looping_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``archive_tweets`` with reply cycles (turn 0 answers turn 2 where the account ends in 5) and
+    self-replies without a parent (turn 5 where it ends in 9)."""
+    conv, turn = F.col("account_id").cast("long"), F.col("id").cast("long") % 100
+    loop, orphan = (conv % 10 == 5) & (turn == 0), (conv % 10 == 9) & (turn == 5)
+    return archive_tweets(spark, sf_dir).withColumns({
+        "in_reply_to_status_id": F.when(loop, (conv * 100 + 2).cast("string")).when(~orphan, F.col("in_reply_to_status_id")),
+        "in_reply_to_user_id": F.when(loop, F.col("account_id")).otherwise(F.col("in_reply_to_user_id")),
+    })
+
+
 def archive_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flattened account archives: one row per tweet entry, in archive order.
 

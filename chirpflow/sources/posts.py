@@ -58,5 +58,11 @@ def write_posts_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_posts_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write posts as CSV files that ``read_posts_csv`` reads back unchanged (blanks, quotes, newlines)."""
+    keep_blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, escape='"', **keep_blanks).csv(path)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)

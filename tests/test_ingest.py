@@ -48,6 +48,7 @@ def test_ingest_end_to_end_and_guard(spark, tmp_dir):
     with pytest.raises(RuntimeError):
         ingest.ingest(ingest.parse_json_lines(lines_df(spark, good[:1] + bad)), table, quarantine, dim=3)
     assert spark.read.parquet(table).count() == 4  # the failing batch wrote nothing to the table
+    assert spark.read.parquet(quarantine).count() == 4  # nor to the quarantine: a retry doubles nothing
     stats = ingest.ingest(ingest.parse_json_lines(lines_df(spark, good)), table, quarantine, dim=3, mode="dedup")
     assert stats["written"] == 4  # re-ingest of the same ids adds nothing
 
@@ -94,7 +95,19 @@ def test_create_posts_table_once(spark, tmp_dir):
     path = os.path.join(tmp_dir, "posts")
     assert ingest.create_posts_table(spark, path) is True
     assert ingest.create_posts_table(spark, path) is False
-    assert os.path.exists(os.path.join(path, "_SUCCESS"))
+    table = ingest.read_posts_table(spark, path)  # readable while it holds no file
+    assert table.count() == 0 and table.columns[-1] == "month"
+
+
+def test_dedup_inside_a_batch_and_without_ids(spark, tmp_dir):
+    import json
+
+    no_id = [json.dumps({"full_text": t, "full_text_vector": [1, 2, 3]}) for t in ("x", "x", "y")]
+    lines = [line(1), line(1), line(2), *no_id]
+    for _ in range(2):
+        stats = ingest.ingest(ingest.parse_json_lines(lines_df(spark, lines)), os.path.join(tmp_dir, "posts"),
+                              os.path.join(tmp_dir, "quarantine"), dim=3, mode="dedup")
+        assert stats["written"] == 4  # ids 1 and 2, and two different rows without an id
 
 
 def test_preview_is_ordered(spark):

@@ -231,3 +231,30 @@ def test_ties_at_the_cut_keep_smallest_ids(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == ["d00", "d01", "d02", "d03", "d04"]
+
+
+def test_not_finite_vectors_are_skipped_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_BLOCK_CELLS", 2)
+    rows = [(f"g{i}", [float(i), 1.0]) for i in range(8)] + [(f"n{i}", [float("nan"), 1.0]) for i in range(3)]
+    rows.append(("inf", [float("inf"), 1.0]))
+    corpus = spark.createDataFrame(rows, "tweet_id string, full_text_vector array<float>")
+    q = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, query_vector array<double>")
+    for metric in ("l2", "cosine", "dot"):
+        got = [r.id for r in search.vector_topk(corpus, q, k=3, metric=metric).orderBy("rank").collect()]
+        assert got == ["g0", "g1", "g2"], metric
+
+
+def test_query_vectors_of_two_lengths_raise(spark):
+    corpus = spark.createDataFrame([("a", [1.0, 0.0])], "tweet_id string, full_text_vector array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
+    with pytest.raises(ValueError):
+        search.vector_topk(corpus, q, k=1)
+
+
+def test_minmax_gives_a_missing_side_nothing(spark):
+    corpus = spark.createDataFrame(
+        [("a", [1.0, 0.0], "cat"), ("b", [0.9, 0.1], "dog"), ("c", [0.5, 0.5], "dog")],
+        "tweet_id string, full_text_vector array<float>, full_text string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "cat")], "query_id int, query_vector array<double>, query_text string")
+    got = {r.id: r.score for r in search.hybrid(corpus, q, k=3, size=3, fusion="minmax").collect()}
+    assert got["a"] == pytest.approx(1.3) and got["c"] == pytest.approx(0.0)
