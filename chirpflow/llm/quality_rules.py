@@ -3,8 +3,8 @@
 Each rule looks at a document's counts and votes good (1), bad (0) or abstains
 (null). A document's votes form a pattern; the corpus has at most 3^rules
 patterns, so expectation-maximisation over the pattern counts (estimating each
-rule's accuracy and the share of good documents) costs the same at any corpus
-size. The posterior P(good | votes) replaces "every rule must pass".
+rule's accuracy and the shares of good and failing documents) costs the same at any
+corpus size. The posterior P(good | votes) replaces "every rule must pass".
 
 Defined results: a null or blank text has no words, fails the base rules and gets
 whatever posterior its votes give; repeated rows are scored alike, once per row;
@@ -126,65 +126,95 @@ def rules() -> dict[str, Column]:
     }
 
 
+def pattern_number(names: list[str]) -> Column:
+    """The votes as one number: base 3, below 3^rules."""
+    digits = [F.coalesce(F.col(n), F.lit(2)) * 3**i for i, n in enumerate(names)]
+    return sum(digits[1:], digits[0]).cast("int")
+
+
 def vote_patterns(votes: DataFrame, names: list[str]) -> DataFrame:
-    return votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy("pattern", *names).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Start rates of bad votes, among the votes a rule casts: on good documents, on documents
+#: of the rule's own failure class, on documents of another failure class.
+START_GOOD, START_OWN, START_OTHER = 0.01, 0.9, 0.2
+#: What the fit assumes of the rules: one is wrong on a good document at most this often,
+#: right on its own failure class at least this often, and most documents are good.
+MAX_FALSE, MIN_OWN, MIN_GOOD = 0.01, 0.9, 0.6
+
+
+def class_weights(names: list[str], model: dict) -> Column:
+    """Array of P(class) * P(votes | class): the good class first, then one failure class a rule."""
+    # rates travel as literal arrays: the plan's code is the same in every round and compiled once
 
+    def values(xs: list[float]) -> Column:
+        return F.array(*[F.lit(math.log(x)) for x in xs])
 
-def posterior(names: list[str], model: dict) -> Column:
-    """P(good | votes) by Bayes over the rules' vote rates, as a sum of log odds."""
-    odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for name in names:
-        good, bad = model["rules"][name]
-        up, down, none = (math.log(g / b) for g, b in zip(good, bad, strict=True))
-        odds = odds + F.when(F.col(name) == 1, F.lit(up)).when(F.col(name) == 0, F.lit(down)).otherwise(F.lit(none))
-    return 1 / (1 + F.exp(-odds))
+    rates = [(F.col(n), values(model["bad"][n]), values([1 - x for x in model["bad"][n]])) for n in names]
 
+    def weight(k: Column) -> Column:
+        log = F.get(values(model["prior"]), k)
+        for vote, down, up in rates:
+            log = log + F.when(vote == 0, F.get(down, k)).when(vote == 1, F.get(up, k)).otherwise(0.0)
+        return F.exp(log)
 
-#: Vote rates (good, bad, abstain) that the fit starts from, among good and among bad documents.
-START = ((0.75, 0.01, 0.24), (0.55, 0.25, 0.20))
+    return F.transform(F.sequence(F.lit(0), F.lit(len(names))), weight)
 
 
-def fit_em(patterns: DataFrame, names: list[str], rounds: int = 12, smooth: float = 1.0) -> dict:
+def with_posterior(votes: DataFrame, names: list[str], model: dict) -> DataFrame:
+    """Adds p_good, P(good | votes) by Bayes; a rule that abstains says nothing."""
+    total = F.aggregate("_weights", F.lit(0.0), lambda x, y: x + y)
+    weighed = votes.withColumn("_weights", class_weights(names, model))
+    return weighed.withColumn("p_good", F.get("_weights", F.lit(0)) / total).drop("_weights")
+
+
+def start_model(names: list[str]) -> dict:
+    own = {n: [START_GOOD] + [START_OWN if n == k else START_OTHER for k in names] for n in names}
+    return {"prior": [0.9] + [0.1 / len(names)] * len(names), "bad": own}
+
+
+def fit_em(patterns: DataFrame, names: list[str], rounds: int = 12, smooth: float = 10.0) -> dict:
     """EM over the pattern table (at most 3^rules rows whatever the corpus size).
 
-    A rule's accuracy is its rate of good, bad and abstaining votes in each class. Each
-    round is one aggregate over the patterns: the E-step is the posterior expression
-    under the current model, the M-step its weighted vote counts; only those few sums
-    come back. Starts from "bad votes are rare among good documents"; smoothing towards
-    the start keeps every rate inside (0, 1). A rule's bad votes never become evidence
-    for good: that fixes which class is which. No documents: the start values.
+    Documents fail in several ways that have little to do with each other (repeats, symbol
+    litter, shouting), so there is one good class and one failure class for each rule, and
+    a rule's accuracy is its rate of bad votes in each class. Rates are taken among the
+    votes cast: rules abstain on short texts together, so abstaining is no evidence. Each
+    round is one aggregate over patterns x classes: the E-step is the class weights under
+    the current model, the M-step their vote counts; only those few sums come back.
+    MAX_FALSE, MIN_OWN and MIN_GOOD say which class is which; with them a document
+    without a bad vote is never rejected. No documents: the start model.
     """
-    model = {"prior": 0.9, "rules": {name: START for name in names}}
+    start = model = start_model(names)
     for _ in range(rounds):
-        scored = patterns.withColumn("_p", posterior(names, model))
-        good_n, bad_n = F.col("n") * F.col("_p"), F.col("n") * (1 - F.col("_p"))
-        sums = [F.sum("n").alias("n"), F.sum(good_n).alias("good")]
+        scored = patterns.withColumn("_weights", class_weights(names, model))
+        scored = scored.withColumn("_total", F.aggregate("_weights", F.lit(0.0), lambda x, y: x + y))
+        scored = scored.select("n", "_total", *names, F.posexplode("_weights").alias("k", "_weight"))
+        scored = scored.withColumn("w", F.col("n") * F.col("_weight") / F.col("_total"))
+        sums = [F.sum("w").alias("w")]
         for name in names:
-            for vote, mark in ((1, "up"), (0, "down")):
-                sums.append(F.sum(F.when(F.col(name) == vote, good_n).otherwise(0.0)).alias(f"{name}_g_{mark}"))
-                sums.append(F.sum(F.when(F.col(name) == vote, bad_n).otherwise(0.0)).alias(f"{name}_b_{mark}"))
-        s = scored.agg(*sums).first()
-        if not s["n"]:
+            sums.append(F.coalesce(F.sum(F.when(F.col(name) == 0, F.col("w"))), F.lit(0.0)).alias(f"{name}_down"))
+            sums.append(F.coalesce(F.sum(F.when(F.col(name).isNotNull(), F.col("w"))), F.lit(0.0)).alias(f"{name}_cast"))
+        rows = {r["k"]: r for r in scored.groupBy("k").agg(*sums).collect()}  # one row a class
+        total = sum(r["w"] for r in rows.values())
+        if not total:
             return model
-        totals = {"g": s["good"], "b": s["n"] - s["good"]}
-        new = {"prior": (s["good"] + 9 * smooth) / (s["n"] + 10 * smooth), "rules": {}}
+        prior = [(rows[k]["w"] + smooth * x) / (total + smooth) for k, x in enumerate(start["prior"])]
+        if prior[0] < MIN_GOOD:
+            prior = [MIN_GOOD] + [x * (1 - MIN_GOOD) / (1 - prior[0]) for x in prior[1:]]
+        bad = {}
         for name in names:
-            rates = []
-            for k, start in zip("gb", START, strict=True):
-                up, down = s[f"{name}_{k}_up"], s[f"{name}_{k}_down"]
-                weights = (up, down, max(0.0, totals[k] - up - down))
-                rates.append(tuple((w + 10 * smooth * x) / (totals[k] + 10 * smooth) for w, x in zip(weights, start, strict=True)))
-            good, bad = rates
-            if good[1] > bad[1]:  # bad votes would speak for good: let them say nothing
-                good = bad = tuple((x + y) / 2 for x, y in zip(good, bad, strict=True))
-            new["rules"][name] = (good, bad)
-        shift = max(
-            abs(x - y)
-            for name in names
-            for k in (0, 1)
-            for x, y in zip(new["rules"][name][k], model["rules"][name][k], strict=True)
-        )
-        model = new
+            rates = [
+                (rows[k][f"{name}_down"] + smooth * x) / (rows[k][f"{name}_cast"] + smooth)
+                for k, x in enumerate(start["bad"][name])
+            ]
+            rates[0] = min(rates[0], MAX_FALSE)
+            own = 1 + names.index(name)
+            rates[own] = max(rates[own], MIN_OWN)
+            bad[name] = [min(max(x, 1e-6), 1 - 1e-6) for x in rates]
+        shift = max(abs(x - y) for name in names for x, y in zip(bad[name], model["bad"][name], strict=True))
+        model = {"prior": prior, "bad": bad}
         if shift < 1e-4:
             break
     return model
@@ -200,14 +230,16 @@ def quality_votes(docs: DataFrame, threshold: float = 0.5, rounds: int = 12) ->
     votes = rules()
     names = list(votes)
     path = scratch_path(spark, "quality-features")
-    features(docs).withColumns(votes).write.parquet(path)
+    features(docs).withColumns(votes).withColumn("pattern", pattern_number(names)).write.parquet(path)
     table = spark.read.parquet(path)
     counts = scratch_path(spark, "quality-patterns")
     vote_patterns(table, names).coalesce(1).write.parquet(counts)
-    model = fit_em(spark.read.parquet(counts), names, rounds)
+    patterns = spark.read.parquet(counts)
+    model = fit_em(patterns, names, rounds)
+    scored = with_posterior(patterns, names, model).select("pattern", "p_good")  # at most 3^rules rows
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        table.withColumn("p_good", posterior(names, model))
+        table.join(F.broadcast(scored), "pattern")
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
     )

@@ -79,6 +79,21 @@ def test_quality_posterior_prefers_clean(spark):
     assert all(got[i] for i in range(50)) and not got[98]
 
 
+def test_quality_separate_failures_and_short_clean_texts(spark):
+    """Symbol litter and repeats are found each by one rule only; short clean texts stay."""
+    def prose(i, n):
+        return " ".join(f"word{i}x{k}" for k in range(n))
+
+    rows = [(i, prose(i, 60)) for i in range(200)] + [(200 + i, prose(i, 22)) for i in range(30)]
+    rows += [(300 + i, prose(i, 60).replace(" ", "### ")) for i in range(20)]
+    rows += [(400 + i, "\n".join([prose(i, 8)] * 6 + [prose(i, 90)])) for i in range(20)]
+    got = {r["doc_id"]: r for r in rows_of(quality_rules.quality_votes(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert all(got[i]["kept"] for i in range(230))
+    assert not any(got[i]["kept"] for i in range(300, 320))
+    assert not any(got[i]["kept"] for i in range(400, 420))
+    assert all(0 <= r["p_good"] <= 1 for r in got.values())
+
+
 def test_bpe_equals_library(docs, odd, empty):
     from tokenizers import Tokenizer
 
