@@ -156,6 +156,21 @@ def _concat(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     return keys, np.concatenate(keys), counts
 
 
+def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of a bucket and their counts over all batches. Each batch lists a code
+    once, so batches are unpacked one by one after a single sort in place: about two words of
+    memory an entry, however many batches share the bucket."""
+    codes = np.concatenate([np.frombuffer(L.unpack(a), dtype=np.uint64) for a in rows["a"]])
+    codes.sort()
+    distinct = codes[np.concatenate([[True], codes[1:] != codes[:-1]])]
+    del codes
+    total = np.zeros(len(distinct), np.int64)
+    for a, b in zip(rows["a"], rows["b"], strict=True):
+        at = np.searchsorted(distinct, np.frombuffer(L.unpack(a), dtype=np.uint64))
+        total[at] += np.frombuffer(L.unpack(b), dtype=np.uint32)
+    return distinct, total
+
+
 def _answer(rows: pd.DataFrame, keys: list[np.ndarray], values: np.ndarray, kind: str) -> pd.DataFrame:
     parts = np.split(values, np.cumsum([len(k) for k in keys])[:-1])
     return pd.DataFrame(
@@ -214,11 +229,15 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     shared = spark.sparkContext.broadcast(low)
 
     def grams(rows: pd.DataFrame) -> pd.DataFrame:
-        parts, codes, counts = _concat(rows)
-        distinct, at = np.unique(codes, return_inverse=True)
-        total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
+        distinct, total = _merged(rows)
         trie = tables(distinct[total > 0], total[total > 0], order, shared.value)
-        return _answer(rows, parts, log_probabilities(distinct, trie).astype(np.float32)[at], "gram")
+        log_p = log_probabilities(distinct, trie).astype(np.float32)
+        answers = [
+            L.pack(log_p[np.searchsorted(distinct, np.frombuffer(L.unpack(a), dtype=np.uint64))].tobytes()) for a in rows["a"]
+        ]
+        return pd.DataFrame(
+            {"kind": "gram", "batch": rows["batch"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "a": answers, "n": 0, "v": 0}
+        )
 
     def vocabulary(rows: pd.DataFrame) -> pd.DataFrame:
         parts, values, counts = _concat(rows)
