@@ -247,7 +247,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
 
     rows = texts.select("text", "rep", "comp", "blocks", "weight", "digest").mapInArrow(
         sets, "rep long, comp long, blocks long, weight long, shingles binary"
-    )
+    ).distinct()  # a representative whose row is repeated ships its set once
     # a component of one block shares a group with others; a larger one is dealt out as
     # block pairs (i, j), i <= j, each a group of its own
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))

@@ -279,6 +279,15 @@ def test_jaccard_block_pairs_lose_nothing(docs, monkeypatch):
     assert {tuple(r) for r in jj.jaccard_join(docs).collect()} == whole
 
 
+def test_jaccard_repeated_representative(spark):
+    """The smallest doc_id of a class is repeated (same text, and spaced otherwise) and has a near copy."""
+    spaced = PASSAGE.replace(" ", "  ")
+    for repeats in ([PASSAGE] * 2, [PASSAGE, spaced], [PASSAGE, spaced] * 5):
+        rows = [(7, t) for t in repeats] + [(13, PASSAGE + " tail")]
+        got = Counter((r["doc_id"], r["class_id"], r["n_links"], r["group_id"]) for r in rows_of(jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))))
+        assert got == {(7, 7, len(repeats), 7): len(repeats), (13, 13, len(repeats), 7): 1}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in rows_of(jj.components(edges))}
