@@ -284,6 +284,28 @@ def bm25(
     (a term repeated in the query counts again). Statistics are global and use
     exact document lengths. Documents matching no term are not returned.
     """
+    scored = bm25_scores(corpus, queries, k1, b, tokenizer, id_col, text_col, query_id_col, query_text_col, corpus_stats)
+    w = Window.partitionBy("query_id").orderBy(*_order())
+    return (
+        scored.withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= size)
+        .select("query_id", "rank", "id", "score")
+    )
+
+
+def bm25_scores(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k1: float = BM25_K1,
+    b: float = BM25_B,
+    tokenizer: str = "standard",
+    id_col: str = "tweet_id",
+    text_col: str = "full_text",
+    query_id_col: str = "query_id",
+    query_text_col: str = "query_text",
+    corpus_stats: tuple[int, float] | None = None,
+) -> DataFrame:
+    """BM25 of every matching document, unranked (see ``bm25``) -> (query_id, id, score)."""
     spark = corpus.sparkSession
     docs = corpus.select(F.col(id_col).alias("id"), tokenize(text_col, tokenizer).alias("toks"))
     qt = (
@@ -295,7 +317,6 @@ def bm25(
     small_vocab = len(vocab) <= MAX_QUERY_TERMS
     schema = StructType([
         StructField("query_id", queries.schema[query_id_col].dataType),
-        StructField("rank", IntegerType()),
         StructField("id", corpus.schema[id_col].dataType),
         StructField("score", DoubleType()),
     ])
@@ -334,19 +355,13 @@ def bm25(
     idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
     side = F.broadcast if small_vocab else (lambda d: d)
-    scored = (
+    return (
         matched.join(side(dfreq), "term")
         .join(side(qt), "term")
         .select("query_id", "id", (F.col("qtf") * idf * F.col("tf") / (F.col("tf") + norm)).alias("s"))
         .groupBy("query_id", "id")
         .agg(F.sum("s").alias("score"))
     )
-    w = Window.partitionBy("query_id").orderBy(*_order())
-    return (
-        scored.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= size)
-        .select("query_id", "rank", "id", "score")
-    )
 
 
 def hybrid(
@@ -361,39 +376,57 @@ def hybrid(
     vec_col: str = "full_text_vector",
     text_col: str = "full_text",
 ) -> DataFrame:
-    """Vector and keyword candidates fused per query -> (query_id, rank, id, score, knn_score, text_score).
-
-    Each side contributes its top-k; the lists are merged by a full outer join
-    (a side that misses a document scores 0 there), so a query without usable
-    words falls back to pure vector search. fusion: 'weighted_sum'
-    (knn + boost * bm25, default), 'minmax' (each list scaled to [0, 1] per
-    query first) or 'rrf' (sum of 1 / (60 + rank)).
+    """Vector hits and keyword matches fused per query -> (query_id, rank, id, score, knn_score, text_score).
+
+    The vector side is its top-k (a document outside it scores 0 there), the
+    keyword side every match with its exact BM25 (no match scores 0), so a query
+    without usable words falls back to pure vector search. fusion: 'weighted_sum'
+    (knn + boost * bm25, default), 'minmax' (each side scaled to [0, 1] per
+    query first: over the k vector hits, over all matches) or 'rrf' (sum of
+    1 / (60 + rank), the keyword rank counted among all matches).
     """
+    if fusion not in ("weighted_sum", "minmax", "rrf"):
+        raise ValueError("fusion must be weighted_sum, minmax or rrf")
     k, size = _defaults(k, size)
-    kn = vector_topk(corpus, queries, k, metric, id_col=id_col, vec_col=vec_col).select(
+    # both are read several times below: the vector hits (queries x k rows) and the
+    # scored matches are written once to the shared checkpoint folder
+    kn = _written(vector_topk(corpus, queries, k, metric, id_col=id_col, vec_col=vec_col), "hybrid-knn").select(
         "query_id", "id", F.col("score").alias("knn_score"), F.col("rank").alias("knn_rank")
     )
-    tx = bm25(corpus, queries, size=k, id_col=id_col, text_col=text_col).select(
-        "query_id", "id", F.col("score").alias("text_score"), F.col("rank").alias("text_rank")
-    )
+    matches = _written(bm25_scores(corpus, queries, id_col=id_col, text_col=text_col), "hybrid-text")
+    w = Window.partitionBy("query_id").orderBy(*_order())
+    # a match outside the vector hits enters the result only if fewer than size such
+    # matches rank before it: the k + size best hold them all
+    tx = matches.withColumn("text_rank", F.row_number().over(w)).where(F.col("text_rank") <= k + size)
+    # vector hits that match further down keep their exact score and rank
+    hits = matches.join(F.broadcast(kn.select("query_id", "id").distinct()), ["query_id", "id"], "left_semi")
+    rest = hits.join(tx.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    if fusion == "rrf":
+        h = rest.select(F.col("query_id").alias("_q"), F.col("id").alias("_id"), F.round("score", TIE_DECIMALS).alias("_s"))
+        s = F.round("score", TIE_DECIMALS)
+        before = (F.col("query_id") == F.col("_q")) & ((s > F.col("_s")) | ((s == F.col("_s")) & (F.col("id") < F.col("_id"))))
+        ranks = matches.join(F.broadcast(h), before).groupBy("_q", "_id").agg((F.count(F.lit(1)) + 1).alias("text_rank"))
+        rest = rest.join(ranks.select(F.col("_q").alias("query_id"), F.col("_id").alias("id"), "text_rank"), ["query_id", "id"])
+    else:
+        rest = rest.withColumn("text_rank", F.lit(None).cast("long"))
+    tx = tx.unionByName(rest).select("query_id", "id", F.col("score").alias("text_score"), "text_rank")
     j = kn.join(tx, ["query_id", "id"], "full_outer")
     ks, ts = F.coalesce("knn_score", F.lit(0.0)), F.coalesce("text_score", F.lit(0.0))
     if fusion == "weighted_sum":
         score = ks + F.lit(boost) * ts
     elif fusion == "minmax":
-        def scaled(c):
-            wq = Window.partitionBy("query_id")
-            lo, hi = F.min(c).over(wq), F.max(c).over(wq)
-            inside = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(1.0))
+        wq = Window.partitionBy("query_id")
+        j = j.withColumn("_klo", F.min("knn_score").over(wq)).withColumn("_khi", F.max("knn_score").over(wq))
+        j = j.join(matches.groupBy("query_id").agg(F.min("score").alias("_tlo"), F.max("score").alias("_thi")), "query_id", "left")
+
+        def scaled(c, lo, hi):
+            inside = F.when(F.col(hi) > F.col(lo), (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(F.lit(1.0))
             return F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(inside)
-        score = scaled("knn_score") + F.lit(boost) * scaled("text_score")
-    elif fusion == "rrf":
+        score = scaled("knn_score", "_klo", "_khi") + F.lit(boost) * scaled("text_score", "_tlo", "_thi")
+    else:
         score = F.coalesce(1.0 / (RRF_K + F.col("knn_rank")), F.lit(0.0)) + F.coalesce(
             1.0 / (RRF_K + F.col("text_rank")), F.lit(0.0)
         )
-    else:
-        raise ValueError("fusion must be weighted_sum, minmax or rrf")
-    w = Window.partitionBy("query_id").orderBy(*_order())
     return (
         j.withColumn("score", score)
         .withColumn("rank", F.row_number().over(w))
@@ -402,6 +435,12 @@ def hybrid(
     )
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 MAX_LOOKUP_IDS = 100_000     # hit ids fetched through an IN-list pushed into the scan
 
 

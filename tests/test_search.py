@@ -258,3 +258,44 @@ def test_minmax_gives_a_missing_side_nothing(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0], "cat")], "query_id int, query_vector array<double>, query_text string")
     got = {r.id: r.score for r in search.hybrid(corpus, q, k=3, size=3, fusion="minmax").collect()}
     assert got["a"] == pytest.approx(1.3) and got["c"] == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("fusion", ["weighted_sum", "minmax", "rrf"])
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_hybrid_scores_the_words_of_every_vector_hit(spark, fusion, metric):
+    """The vector hits rank far down among the matches: their exact BM25 and rank still count."""
+    k, size = 6, 5
+    texts = {f"t{i:02d}": " ".join(["cat"] * (1 + i % 4) + ["dog"] * (i % 3) + [f"w{n}" for n in range(i)]) for i in range(30)}
+    texts |= {f"v{i}": " ".join(["cat"] + [f"x{n}" for n in range(40 + 9 * (i % 4))]) for i in range(5)} | {"v5": "bird"}
+    near = {f"v{i}": [1.0 - i / 50, i / 50] for i in range(6)}
+    vecs = {d: near.get(d, [-3.0 - int(d[1:]), 1.0]) for d in texts}
+    c = spark.createDataFrame(
+        [(d, t, vecs[d]) for d, t in texts.items()], "tweet_id string, full_text string, full_text_vector array<double>")
+    q = spark.createDataFrame(
+        [(1, "cat dog", [1.0, 0.0]), (2, "zzzz", [1.0, 0.0])], "query_id int, query_text string, query_vector array<double>")
+    sim = {d: v[0] if metric == "dot" else 1 / (1 + (v[0] - 1) ** 2 + v[1] ** 2) for d, v in vecs.items()}
+    knn = sorted(sim.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+    want = {}
+    for query, words in ((1, "cat dog"), (2, "zzzz")):
+        text = py_bm25(texts, words)
+        order = sorted(text, key=lambda d: (-round(text[d], 9), d))
+        kr, tr = {d: r for r, (d, _) in enumerate(knn, 1)}, {d: r for r, d in enumerate(order, 1)}
+        ks = dict(knn)
+
+        def scaled(side, d):
+            if d not in side:
+                return 0.0
+            lo, hi = min(side.values()), max(side.values())
+            return (side[d] - lo) / (hi - lo) if hi > lo else 1.0
+
+        score = {
+            "weighted_sum": lambda d: ks.get(d, 0) + 0.3 * text.get(d, 0),
+            "minmax": lambda d: scaled(ks, d) + 0.3 * scaled(text, d),
+            "rrf": lambda d: sum(1 / (60 + r[d]) for r in (kr, tr) if d in r),
+        }[fusion]
+        full = {d: score(d) for d in ks.keys() | text.keys()}
+        best = sorted(full, key=lambda d: (-round(full[d], 9), d))[:size]
+        for r, d in enumerate(best, 1):
+            want[(query, r)] = (d, pytest.approx(full[d]), pytest.approx(ks.get(d, 0.0)), pytest.approx(text.get(d, 0.0)))
+    got = {(r.query_id, r.rank): (r.id, r.score, r.knn_score, r.text_score) for r in search.hybrid(c, q, k=k, size=size, fusion=fusion, metric=metric).collect()}
+    assert got == want
