@@ -12,6 +12,7 @@ from chirpflow.llm.ppm import op4_lm_score
 from chirpflow.llm.quality_rules import op1_quality_rules
 from chirpflow.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from chirpflow.llm.toxicity import op7_toxicity
+from chirpflow.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_format": op9_chat_format,
     "op10_fingerprint": op10_fingerprint,
+    "op11_whitening": op11_whitening,
 }
 
 SQL = {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL}
