@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Up to so many tasks the driver adds their blocks itself.
+DIRECT_TASKS = 16
 Block = tuple[np.ndarray, ...]
 
 
@@ -43,7 +45,7 @@ def sum_blocks(rows: DataFrame, block_of: Callable[[Iterator[pa.RecordBatch]], B
 
     partial = rows.mapInArrow(per_task, "block binary")
     tasks = rows.rdd.getNumPartitions() if tasks is None else tasks
-    if tasks > 64:
+    if tasks > DIRECT_TASKS:
         partial = partial.repartition(int(tasks**0.5)).mapInArrow(merged, "block binary")
     total = None
     for row in partial.collect():
