@@ -10,6 +10,7 @@ from chirpflow.llm.language_id import op6_language_id
 from chirpflow.llm.mixing import op3_mixing
 from chirpflow.llm.periodic_runs import op12_periodic_runs
 from chirpflow.llm.ppm import op4_lm_score
+from chirpflow.llm.quality_classifier import op13_quality_classifier
 from chirpflow.llm.quality_rules import op1_quality_rules
 from chirpflow.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from chirpflow.llm.toxicity import op7_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_fingerprint": op10_fingerprint,
     "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 SQL = {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL}
