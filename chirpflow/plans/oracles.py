@@ -358,7 +358,7 @@ fused as (
          coalesce(k.score, 0) as knn_score, coalesce(b.score, 0) as text_score,
          coalesce(k.score, 0) + 0.3 * coalesce(b.score, 0) as score
   from (select * from knn_ranked where rank <= 10) k
-  full outer join (select * from bm25_ranked where rank <= 10) b
+  full outer join bm25_ranked b
     on k.query_id = b.query_id and k.tweet_id = b.tweet_id
 ),
 hybrid_ranked as (
@@ -597,7 +597,7 @@ lists as (
   select coalesce(k.query_id, b.query_id) as query_id, coalesce(k.tweet_id, b.tweet_id) as tweet_id,
          k.score as ks, b.score as ts, k.rank as kr, b.rank as tr
   from (select * from knn_ranked where rank <= 10) k
-  full outer join (select * from bm25_ranked where rank <= 10) b
+  full outer join bm25_ranked b
     on k.query_id = b.query_id and k.tweet_id = b.tweet_id
 ),
 bounds as (select query_id, min(ks) as klo, max(ks) as khi, min(ts) as tlo, max(ts) as thi from lists group by query_id),
