@@ -11,6 +11,7 @@ MONTH_FORMAT = "yyyy-MM"                          # date_histogram key_as_string
 DISPLAY_DATE_FORMAT = "yyyy-MM-dd"                # fixed instead of a machine locale
 ARCHIVE_DATE_KEY_FORMAT = "MMMddyyyy"             # e.g. Jan052020 (strptime %b%d%Y)
 UNKNOWN_DATE = "UnknownDate"
+ARCHIVE_TIME_FORMAT = "MMM dd HH:mm:ss Z yyyy"    # an archive date without its weekday
 # --- end of fixed values ---
 
 
@@ -58,3 +59,9 @@ def archive_date_key(created_at) -> Column:
 def parse_archive_date_key(key) -> Column:
     """'Jan052020' -> DATE; null for 'UnknownDate' or anything unparsable."""
     return F.try_to_date(_col(key), ARCHIVE_DATE_KEY_FORMAT)
+
+
+def parse_archive_timestamp(created_at) -> Column:
+    """'Sun Jan 05 10:00:00 +0000 2020' -> TIMESTAMP; null for anything else (the weekday is not looked at)."""
+    c = F.trim(_col(created_at))
+    return F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3}\s+", ""), F.lit(ARCHIVE_TIME_FORMAT))

@@ -1,15 +1,24 @@
-"""Table profiles: numeric summary (describe) and schema with non-null counts (info).
+"""Table profiles: numeric and time summaries (describe) and schema with non-null counts (info).
 
-Both run as one aggregate pass whose partial aggregation happens map-side; the
-per-column rows are produced by ``stack`` on the single result row.
+Counts, means and extremes are one aggregate pass with partial aggregation. Quantiles
+are exact without a map of values and without a global sort: a sketch gives splitters,
+one pass counts the rows between them, and only the range that holds a wanted rank is
+looked at in the next round, until a range is one value or small. What reaches the
+driver is a few counts per range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 APPROX_ACCURACY = 100_000
+#: Ranges of one round, and the rows of a range that are sorted directly.
+SPLITTERS = 31
+SMALL_RANGE = 10_000
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -17,34 +26,127 @@ def _numeric(df: DataFrame) -> list[str]:
             or t.startswith("decimal")]
 
 
+def _times(df: DataFrame) -> list[str]:
+    return [n for n, t in df.dtypes if t in ("timestamp", "timestamp_ntz", "date")]
+
+
+def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]], limits: dict[str, tuple]) -> dict:
+    """(name, rank) -> the value of that rank (from 0) among the non-null ``values``.
+
+    ``limits``: least and greatest value of each name."""
+    found: dict = {}
+    # open questions: (name, rank) -> (low, high, rank inside this closed range)
+    open_ = {(c, r): (*limits[c], r) for c, rs in ranks.items() for r in set(rs)}
+    columns = df.select(*[v.alias(f"x{i}") for i, v in enumerate(values.values())])
+    at = {c: F.col(f"x{i}") for i, c in enumerate(values)}
+    while open_:
+        for key, (low, high, _) in list(open_.items()):
+            if low == high:
+                found[key] = low
+                del open_[key]
+        ranges = sorted({(c, low, high) for (c, _), (low, high, _) in open_.items()})
+        if not ranges:
+            break
+        inside = [F.when(at[c].between(low, high), at[c]) for c, low, high in ranges]
+        shares = [(i + 1) / (SPLITTERS + 1) for i in range(SPLITTERS)]
+        row = columns.agg(*[F.percentile_approx(x, shares, 1000).alias(f"s{i}") for i, x in enumerate(inside)]).first()
+        # place 2k + 1 is the k-th splitter itself, place 2k lies between two splitters
+        places = []
+        for i, x in enumerate(inside):
+            steps = [(x > s).cast("int") + (x >= s).cast("int") for s in sorted(set(row[i]))]
+            places.append(F.struct(F.lit(i).alias("range"), sum(steps, F.lit(0)).alias("place"), x.alias("x")))
+        counted = (
+            columns.select(F.inline(F.array(*places))).where(F.col("x").isNotNull())
+            .groupBy("range", "place").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+            .orderBy("range", "place").collect()
+        )  # at most 2 * SPLITTERS + 1 rows a range
+        small = {}
+        for key, (low, high, k) in list(open_.items()):
+            number = ranges.index((key[0], low, high))
+            for r in (r for r in counted if r["range"] == number):
+                if k < r["n"]:
+                    break
+                k -= r["n"]
+            if r["n"] <= SMALL_RANGE and r["low"] < r["high"]:
+                small.setdefault((key[0], r["low"], r["high"]), []).append((key, k))
+                del open_[key]
+            else:
+                open_[key] = (r["low"], r["high"], k)
+        for (c, low, high), wanted in small.items():
+            rows = sorted(r[0] for r in columns.where(at[c].between(low, high)).select(at[c]).collect())
+            found.update({key: rows[k] for key, k in wanted})
+    return found
+
+
+def _quantiles(df: DataFrame, values: dict[str, Column], counts: dict[str, int], limits: dict[str, tuple]) -> dict[str, list]:
+    """Quartiles with linear interpolation; None for a column without values."""
+    some = {c: v for c, v in values.items() if counts[c]}
+    ranks = {c: [r for q in QUARTILES for r in (math.floor(q * (counts[c] - 1)), math.ceil(q * (counts[c] - 1)))] for c in some}
+    found = order_statistics(df, some, ranks, limits) if some else {}
+    out: dict[str, list] = {c: [None] * len(QUARTILES) for c in values}
+    for c in some:
+        out[c] = []
+        for q in QUARTILES:
+            pos = q * (counts[c] - 1)
+            a, b = found[c, math.floor(pos)], found[c, math.ceil(pos)]
+            out[c].append(a + (b - a) * (pos - math.floor(pos)))
+    return out
+
+
 def profile(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """describe(): per column count, mean, std, min, p25, p50, p75, max.
 
-    -> (column, count, mean, std, min, p25, p50, p75, max). Percentiles are
-    exact with linear interpolation (which keeps a value -> count map per
-    column); ``approx=True`` asks for percentile_approx, for columns with very
-    many distinct values.
+    -> (column, count, mean, std, min, p25, p50, p75, max). Percentiles are exact with
+    linear interpolation; ``approx=True`` takes them from a sketch in the same pass as
+    the rest. Null and NaN values are left out; a column without values has nulls.
     """
     cols = cols or _numeric(df)
+    number = {c: F.col(c).cast("double") for c in cols}
+    number = {c: F.when(~F.isnan(x), x) for c, x in number.items()}
     aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        q = (
-            F.percentile_approx(x, [0.25, 0.5, 0.75], APPROX_ACCURACY)
-            if approx
-            else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        )
+    for i, x in enumerate(number.values()):
         aggs += [
             F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-            F.min(x).alias(f"min{i}"), q.alias(f"q{i}"), F.max(x).alias(f"max{i}"),
+            F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
         ]
-    wide = df.agg(*aggs)
-    entries = ", ".join(
-        f"'{c}', n{i}, mean{i}, std{i}, min{i}, q{i}[0], q{i}[1], q{i}[2], max{i}" for i, c in enumerate(cols)
-    )
-    return wide.selectExpr(
-        f"stack({len(cols)}, {entries}) as (column, count, mean, std, min, p25, p50, p75, max)"
-    )
+        if approx:
+            aggs.append(F.percentile_approx(x, list(QUARTILES), APPROX_ACCURACY).alias(f"q{i}"))
+    r = df.agg(*aggs).first()
+    if approx:
+        quartiles = {c: [None if r[f"q{i}"] is None else float(v) for v in (r[f"q{i}"] or [None] * 3)] for i, c in enumerate(cols)}
+    else:
+        counts = {c: r[f"n{i}"] for i, c in enumerate(cols)}
+        limits = {c: (r[f"min{i}"], r[f"max{i}"]) for i, c in enumerate(cols)}
+        quartiles = _quantiles(df, number, counts, limits)
+    rows = [
+        (c, r[f"n{i}"], r[f"mean{i}"], r[f"std{i}"], r[f"min{i}"], *quartiles[c], r[f"max{i}"]) for i, c in enumerate(cols)
+    ]
+    schema = "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def time_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """describe() of dates and times: per column count, mean, min, p25, p50, p75, max.
+
+    -> (column, count, mean, min, p25, p50, p75, max), to the microsecond; null values
+    are left out, a column without values has nulls.
+    """
+    cols = cols or _times(df)
+    micros = {c: F.unix_micros(F.col(c).cast("timestamp")) for c in cols}
+    aggs = []
+    for i, x in enumerate(micros.values()):
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+    r = df.agg(*aggs).first()
+    counts = {c: r[f"n{i}"] for i, c in enumerate(cols)}
+    limits = {c: (r[f"min{i}"], r[f"max{i}"]) for i, c in enumerate(cols)}
+    quartiles = _quantiles(df, micros, counts, limits)
+    rows = [
+        (c, r[f"n{i}"], *[None if v is None else round(v) for v in (r[f"mean{i}"], r[f"min{i}"], *quartiles[c], r[f"max{i}"])])
+        for i, c in enumerate(cols)
+    ]
+    names = ("mean", "min", "p25", "p50", "p75", "max")
+    out = df.sparkSession.createDataFrame(rows, "column string, count long, " + ", ".join(f"{n} long" for n in names))
+    return out.select("column", "count", *[F.timestamp_micros(n).alias(n) for n in names])
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -13,27 +13,33 @@ Scale design
   cross join is planned.
 * Only (query_id, id, score) flows through top-k; wide columns (text, user,
   dates) are joined back afterwards against a broadcast of the bounded hits.
-* BM25 keeps, per document, only tokens that occur in some query (the query
-  vocabulary is size-checked and broadcast; a larger one is semi-joined), so
-  the shuffle carries matched (doc, term) pairs only.
-* Display columns of the hits are fetched with a literal IN-list on the id,
-  pushed into the Parquet scan (row-group statistics skip the rest).
+* BM25 looks each token up in a hash table of the query terms (a broadcast join
+  behind a size check, else a shuffled one): the cost of a token does not depend
+  on the number of terms, and only matched (doc, term) pairs are shuffled.
+* Display columns of the hits are joined back once. For a handful of hits their
+  ids also become a literal IN-list, pushed into the Parquet scan (row-group
+  statistics skip the rest).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from chirpflow.functions.text import snippet, tokenize
 from chirpflow.functions.times import display_date
 from chirpflow.operators.embed import EncoderFactory, embed, encoder_of
-from chirpflow.session import local_frame, scratch_path
+from chirpflow.operators.joins import small_side_join
+from chirpflow.operators.ranks import numbered
+from chirpflow.session import written
 
 # --- Fixed values: search defaults of the reference ---
 DEFAULT_K = 10          # nearest neighbours considered
@@ -89,11 +95,32 @@ def _block_top(keys, S, k):
     return out
 
 
-def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
-    """mapInPandas kernel: score every row of the task against the broadcast
-    queries and emit, once per task, the exact top-k per query."""
+def vector_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, matrix) of the vectors of a list column that are ``dim`` long and finite."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(lengths) - lengths
+    at = np.flatnonzero(lengths == dim)
+    if len(at) == len(lengths):
+        matrix = values.reshape(len(at), dim)
+    else:
+        matrix = values[starts[at][:, None] + np.arange(dim)]
+    sound = np.isfinite(matrix).all(axis=1)
+    return at[sound], matrix[sound]
+
+
+def sortable(ids: pa.Array) -> np.ndarray:
+    """Ids as a numpy array that sorts like the column."""
+    if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type):
+        return np.array(ids.to_pylist(), dtype=str)
+    return ids.to_numpy(zero_copy_only=False)
+
 
-    def run(batches):
+def _topk_fn(bc, k: int, metric: str, qid_type: pa.DataType):
+    """mapInArrow kernel over (id, vector): score every row of the task against the
+    broadcast queries and emit, once per task, the exact top-k per query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, Q = bc.value
         dim = Q.shape[1]
         qn = np.sqrt((Q * Q).sum(axis=1))
@@ -102,7 +129,7 @@ def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
         step = max(1, MAX_BLOCK_CELLS // len(qids))
 
         def score_block(X, ids):
-            keys = ids.astype(str) if ids.dtype == object else ids
+            keys = sortable(ids)
             S = X @ Q.T
             if metric == "cosine":
                 denom = np.sqrt((X * X).sum(axis=1))[:, None] * qn[None, :]
@@ -111,37 +138,30 @@ def _topk_fn(bc, k: int, metric: str, id_col: str, vec_col: str):
                 d2 = (X * X).sum(axis=1)[:, None] + qq[None, :] - 2.0 * S
                 S = 1.0 / (1.0 + np.maximum(d2, 0.0))
             for j, top in enumerate(_block_top(keys, S, k)):
-                s = S[:, j]
-                if best[j] is None:
-                    best[j] = (ids[top], keys[top], s[top])
-                else:
+                new = (ids.take(pa.array(top)), keys[top], S[top, j])
+                if best[j] is not None:
                     bi, bk, bs = best[j]
-                    ci, ck, cs = np.concatenate([bi, ids[top]]), np.concatenate([bk, keys[top]]), np.concatenate([bs, s[top]])
+                    ci = pa.concat_arrays([bi, new[0]])
+                    ck, cs = np.concatenate([bk, new[1]]), np.concatenate([bs, new[2]])
                     keep = _best(ci, ck, cs, k)
-                    best[j] = (ci[keep], ck[keep], cs[keep])
+                    new = (ci.take(pa.array(keep)), ck[keep], cs[keep])
+                best[j] = new
 
-        for pdf in batches:
+        ids_type = None
+        for batch in batches:
             # rows without a vector of the query dimension are skipped here, not
             # by a Spark filter: a filter on an encoder output would be pushed
-            # below the exchange and run the encoder twice
-            ok = pdf[vec_col].map(lambda v: v is not None and len(v) == dim).to_numpy(dtype=bool)
-            if not ok.all():
-                pdf = pdf[ok]
-            if len(pdf) == 0:
-                continue
-            X = np.array(pdf[vec_col].tolist(), dtype=np.float64)
-            ids = pdf[id_col].to_numpy()
-            finite = np.isfinite(X).all(axis=1)  # a NaN would rank by chance
-            X, ids = X[finite], ids[finite]
+            # below the exchange and run the encoder twice; a NaN would rank by chance
+            ids_type = batch.column(0).type
+            at, X = vector_rows(batch.column(1), dim)
+            ids = batch.column(0).take(pa.array(at))
             for i in range(0, len(X), step):
-                score_block(X[i : i + step], ids[i : i + step])
-        out = [(qid, b) for qid, b in zip(qids, best) if b is not None]
-        if out:
-            yield pd.DataFrame({
-                "query_id": np.concatenate([np.full(len(b[0]), qid, dtype=object) for qid, b in out]),
-                "id": np.concatenate([b[0] for _, b in out]),
-                "score": np.concatenate([b[2] for _, b in out]),
-            })
+                score_block(X[i : i + step], ids.slice(i, step))
+        for qid, b in zip(qids, best, strict=True):
+            if b is not None and len(b[0]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([qid] * len(b[0]), qid_type), b[0].cast(ids_type), pa.array(b[2], pa.float64())], ["query_id", "id", "score"]
+                )
 
     return run
 
@@ -204,7 +224,7 @@ def vector_topk(
     parts = []
     for qids, Q in _query_passes(queries, query_id_col, query_vec_col):
         bc = spark.sparkContext.broadcast((qids, Q))
-        parts.append(rows.mapInPandas(_topk_fn(bc, k, metric, id_col, vec_col), schema))
+        parts.append(rows.mapInArrow(_topk_fn(bc, k, metric, to_arrow_type(qid_type)), schema))
     if not parts:
         empty = StructType(schema.fields + [StructField("rank", IntegerType())])
         return spark.createDataFrame([], empty).select("query_id", "rank", "id", "score")
@@ -249,14 +269,14 @@ def knn_by_date(
     cand = vector_topk(corpus, queries, k, metric, id_col=id_col, **cols)
     # candidates are bounded (queries x k): fetch their dates by id
     j = lookup(corpus, cand.drop("rank"), id_col, [F.col(ts_col).alias("_ts")])
+    return _newest(j, "_ts", size).select("query_id", "rank", "id", "score")
+
+
+def _newest(rows: DataFrame, ts_col: str, size: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(
-        F.desc_nulls_last("_ts"), F.desc(F.round("score", TIE_DECIMALS)), F.asc("id")
-    )
-    return (
-        j.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= size)
-        .select("query_id", "rank", "id", "score")
+        F.desc_nulls_last(ts_col), F.desc(F.round("score", TIE_DECIMALS)), F.asc("id")
     )
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
 
 
 def bm25(
@@ -306,22 +326,16 @@ def bm25_scores(
     corpus_stats: tuple[int, float] | None = None,
 ) -> DataFrame:
     """BM25 of every matching document, unranked (see ``bm25``) -> (query_id, id, score)."""
-    spark = corpus.sparkSession
     docs = corpus.select(F.col(id_col).alias("id"), tokenize(text_col, tokenizer).alias("toks"))
-    qt = (
+    terms = written(
         queries.select(F.col(query_id_col).alias("query_id"), F.explode(tokenize(query_text_col, tokenizer)).alias("term"))
         .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
+        .agg(F.count(F.lit(1)).alias("qtf")),
+        "bm25-terms",
     )
-    vocab = [r[0] for r in qt.select("term").distinct().limit(MAX_QUERY_TERMS + 1).collect()]
-    small_vocab = len(vocab) <= MAX_QUERY_TERMS
-    schema = StructType([
-        StructField("query_id", queries.schema[query_id_col].dataType),
-        StructField("id", corpus.schema[id_col].dataType),
-        StructField("score", DoubleType()),
-    ])
-    if not vocab:
-        return spark.createDataFrame([], schema)
+    vocabulary = terms.select("term").distinct()
+    small = vocabulary.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS and terms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS
+    side = F.broadcast if small else (lambda d: d)
     sized = docs.select("id", F.size("toks").alias("dl"), "toks")
     observed = None
     if corpus_stats is None:
@@ -329,23 +343,16 @@ def bm25_scores(
         # are computed: one pass over the texts, no separate statistics scan
         observed = Observation()
         sized = sized.observe(observed, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
-    if small_vocab:
-        # keep only query terms inside each token array, before anything explodes
-        wanted = F.array(*[F.lit(t) for t in vocab])
-        terms = F.explode(F.filter("toks", lambda t: F.array_contains(wanted, t)))
-        per_doc = sized.select("id", "dl", terms.alias("term"))
-    else:
-        # a very large query set: semi-join the tokens with the query terms (shuffled)
-        per_doc = sized.select("id", "dl", F.explode("toks").alias("term")).join(
-            qt.select("term").distinct(), "term", "left_semi"
-        )
-    matched = per_doc.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    matched = (
+        sized.select("id", "dl", F.explode("toks").alias("term"))
+        .join(side(vocabulary), "term")
+        .groupBy("id", "dl", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
     if observed is not None:
         # the (doc, term, tf) matches are written once to the shared checkpoint
         # folder (cutting lineage); the statistics arrive with that write
-        path = scratch_path(spark, "bm25-matches")
-        matched.write.parquet(path)
-        matched = spark.read.parquet(path)
+        matched = written(matched, "bm25-matches")
         m = observed.get
         corpus_stats = (m["n"], (m["total"] / m["n"]) if m["n"] else 0.0)
     n_docs, avgdl = corpus_stats
@@ -354,10 +361,9 @@ def bm25_scores(
     dfreq = matched.groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    side = F.broadcast if small_vocab else (lambda d: d)
     return (
         matched.join(side(dfreq), "term")
-        .join(side(qt), "term")
+        .join(side(terms), "term")
         .select("query_id", "id", (F.col("qtf") * idf * F.col("tf") / (F.col("tf") + norm)).alias("s"))
         .groupBy("query_id", "id")
         .agg(F.sum("s").alias("score"))
@@ -390,26 +396,26 @@ def hybrid(
     k, size = _defaults(k, size)
     # both are read several times below: the vector hits (queries x k rows) and the
     # scored matches are written once to the shared checkpoint folder
-    kn = _written(vector_topk(corpus, queries, k, metric, id_col=id_col, vec_col=vec_col), "hybrid-knn").select(
+    kn = written(vector_topk(corpus, queries, k, metric, id_col=id_col, vec_col=vec_col), "hybrid-knn").select(
         "query_id", "id", F.col("score").alias("knn_score"), F.col("rank").alias("knn_rank")
     )
-    matches = _written(bm25_scores(corpus, queries, id_col=id_col, text_col=text_col), "hybrid-text")
+    matches = written(bm25_scores(corpus, queries, id_col=id_col, text_col=text_col), "hybrid-text")
     w = Window.partitionBy("query_id").orderBy(*_order())
-    # a match outside the vector hits enters the result only if fewer than size such
-    # matches rank before it: the k + size best hold them all
-    tx = matches.withColumn("text_rank", F.row_number().over(w)).where(F.col("text_rank") <= k + size)
-    # vector hits that match further down keep their exact score and rank
-    hits = matches.join(F.broadcast(kn.select("query_id", "id").distinct()), ["query_id", "id"], "left_semi")
-    rest = hits.join(tx.select("query_id", "id"), ["query_id", "id"], "left_anti")
     if fusion == "rrf":
-        h = rest.select(F.col("query_id").alias("_q"), F.col("id").alias("_id"), F.round("score", TIE_DECIMALS).alias("_s"))
-        s = F.round("score", TIE_DECIMALS)
-        before = (F.col("query_id") == F.col("_q")) & ((s > F.col("_s")) | ((s == F.col("_s")) & (F.col("id") < F.col("_id"))))
-        ranks = matches.join(F.broadcast(h), before).groupBy("_q", "_id").agg((F.count(F.lit(1)) + 1).alias("text_rank"))
-        rest = rest.join(ranks.select(F.col("_q").alias("query_id"), F.col("_id").alias("id"), "text_rank"), ["query_id", "id"])
+        # exact ranks of all matches, however many one query has
+        tx = numbered(matches, ["query_id"], _order(), "text_rank")
+        wanted = F.col("text_rank") <= k + size
+        hit = small_side_join(tx.where(~wanted), kn.select("query_id", "id"), ["query_id", "id"], "left_semi")
+        tx = tx.where(wanted).unionByName(hit)
     else:
-        rest = rest.withColumn("text_rank", F.lit(None).cast("long"))
-    tx = tx.unionByName(rest).select("query_id", "id", F.col("score").alias("text_score"), "text_rank")
+        # a match outside the vector hits enters the result only if fewer than size such
+        # matches rank before it: the k + size best hold them all
+        tx = matches.withColumn("text_rank", F.row_number().over(w).cast("long")).where(F.col("text_rank") <= k + size)
+        # vector hits that match further down keep their exact score
+        hits = small_side_join(matches, kn.select("query_id", "id"), ["query_id", "id"], "left_semi")
+        rest = small_side_join(hits, tx.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        tx = tx.unionByName(rest.withColumn("text_rank", F.lit(None).cast("long")))
+    tx = tx.select("query_id", "id", F.col("score").alias("text_score"), "text_rank")
     j = kn.join(tx, ["query_id", "id"], "full_outer")
     ks, ts = F.coalesce("knn_score", F.lit(0.0)), F.coalesce("text_score", F.lit(0.0))
     if fusion == "weighted_sum":
@@ -435,41 +441,28 @@ def hybrid(
     )
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+MAX_LOOKUP_IDS = 1_000       # hit ids that become an IN-list pushed into the scan
 
 
-MAX_LOOKUP_IDS = 100_000     # hit ids fetched through an IN-list pushed into the scan
+def lookup(corpus: DataFrame, hits: DataFrame, id_col: str, cols: list) -> DataFrame:
+    """Join ``hits`` (with column ``id``) to ``cols`` of the matching corpus rows.
 
+    The hits (queries x size rows) are written once and joined, broadcast behind a
+    row count. When they name at most MAX_LOOKUP_IDS ids, these also become a literal
+    IN filter that reaches the Parquet scan, so that row groups whose id statistics
+    exclude every hit are skipped.
+    """
+    hits = written(hits, "hits")
+    ids = [r["id"] for r in hits.select("id").distinct().limit(MAX_LOOKUP_IDS + 1).collect()]
+    rows = corpus.where(F.col(id_col).isin(ids)) if len(ids) <= MAX_LOOKUP_IDS else corpus
+    return small_side_join(rows.select(F.col(id_col).alias("id"), *cols), hits, "id")
 
-def lookup(corpus: DataFrame, hits: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
-    """Join bounded ``hits`` (with column ``id``) to ``cols`` of the matching corpus rows.
 
-    The hits are materialised once (queries x size rows) and their ids become a
-    literal IN filter that reaches the Parquet scan, so row groups whose
-    tweet_id statistics exclude every hit are skipped instead of reading all
-    texts for a handful of results. Above MAX_LOOKUP_IDS (a very large query
-    set) the hits are joined without a hint; the planner shuffles both sides.
-    """
-    spark = corpus.sparkSession
-    rows = hits.limit(MAX_LOOKUP_IDS + 1).collect()
-    if len(rows) > MAX_LOOKUP_IDS:
-        wide = corpus.select(F.col(id_col).alias("id"), *cols)
-        return wide.join(hits, "id")
-    local = local_frame(spark, rows, hits.schema)
-    ids = sorted({r["id"] for r in rows})
-    wide = corpus.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), *cols)
-    return wide.join(F.broadcast(local), "id")
+DISPLAY = ["username", "created_at", "retweet_count", "favorite_count", "full_text"]
 
 
-def result_rows(hits: DataFrame, corpus: DataFrame, id_col: str = "tweet_id") -> DataFrame:
-    """Hits as display rows -> (query_id, rank, score, username, date, retweet_count,
-    favorite_count, snippet, tweet_id). Text over 150 characters is cut with '...'."""
-    j = lookup(corpus, hits.select("query_id", "rank", "score", "id"), id_col,
-               ["username", "created_at", "retweet_count", "favorite_count", "full_text"])
-    return j.select(
+def _display(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "query_id",
         "rank",
         "score",
@@ -482,6 +475,17 @@ def result_rows(hits: DataFrame, corpus: DataFrame, id_col: str = "tweet_id") ->
     )
 
 
+def result_rows(hits: DataFrame, corpus: DataFrame, id_col: str = "tweet_id") -> DataFrame:
+    """Hits as display rows -> (query_id, rank, score, username, date, retweet_count,
+    favorite_count, snippet, tweet_id). Text over 150 characters is cut with '...'."""
+    return _display(lookup(corpus, hits.select("query_id", "rank", "score", "id"), id_col, DISPLAY))
+
+
+def shown(rows: DataFrame, col: str = "score") -> DataFrame:
+    """Scores as they are displayed: rounded to three places."""
+    return rows.withColumn(col, F.round(col, 3))
+
+
 def embed_queries(queries: DataFrame, encoder: EncoderFactory, text_col: str = "query_text") -> DataFrame:
     """Encode query texts with the corpus' encoder -> + query_vector."""
     return embed(queries, encoder, text_col=text_col, out_col="query_vector")
@@ -512,8 +516,10 @@ def search(
             raise ValueError(f"corpus embedded with {used!r}, queries would use {name!r}")
         queries = embed_queries(queries, encoder)
     if mode == "by_date":
-        hits = knn_by_date(corpus, queries, k, size, id_col=id_col)
-    elif mode == "hybrid":
+        # dates and display columns come with one lookup
+        cand = vector_topk(corpus, queries, k, "l2", id_col=id_col).drop("rank")
+        return _display(_newest(lookup(corpus, cand, id_col, DISPLAY), "created_at", size))
+    if mode == "hybrid":
         hits = hybrid(corpus, queries, k, size, id_col=id_col)
     elif mode == "knn":
         hits = knn(corpus, queries, k, size, id_col=id_col)

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chirpflow.functions.text import tokenize, whole_word_count
+from chirpflow.functions.text import tokenize, whole_word_count, with_token_counts
 from chirpflow.functions.times import MONTH_FORMAT, month_key
+from chirpflow.operators.ranks import numbered
 
 
 def daily_word_count(
@@ -37,7 +38,7 @@ def daily_word_count(
         df = df.where(day <= F.lit(end).cast("date"))
     return df.groupBy(day.alias("day")).agg(
         F.sum(whole_word_count(text_col, word)).cast("long").alias("matches")
-    )
+    ).orderBy("day")
 
 
 def doc_term_counts(
@@ -48,14 +49,10 @@ def doc_term_counts(
 ) -> DataFrame:
     """Sparse document-term matrix in long form -> (doc_id, term, tf).
 
-    Rows of one document sit in one input partition, so the partial aggregate
-    before the shuffle already collapses each (doc, term) pair.
+    One matrix row for each input row. The terms are counted inside the row, so
+    nothing is shuffled.
     """
-    return (
-        df.select(F.col(id_col).alias("doc_id"), F.explode(tokenize(text_col, tokenizer)).alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return with_token_counts(df, text_col, tokenizer, [F.col(id_col).alias("doc_id")])
 
 
 def term_totals(
@@ -66,7 +63,7 @@ def term_totals(
     ts_col: str = "created_at",
     tokenizer: str = "word",
 ) -> DataFrame:
-    """Term counts summed per timestamp (or per day) -> (created_at|day, term, n).
+    """Term counts summed per timestamp (or per day), in that order -> (created_at|day, term, n).
 
     With ``term`` given this is the series of one term: the term filter runs on
     each token array before anything is exploded or shuffled, and every
@@ -81,11 +78,12 @@ def term_totals(
     if term is not None:
         t = term.lower()
         hits = F.size(F.filter(tokens, lambda x: x == F.lit(t)))
-        return base.groupBy(key).agg(F.lit(t).alias("term"), F.sum(hits).cast("long").alias("n"))
+        return base.groupBy(key).agg(F.lit(t).alias("term"), F.sum(hits).cast("long").alias("n")).orderBy(key_name)
     return (
         base.select(key, F.explode(tokens).alias("term"))
         .groupBy(key_name, "term")
         .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(key_name, "term")
     )
 
 
@@ -108,14 +106,14 @@ def monthly_posts(df: DataFrame, ts_col: str = "created_at", fill_gaps: bool = T
     dated = df.where(F.col(ts_col).isNotNull()).select(F.trunc(F.col(ts_col), "month").alias("m"))
     counts = dated.groupBy("m").agg(F.count(F.lit(1)).alias("n_posts"))
     if not fill_gaps:
-        return counts.select(F.date_format("m", MONTH_FORMAT).alias("month"), "n_posts")
+        return counts.select(F.date_format("m", MONTH_FORMAT).alias("month"), "n_posts").orderBy("month")
     calendar = counts.agg(F.min("m").alias("lo"), F.max("m").alias("hi")).select(
         F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("m")
     )
     return calendar.join(counts, "m", "left").select(
         F.date_format("m", MONTH_FORMAT).alias("month"),
         F.coalesce("n_posts", F.lit(0)).cast("long").alias("n_posts"),
-    )
+    ).orderBy("month")
 
 
 def monthly_doc_counts(
@@ -149,20 +147,18 @@ def top_words(
 ) -> DataFrame:
     """Top ``top_n`` words per month by document count -> (month, word, doc_count, rank).
 
-    Ties are broken by word ascending. Spark plans a partial WindowGroupLimit
-    below the month shuffle for top_n up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default); raise
-    it for larger top_n so the per-month group stays bounded.
+    Months in order, words by rank; ties are broken by word ascending. Up to the
+    session's ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default) Spark
+    plans a partial WindowGroupLimit below the month shuffle; a larger top_n numbers the
+    words of a month without bringing them into one task.
     """
-    spark = df.sparkSession
-    if top_n > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(top_n))
-    w = Window.partitionBy("month").orderBy(F.desc("doc_count"), F.asc("word"))
-    return (
-        monthly_doc_counts(df, text_col, ts_col, tokenizer)
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= top_n)
-    )
+    counts = monthly_doc_counts(df, text_col, ts_col, tokenizer)
+    order = [F.desc("doc_count"), F.asc("word")]
+    if top_n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("month").orderBy(*order)))
+    else:
+        ranked = numbered(counts, ["month"], order).withColumn("rank", F.col("rank").cast("int"))
+    return ranked.where(F.col("rank") <= top_n).orderBy("month", "rank")
 
 
 def word_spikes(counts: DataFrame, factor: float = 10.0) -> DataFrame:
@@ -175,7 +171,7 @@ def word_spikes(counts: DataFrame, factor: float = 10.0) -> DataFrame:
     never compared with an older month. One window partitioned by word; each
     word has at most one row per month, so a partition is bounded by the
     number of months, and the counts are read once (no self-join).
-    -> (month, word, prev_count, cur_count, ratio)
+    Months in order, inside a month by word. -> (month, word, prev_count, cur_count, ratio)
     """
     w = Window.partitionBy("word").orderBy("month")
     last_month = F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), -1), MONTH_FORMAT)
@@ -190,4 +186,5 @@ def word_spikes(counts: DataFrame, factor: float = 10.0) -> DataFrame:
             F.col("cur_count").cast("long").alias("cur_count"),
             F.round(F.col("cur_count") / F.col("prev_count"), 2).alias("ratio"),
         )
+        .orderBy("month", "word")
     )

@@ -11,7 +11,12 @@ from __future__ import annotations
 
 # --- Fixed values: patterns shared with chirpflow.functions.text (RE2 syntax) ---
 TOKEN = r"[\p{L}\p{N}_]+"
-STANDARD = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*".replace("'", "''")
+# the standard analyzer's words in scripts written with spaces (RE2 has no class difference)
+_LETTER = r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{Hebrew}\p{Arabic}\p{Devanagari}\p{Hangul}][\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{Hebrew}\p{Arabic}\p{Devanagari}\p{Hangul}\p{M}]*"
+_LETTERS = rf"{_LETTER}(?:['’.:·]{_LETTER})*"
+_DIGITS = r"\p{Nd}[\p{Nd}\p{M}]*(?:['’.,;]\p{Nd}[\p{Nd}\p{M}]*)*"
+_WORD = rf"(?:{_LETTERS}|{_DIGITS})+"
+STANDARD = rf"_*{_WORD}(?:_+{_WORD})*_*|[\p{{Han}}\p{{Hiragana}}]\p{{M}}*|[\p{{Katakana}}ー]+|\p{{Thai}}+".replace("'", "''")
 # --- end of fixed values ---
 
 POSTS = """
@@ -69,6 +74,14 @@ select day, term, count(*) as n from (
 ) group by day, term
 """
 
+ORACLES["term_totals_timestamp"] = f"""
+with {POSTS}
+select created_at, term, count(*) as n from (
+  select cast(created_at as timestamp) as created_at, unnest(regexp_extract_all(lower(full_text), '{TOKEN}')) as term
+  from posts where full_text is not null and created_at is not null
+) group by created_at, term
+"""
+
 ORACLES["term_series"] = f"""
 with {POSTS},
 per_post as (
@@ -186,6 +199,26 @@ from tw t join roots r on r.account_id = t.account_id and r.id = t.id
 group by r.account_id, r.root_id
 """
 
+_DATED = """
+dated as (
+  select r.account_id, r.root_id, t.full_text,
+         row_number() over (partition by r.account_id, r.root_id
+                            order by try_strptime(substr(t.created_at, 5), '%b %d %H:%M:%S %z %Y') asc nulls last, t.pos) as n
+  from tw t join roots r on r.account_id = t.account_id and r.id = t.id
+)"""
+
+ORACLES["thread_parts"] = f"""
+with recursive {ARCHIVE}, {_roots_sql(True)}, {_DATED}
+select account_id, root_id, cast((n - 1) // 3 as bigint) as part, string_agg(full_text, ' ' order by n) as text, count(*) as n_posts
+from dated group by account_id, root_id, (n - 1) // 3
+"""
+
+ORACLES["thread_text_by_date"] = f"""
+with recursive {ARCHIVE}, {_roots_sql(True)}, {_DATED}
+select account_id, root_id, string_agg(full_text, ' ' order by n) as text, count(*) as n_posts
+from dated group by account_id, root_id
+"""
+
 THREAD_WORDS = f"""
 threads as (
   select r.account_id, r.root_id, string_agg(t.full_text, ' ' order by t.pos) as text
@@ -428,6 +461,31 @@ union all
 {_PROFILE_ROW.format(c="favorite_count")}
 """
 
+ORACLES["post_time_profile"] = f"""
+with {POSTS},
+t as (select epoch_us(cast(created_at as timestamp)) as x from posts)
+select 'created_at' as column, count(x) as count, make_timestamp(cast(round(avg(x)) as bigint)) as mean,
+       make_timestamp(min(x)) as min, make_timestamp(cast(round(quantile_cont(x, 0.25)) as bigint)) as p25,
+       make_timestamp(cast(round(quantile_cont(x, 0.5)) as bigint)) as p50,
+       make_timestamp(cast(round(quantile_cont(x, 0.75)) as bigint)) as p75, make_timestamp(max(x)) as max
+from t
+"""
+
+ORACLES["post_preview"] = f"""
+with {POSTS}
+select tweet_id, cast(created_at as timestamp) as created_at, username, full_text from posts order by tweet_id limit 5
+"""
+
+ORACLES["missing_text_filled"] = f"""
+with {POSTS}
+select tweet_id,
+       case when cast(tweet_id as bigint) % 17 = 0 or full_text is null then ''
+            when cast(tweet_id as bigint) % 19 = 0 then '  '
+            when cast(tweet_id as bigint) % 23 = 0 then 'NA'
+            else full_text end as full_text
+from posts
+"""
+
 _POST_TYPES = [
     ("tweet_id", "string"), ("account_id", "string"), ("created_at", "timestamp"), ("full_text", "string"),
     ("retweet_count", "int"), ("favorite_count", "int"), ("reply_to_tweet_id", "string"),
@@ -501,6 +559,11 @@ from parts
 # exact-mode cell-pruned search must equal the exhaustive answer
 ORACLES["ann_topk"] = ORACLES["cosine_topk_batch"]
 
+# the approximate search must reach its recall for every query set of this kind
+ORACLES["ann_recall"] = """
+select count(*) as n_queries, true as recall_reached from embeddings where vec_id % 100 = 0
+"""
+
 ORACLES["ingest_stream_accepted"] = f"""
 with {LINES}
 select value ->> '$.tweet_id' as tweet_id,
@@ -622,3 +685,15 @@ with {POSTS}, {CLEAN}, {HASHED}
 select {RESULT_COLS}
 from (select * from knn_ranked where rank <= 5) h join clean c on c.tweet_id = h.tweet_id
 """
+
+ORACLES["search_results_by_date"] = f"""
+with {POSTS}, {CLEAN}, {HASHED},
+h as (
+  select k.query_id, k.tweet_id, round(k.score, 3) as score,
+         row_number() over (partition by k.query_id
+                            order by c.created_at desc nulls last, round(k.score, 9) desc, k.tweet_id) as rank
+  from knn_ranked k join clean c on c.tweet_id = k.tweet_id where k.rank <= 10
+)
+select {RESULT_COLS}
+from h join clean c on c.tweet_id = h.tweet_id where h.rank <= 5
+"""

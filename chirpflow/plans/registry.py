@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chirpflow.operators import ann, clean, embed, ingest, profile, search, threads, trends
 from chirpflow.plans import jobs
-from chirpflow.session import scratch_path
+from chirpflow.session import scratch_path, written
 from chirpflow.sources import archives, posts
 from chirpflow.sources import fixtures as fx
 from chirpflow.streaming.ingest_stream import ingest_stream
@@ -67,6 +67,11 @@ def q_term_totals(spark, sf_dir):
     return trends.term_totals(typed_posts(spark, sf_dir), grain="date")
 
 
+@register("term_totals_timestamp")
+def q_term_totals_timestamp(spark, sf_dir):
+    return trends.term_totals(typed_posts(spark, sf_dir))
+
+
 @register("term_series")
 def q_term_series(spark, sf_dir):
     return trends.term_totals(typed_posts(spark, sf_dir), term=SERIES_WORD, grain="date")
@@ -96,6 +101,7 @@ def q_word_spikes(spark, sf_dir):
 # ---- reply threads ---------------------------------------------------------
 
 THREAD_WORD = "ertion"       # a cleaned word frequent in the generated conversations
+THREAD_PART = 3              # posts of a thread part (the generated threads are short)
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,18 +129,34 @@ def q_thread_text(spark, sf_dir):
     return threads.thread_text(tw, threads.thread_roots(tw, in_archive=True))
 
 
-@register("thread_word_by_date")
-def q_thread_word_by_date(spark, sf_dir):
+@register("thread_text_by_date")
+def q_thread_text_by_date(spark, sf_dir):
+    tw = archive(spark, sf_dir)
+    return threads.thread_text(tw, threads.thread_roots(tw, in_archive=True), order_by="created_at", chunk=THREAD_PART)
+
+
+@register("thread_parts")
+def q_thread_parts(spark, sf_dir):
     tw = archive(spark, sf_dir)
-    roots = threads.thread_roots(tw, in_archive=True)
+    return threads.thread_parts(tw, threads.thread_roots(tw, in_archive=True), order_by="created_at", part_posts=THREAD_PART)
+
+
+def _thread_words(spark, sf_dir, word=None):
+    tw = written(archive(spark, sf_dir), "archive")
+    roots = written(threads.thread_roots(tw, in_archive=True), "roots")
     path = scratch_path(spark, "stopwords")
     fx.stopwords(spark).write.text(path)
-    return threads.thread_word_counts(tw, roots, posts.read_stopwords(spark, path))
+    return threads.thread_word_counts(tw, roots, posts.read_stopwords(spark, path), word)
+
+
+@register("thread_word_by_date")
+def q_thread_word_by_date(spark, sf_dir):
+    return _thread_words(spark, sf_dir)
 
 
 @register("word_series")
 def q_word_series(spark, sf_dir):
-    return threads.word_series(q_thread_word_by_date(spark, sf_dir), THREAD_WORD)
+    return threads.word_series(_thread_words(spark, sf_dir, THREAD_WORD), THREAD_WORD)
 
 
 @register("thread_roots_cycles")
@@ -284,6 +306,14 @@ def q_search_results_knn(spark, sf_dir):
     return _rounded(rows, "score")
 
 
+@register("search_results_by_date")
+def q_search_results_by_date(spark, sf_dir):
+    """The k nearest, newest first, with scores as they are displayed (three places)."""
+    rows = search.search(text_corpus(spark, sf_dir), fx.text_queries(spark), mode="by_date",
+                         size=5, k=10, encoder=embed.hashing_encoder(HASH_DIM))
+    return search.shown(rows)
+
+
 @register("search_results")
 def q_search_results(spark, sf_dir):
     rows = search.search(text_corpus(spark, sf_dir), fx.text_queries(spark), mode="hybrid",
@@ -308,6 +338,21 @@ def q_post_profile(spark, sf_dir):
     return _rounded(p, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
+@register("post_time_profile")
+def q_post_time_profile(spark, sf_dir):
+    return profile.time_profile(fx.posts(spark, sf_dir))
+
+
+@register("post_preview")
+def q_post_preview(spark, sf_dir):
+    return profile.preview(fx.posts(spark, sf_dir).select("tweet_id", "created_at", "username", "full_text"), 5, "tweet_id")
+
+
+@register("missing_text_filled")
+def q_missing_text_filled(spark, sf_dir):
+    return clean.fill_missing_text(fx.dirty_posts(spark, sf_dir)).select("tweet_id", "full_text")
+
+
 @register("null_profile")
 def q_null_profile(spark, sf_dir):
     return profile.null_profile(fx.posts(spark, sf_dir))
@@ -347,6 +392,20 @@ def q_ann_topk(spark, sf_dir):
     return _rounded(hits.withColumnRenamed("id", "vec_id"), "score")
 
 
+@register("ann_recall")
+def q_ann_recall(spark, sf_dir):
+    """The approximate search, calibrated to recall 0.95, held against the exact one: the vectors whose
+    id is divisible by 100 as queries, all vectors searched."""
+    v = fx.vectors(spark, sf_dir)
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    path = ann.build_ivf_index(v, ann.index_path(spark), n_cells=32, metric="cosine", id_col="vec_id", vec_col="embedding",
+                               max_iter=4, init_mode="random", target_recall=ann.TARGET_RECALL)
+    found = ann.ivf_search(spark, path, queries, k=10, exact=False)
+    truth = search.vector_topk(v, queries, k=10, metric="cosine", id_col="vec_id", vec_col="embedding")
+    per = ann.recall(found, truth)
+    return per.agg(F.count(F.lit(1)).alias("n_queries"), (F.sum("n_found") >= ann.TARGET_RECALL * F.sum("k")).alias("recall_reached"))
+
+
 @register("ingest_stream_accepted")
 def q_ingest_stream_accepted(spark, sf_dir):
     """The JSON lines written as files, ingested by the checkpointed file stream

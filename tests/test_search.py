@@ -299,3 +299,49 @@ def test_hybrid_scores_the_words_of_every_vector_hit(spark, fusion, metric):
             want[(query, r)] = (d, pytest.approx(full[d]), pytest.approx(ks.get(d, 0.0)), pytest.approx(text.get(d, 0.0)))
     got = {(r.query_id, r.rank): (r.id, r.score, r.knn_score, r.text_score) for r in search.hybrid(c, q, k=k, size=size, fusion=fusion, metric=metric).collect()}
     assert got == want
+
+
+def test_keyword_cost_does_not_depend_on_the_vocabulary(spark):
+    """Ten query terms or 100,000: the same matches, and no list of terms in the plan."""
+    import time
+
+    corpus = spark.createDataFrame([(f"d{i}", " ".join(f"w{(i * k) % 997}" for k in range(60))) for i in range(20000)],
+                                   "tweet_id string, full_text string").repartition(4)
+    few = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(10)))], "query_id int, query_text string")
+    many = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(10)))] + [(2 + j, " ".join(f"z{j}x{k}" for k in range(1000))) for j in range(100)],
+                                 "query_id int, query_text string")
+    took, hits = {}, {}
+    for _ in range(2):
+        for name, q in (("few", few), ("many", many)):
+            t = time.perf_counter()
+            hits[name] = sorted((r.id, round(r.score, 9)) for r in search.bm25(corpus, q, size=50).collect())
+            took[name] = time.perf_counter() - t
+    assert hits["few"] == hits["many"] and len(hits["few"]) == 50
+    assert took["many"] < 2 * took["few"] + 2
+
+
+def test_index_in_many_blocks_and_query_blocks(spark, tmp_dir, monkeypatch):
+    import numpy as np
+
+    from chirpflow.operators import ann
+
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ann, "PENDING_BYTES", 2000)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(ann, "MAX_PROBE_BYTES", 0)
+    rng = np.random.default_rng(5)
+    hot = [[1.0, 0.0, 0.0, 0.0]] * 60
+    vecs = hot + rng.normal(size=(140, 4)).tolist() + [[0.0] * 4, None, [1.0], [float("nan")] * 4]
+    c = spark.createDataFrame([(f"d{i:03d}", v) for i, v in enumerate(vecs)], "tweet_id string, full_text_vector array<double>")
+    q = spark.createDataFrame([(f"q{i}", rng.normal(size=4).tolist()) for i in range(9)] + [("none", None)], "query_id string, query_vector array<double>")
+    for metric in ("cosine", "l2"):
+        path = ann.build_ivf_index(c, f"{tmp_dir}/{metric}", n_cells=5, metric=metric, target_recall=0.9)
+        want = sorted((r.query_id, r.rank, r.id) for r in search.vector_topk(c, q, k=6, metric=metric).collect())
+        assert sorted((r.query_id, r.rank, r.id) for r in ann.ivf_search(spark, path, q, k=6).collect()) == want
+        assert ann.ivf_search(spark, path, q, k=500).count() == 9 * 201
+        per = ann.recall(ann.ivf_search(spark, path, q, k=6, exact=False), search.vector_topk(c, q, k=6, metric=metric)).collect()
+        assert len(per) == 9 and all(0 <= r.recall <= 1 and r.k == 6 for r in per)
+    with pytest.raises(Exception, match="query vector"):
+        ann.ivf_search(spark, path, spark.createDataFrame([(1, [1.0])], "query_id int, query_vector array<double>")).collect()
+    empty = ann.build_ivf_index(c.where("false"), f"{tmp_dir}/empty", n_cells=3)
+    assert ann.ivf_search(spark, empty, q).collect() == []

@@ -106,3 +106,33 @@ def test_clean_posts_whole_texts(spark):
     text = "b" * 12000
     df = spark.createDataFrame([("1", text)], "tweet_id string, full_text string")
     assert clean.clean_posts(df, max_chars=None).first().full_text == text
+
+
+BREAKS = {
+    "it's 3.14 and 1,234.5": ["it's", "3.14", "and", "1,234.5"],          # mid-letter, mid-number
+    "a.1 1.a 1a2b a,b 3;4": ["a", "1", "1", "a", "1a2b", "a", "b", "3;4"],  # a mid character between kinds breaks
+    "..a..b.. 'q' x:y": ["a", "b", "q", "x:y"],                            # at an end or doubled it breaks
+    "foo_bar __ _x_ カ_a": ["foo_bar", "_x_", "カ_a"],                      # connectors join, alone they are no token
+    "漢字かな カタカナー ﾃｽﾄ": ["漢", "字", "か", "な", "カタカナー", "ﾃｽﾄ"],
+    "한국어 ภาษาไทย": ["한국어", "ภาษาไทย"],
+    "été x‍y abc漢def": ["été", "x‍y", "abc", "漢", "def"],
+    "user@host.com http://x.y/z?q=1": ["user", "host.com", "http", "x.y", "z", "q", "1"],
+    "İ ÉCOLE l’homme": ["i̇", "école", "l’homme"],
+    "a" * 600: ["a" * 255, "a" * 255, "a" * 90],
+    " \t…—": [],
+}
+
+
+def test_standard_word_breaks(spark):
+    df = rows(spark, list(BREAKS))
+    got = {r.i: r.w for r in df.select("i", T.standard_tokens("t").alias("w")).collect()}
+    assert {s: got[i] for i, s in enumerate(BREAKS)} == BREAKS
+    chain = rows(spark, [".".join(["ab"] * 30000), None])
+    got = {r.i: r.w for r in chain.select("i", T.standard_tokens("t").alias("w")).collect()}
+    assert max(map(len, got[0])) <= 255 and "".join(got[0]).replace(".", "") == "ab" * 30000 and got[1] is None
+
+
+def test_token_counts_inside_the_row(spark):
+    df = rows(spark, ["b a b", "", None, "a", "c c c"])
+    got = sorted(tuple(r) for r in T.with_token_counts(df, "t", "word", [T.F.col("i")]).collect())
+    assert got == [(0, "a", 1), (0, "b", 2), (3, "a", 1), (4, "c", 3)]

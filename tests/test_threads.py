@@ -113,3 +113,39 @@ def test_hot_key_path_gives_same_answers(spark, monkeypatch):
     got_words = sorted(tuple(r) for r in threads.thread_word_counts(tw, threads.thread_roots(tw, True), stop).collect())
     assert got_words == base_words
     assert dict(((r[0], r[1]), r[2]) for r in base_roots)[("A", "h7")] == "1"
+
+
+def test_rounds_read_fewer_rows_than_climb(spark):
+    """A deep chain among many shallow threads: leaves never take part, and a round reads of the
+    finished rows at most as many as still climb."""
+    rows = [("A", i, f"c{i}", "t", DATE, "A" if i else None, f"c{i - 1}" if i else None) for i in range(200)]
+    rows += [("A", 1000 + i, f"s{i}", "t", DATE, "A", "c0" if i % 3 else f"s{i - i % 3 - 3}") for i in range(3, 600)]
+    tw = spark.createDataFrame(rows, COLS)
+    edges = threads.reply_edges(tw)
+    seen = []
+    got = {r.id: r.root_id for r in threads.resolve_roots(edges, rounds=seen).collect()}
+    assert all(v in ("c0", "s0") for v in got.values()) and len(got) == edges.count()
+    climbing = [n for n, _ in seen]
+    assert climbing == sorted(climbing, reverse=True) and climbing[0] < edges.count() and climbing[-1] < climbing[0]
+    assert all(frontier <= n for n, frontier in seen)
+
+
+def test_threads_by_date_in_parts(spark):
+    a = "A"
+    rows = [(a, 0, "1", "root", "Wed Jan 08 10:00:00 +0000 2020", None, None)]
+    stamps = ["Mon Jan 06 10:00:00 +0000 2020", "Fri Jan 10 10:00:00 +0000 2020", "", None, "bad", "Wed Jan 08 09:00:00 -0200 2020"]
+    rows += [(a, i, str(i + 1), f"r{i}", s, a, "1") for i, s in enumerate(stamps, 1)]
+    tw = spark.createDataFrame(rows, COLS)
+    roots = threads.thread_roots(tw, True)
+    (r,) = threads.thread_text(tw, roots, order_by="created_at").collect()
+    assert r.text == "r1 root r6 r2 r3 r4 r5" and r.n_posts == 7
+    parts = sorted((p.part, p.text, p.n_posts) for p in threads.thread_parts(tw, roots, "created_at", part_posts=3).collect())
+    assert parts == [(0, "r1 root r6", 3), (1, "r2 r3 r4", 3), (2, "r5", 1)]
+
+
+def test_word_counts_of_one_word(spark):
+    tw = spark.createDataFrame(archive_rows(), COLS)
+    roots, stop = threads.thread_roots(tw, True), spark.createDataFrame([("one",)], "word string")
+    whole = {tuple(r) for r in threads.thread_word_counts(tw, roots, stop).where("word = 'reply'").collect()}
+    assert {tuple(r) for r in threads.thread_word_counts(tw, roots, stop, "reply").collect()} == whole and whole
+    assert threads.thread_word_counts(tw, roots, stop, "one").count() == 0
