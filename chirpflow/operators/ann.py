@@ -65,12 +65,18 @@ def _distances(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def _finite() -> Column:
+    """The vector ``v`` has entries, all of them finite numbers."""
+    x = F.transform("v", lambda x: x.cast("double"))
+    return F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists(x, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
+
+
 def _fit_centres(vectors: DataFrame, metric: str, n_cells: int, max_iter: int, seed: int, init_mode: str) -> np.ndarray:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     v = F.transform("v", lambda x: x.cast("double"))
-    sound = vectors.where(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    sound = vectors.where(_finite())
     lengths = sound.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     if not lengths:
         return np.empty((0, 0))
@@ -174,7 +180,8 @@ def _calibrated_share(base: DataFrame, index: DataFrame, cent: DataFrame, metric
     of a sample (its half-way point to all of them, as a margin for other queries)."""
     total = cent.agg(F.sum("n")).first()[0]
     chosen = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(1 << 30)) < max(1, int((1 << 30) * min(1.0, CALIBRATION_ROWS / total)))
-    sample = written(base.where(chosen & F.col("v").isNotNull()).select(F.col("id").alias("query_id"), F.col("v").alias("query_vector")), "ann-sample")
+    dim = len(cent.select("c").first()[0])
+    sample = written(base.where(chosen & _finite() & (F.size("v") == dim)).select(F.col("id").alias("query_id"), F.col("v").alias("query_vector")), "ann-sample")
     truth = search.vector_topk(base, sample, k, metric, id_col="id", vec_col="v").select("query_id", "id")
     cell_of = index.select("cell", F.explode("ids").alias("id"))
     at = cell_of.join(F.broadcast(truth), "id")  # sample x k rows

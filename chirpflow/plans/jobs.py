@@ -47,9 +47,11 @@ def ingest_job(
     quarantine_path: str,
     dim: int = ingest.VECTOR_DIM,
     mode: str = "append",
+    batch_id: str | None = None,
 ) -> dict:
     """Embedded-posts JSON lines -> validated posts table + quarantine (see ``ingest.ingest``)."""
-    return ingest.ingest(ingest.read_posts_jsonl(spark, jsonl_path), table_path, quarantine_path, dim=dim, mode=mode)
+    lines = ingest.read_posts_jsonl(spark, jsonl_path)
+    return ingest.ingest(lines, table_path, quarantine_path, dim=dim, mode=mode, batch_id=batch_id)
 
 
 def search_job(
@@ -62,5 +64,5 @@ def search_job(
     encoder: embed.EncoderFactory | None = None,
 ) -> DataFrame:
     """Search the posts table with a table of queries; result rows per query."""
-    corpus = spark.read.parquet(table_path)
+    corpus = ingest.read_posts_table(spark, table_path)
     return search.search(corpus, queries, mode=mode, size=size, k=k, encoder=encoder)

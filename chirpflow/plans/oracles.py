@@ -697,3 +697,16 @@ h as (
 select {RESULT_COLS}
 from h join clean c on c.tweet_id = h.tweet_id where h.rank <= 5
 """
+
+ORACLES["ingest_stream_twice"] = f"""
+with {LINES}
+select case when reject_reason is null then value ->> '$.tweet_id' end as tweet_id, reject_reason from tagged
+"""
+
+ORACLES["ingest_counters"] = f"""
+with {LINES},
+c as (select count(*) as total, count(*) - count(reject_reason) as accepted, count(reject_reason) as rejected from tagged)
+select cast(1 as bigint) as version, 'first' as batch_id, 'append' as mode, total, accepted, rejected, accepted as stored from c
+union all
+select 2, 'second', 'dedup', total, accepted, rejected, 0 from c
+"""

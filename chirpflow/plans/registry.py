@@ -406,13 +406,40 @@ def q_ann_recall(spark, sf_dir):
     return per.agg(F.count(F.lit(1)).alias("n_queries"), (F.sum("n_found") >= ann.TARGET_RECALL * F.sum("k")).alias("recall_reached"))
 
 
+def _streamed(spark, sf_dir, deliveries: int):
+    root = ann.index_path(spark, "stream")
+    ingest.create_posts_table(spark, f"{root}/posts")
+    for _ in range(deliveries):
+        fx.ingest_lines(spark, sf_dir).select("value").write.mode("append").text(f"{root}/in")
+        q = ingest_stream(spark, f"{root}/in", f"{root}/posts", f"{root}/quarantine", f"{root}/checkpoint",
+                          dim=INGEST_DIM, max_files_per_trigger=8)
+        q.awaitTermination()
+    return root
+
+
 @register("ingest_stream_accepted")
 def q_ingest_stream_accepted(spark, sf_dir):
     """The JSON lines written as files, ingested by the checkpointed file stream
     (availableNow, a few files per micro-batch), read back from the posts table."""
-    root = ann.index_path(spark, "stream")
+    table = ingest.read_posts_table(spark, f"{_streamed(spark, sf_dir, 1)}/posts")
+    return table.select("tweet_id", "retweet_count", "favorite_count")
+
+
+@register("ingest_stream_twice")
+def q_ingest_stream_twice(spark, sf_dir):
+    """The same lines delivered a second time as new files: neither table nor quarantine grows; then compacted."""
+    root = _streamed(spark, sf_dir, 2)
+    ingest.compact_posts(spark, f"{root}/posts")
+    table = ingest.read_posts_table(spark, f"{root}/posts").select("tweet_id", F.lit(None).cast("string").alias("reject_reason"))
+    rejects = ingest.read_quarantine(spark, f"{root}/posts", f"{root}/quarantine")
+    return table.unionByName(rejects.select(F.lit(None).cast("string").alias("tweet_id"), "reject_reason"))
+
+
+@register("ingest_counters")
+def q_ingest_counters(spark, sf_dir):
+    """Row counters of a batch that is ingested twice under one batch id, then once more in dedup mode."""
+    root = scratch_path(spark, "ingest-counters")
     fx.ingest_lines(spark, sf_dir).select("value").write.text(f"{root}/in")
-    q = ingest_stream(spark, f"{root}/in", f"{root}/posts", f"{root}/quarantine", f"{root}/checkpoint",
-                      dim=INGEST_DIM, max_files_per_trigger=8)
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/posts").select("tweet_id", "retweet_count", "favorite_count")
+    for batch, mode in (("first", "append"), ("first", "append"), ("second", "dedup")):
+        jobs.ingest_job(spark, f"{root}/in", f"{root}/posts", f"{root}/quarantine", dim=INGEST_DIM, mode=mode, batch_id=batch)
+    return ingest.ingest_counters(spark, f"{root}/posts")

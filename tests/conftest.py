@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from chirpflow.session import build_session, ensure_checkpoint_dir
 
-    s = build_session("local[4]", app="chirpflow-tests", shuffle_partitions=8)
+    s = build_session("local[4]", app="chirpflow-tests", shuffle_partitions=4)
     ensure_checkpoint_dir(s)
     yield s
     s.stop()

@@ -47,8 +47,8 @@ def test_ingest_end_to_end_and_guard(spark, tmp_dir):
     assert stats == {"total": 8, "accepted": 4, "rejected": 4, "written": 4}
     with pytest.raises(RuntimeError):
         ingest.ingest(ingest.parse_json_lines(lines_df(spark, good[:1] + bad)), table, quarantine, dim=3)
-    assert spark.read.parquet(table).count() == 4  # the failing batch wrote nothing to the table
-    assert spark.read.parquet(quarantine).count() == 4  # nor to the quarantine: a retry doubles nothing
+    assert ingest.read_posts_table(spark, table).count() == 4  # the failing batch wrote nothing to the table
+    assert ingest.read_quarantine(spark, table, quarantine).count() == 4  # nor to the quarantine: a retry doubles nothing
     stats = ingest.ingest(ingest.parse_json_lines(lines_df(spark, good)), table, quarantine, dim=3, mode="dedup")
     assert stats["written"] == 4  # re-ingest of the same ids adds nothing
 
@@ -64,8 +64,9 @@ def test_jsonl_file_and_stream(spark, tmp_dir):
     q = ingest_stream(spark, src, os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "q"),
                       os.path.join(tmp_dir, "ckpt"), dim=3)
     q.awaitTermination(120)
-    assert spark.read.parquet(os.path.join(tmp_dir, "t")).count() == 2
-    assert spark.read.parquet(os.path.join(tmp_dir, "q")).count() == 1
+    table = os.path.join(tmp_dir, "t")
+    assert ingest.read_posts_table(spark, table).count() == 2
+    assert ingest.read_quarantine(spark, table, os.path.join(tmp_dir, "q")).count() == 1
 
 
 def test_embed_ingest_search_jobs(spark, tmp_dir):
@@ -121,12 +122,74 @@ def test_stream_batch_rerun_is_idempotent(spark, tmp_dir):
     from chirpflow.streaming.ingest_stream import _batch_writer
 
     batch = ingest.read_posts_jsonl(spark, _write_lines(tmp_dir, [line(1), line(2), line(3, rt="many")]))
-    write = _batch_writer(os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "q"), 3, 0.5)
-    write(batch, 0)
-    write(batch, 0)  # the same micro-batch again, as after a failure
-    write(batch.where("tweet_id = '1'"), 1)
-    assert spark.read.parquet(os.path.join(tmp_dir, "t")).count() == 3
-    assert spark.read.parquet(os.path.join(tmp_dir, "q")).count() == 1
+    tagged = batch.withColumn("reject_reason", ingest.reject_reason(3))
+    table, quarantine = os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "q")
+    write = _batch_writer(table, quarantine, 0.5)
+    write(tagged, 0)
+    write(tagged, 0)  # the same micro-batch again, as after a failure
+    write(tagged.where("tweet_id = '1'"), 1)
+    assert ingest.read_posts_table(spark, table).count() == 3
+    assert ingest.read_quarantine(spark, table, quarantine).count() == 1
+
+
+@pytest.mark.parametrize("mode", ["append", "dedup", "overwrite"])
+@pytest.mark.parametrize("dies_in", ["_write_rejects", "commit"])
+def test_a_batch_that_dies_between_its_writes_doubles_nothing(spark, tmp_dir, monkeypatch, mode, dies_in):
+    table, quarantine = os.path.join(tmp_dir, "posts"), os.path.join(tmp_dir, "quarantine")
+    ingest.ingest(ingest.parse_json_lines(lines_df(spark, [line(0)])), table, quarantine, dim=3)
+    lines = ingest.parse_json_lines(lines_df(spark, [line(1), line(2), line(3, rt="many")]))
+
+    def dies(*args, **kwargs):
+        raise OSError("executor and driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest if dies_in == "_write_rejects" else ingest.manifest, dies_in, dies)
+        with pytest.raises(OSError):
+            ingest.ingest(lines, table, quarantine, dim=3, mode=mode, batch_id="b1")
+    assert [r.tweet_id for r in ingest.read_posts_table(spark, table).collect()] == ["0"]
+    assert ingest.read_quarantine(spark, table, quarantine).count() == 0
+    for _ in range(2):  # the retry, and a retry of what succeeded
+        stats = ingest.ingest(lines, table, quarantine, dim=3, mode=mode, batch_id="b1")
+        assert stats == {"total": 3, "accepted": 2, "rejected": 1, "written": 2 if mode == "overwrite" else 3}
+    assert ingest.read_quarantine(spark, table, quarantine).count() == 1
+    assert [(r.batch_id, r.stored) for r in ingest.ingest_counters(spark, table).collect()][-1] == ("b1", 2)
+
+
+def test_a_version_taken_by_another_writer_is_passed_over(spark, tmp_dir):
+    m = ingest.manifest
+    assert m.commit(spark, tmp_dir, {"batch_id": "a", "part": "a-1", "mode": "append"})["version"] == 1
+    os.makedirs(f"{tmp_dir}/_manifest/v000000002")  # begun by a writer that died
+    assert m.commit(spark, tmp_dir, {"batch_id": "b", "part": "b-1", "mode": "append"})["version"] == 3
+    assert m.commit(spark, tmp_dir, {"batch_id": "b", "part": "b-2", "mode": "append"})["part"] == "b-1"
+    assert m.visible_parts(spark, tmp_dir) == ["a-1", "b-1"]
+
+
+def test_compaction_keeps_the_rows(spark, tmp_dir):
+    table, quarantine = os.path.join(tmp_dir, "posts"), os.path.join(tmp_dir, "quarantine")
+    months = ["2020-01-05 10:00:00+00:00", "2020-02-05 10:00:00+00:00", "not a date"]
+    for k in range(3):
+        lines = [line(10 * k + i, created=c) for i, c in enumerate(months)]
+        ingest.ingest(ingest.parse_json_lines(lines_df(spark, lines)), table, quarantine, dim=3)
+    before = sorted(map(str, ingest.read_posts_table(spark, table).collect()))
+    assert ingest.compact_posts(spark, table) == 3
+    after = ingest.read_posts_table(spark, table)
+    assert sorted(map(str, after.collect())) == before and len(before) == 9
+    assert after.select("_metadata.file_path").distinct().count() <= 3
+    assert ingest.compact_posts(spark, table) == 0
+
+
+def test_the_same_file_delivered_twice_adds_nothing(spark, tmp_dir):
+    src, table, quarantine = (os.path.join(tmp_dir, n) for n in ("in", "t", "q"))
+    os.makedirs(src)
+    values = [line(1), line(2)[:-1], line(1, vec=(1, 2)), line(3), json.dumps({"full_text": "no id", "full_text_vector": [1, 2, 3]})]
+    for k, extra in enumerate(([], [line(4)], [])):
+        with open(os.path.join(src, f"part-{k}.jsonl"), "w") as f:
+            f.write("\n".join([*values, *extra]) + "\n")
+        ingest_stream(spark, src, table, quarantine, os.path.join(tmp_dir, "c"), dim=3, max_reject_rate=1.0, compact_every=1).awaitTermination()
+    got = sorted(str(r.tweet_id) for r in ingest.read_posts_table(spark, table).collect())
+    assert got == ["1", "3", "4", "None"]  # the bad line of id 1 does not stand in for the good one
+    reasons = sorted(r.reject_reason for r in ingest.read_quarantine(spark, table, quarantine).collect())
+    assert reasons == ["bad_vector", "malformed"]
 
 
 def _write_lines(tmp_dir, values):
@@ -162,7 +225,7 @@ def test_second_stream_keeps_the_rows_of_the_first(spark, tmp_dir):
         with open(f"{tmp_dir}/in{k}/x.json", "w") as f:
             f.writelines(json.dumps({"tweet_id": i, **base}) + "\n" for i in ids)
         ingest_stream(spark, f"{tmp_dir}/in{k}", f"{tmp_dir}/t", f"{tmp_dir}/q", f"{tmp_dir}/c{k}", dim=2).awaitTermination()
-    assert sorted(r.tweet_id for r in spark.read.parquet(f"{tmp_dir}/t").collect()) == list("abcde")
+    assert sorted(r.tweet_id for r in ingest.read_posts_table(spark, f"{tmp_dir}/t").collect()) == list("abcde")
 
 
 def test_parsers_agree_and_vectors_are_finite(spark, tmp_dir):
