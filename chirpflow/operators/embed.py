@@ -1,7 +1,7 @@
 """Text encoder slot: embed a text column into a fixed-size float vector.
 
 The encoder is a picklable *factory* returning ``list[str] -> ndarray(n, dim)``.
-It is built once per Python worker and fed Arrow batches by an iterator pandas
+It is built once per Python worker and fed Arrow batches by an iterator Arrow
 UDF, so a model is loaded once per worker and never per row. The only encoder
 that runs here is a feature-hashing stand-in (lexical, not semantic), because
 no sentence-embedding model ships with this environment; a
@@ -14,7 +14,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -105,15 +105,18 @@ _WORKER_ENCODERS: dict[str, Callable] = {}
 def _encoder_udf(factory: EncoderFactory):
     key = getattr(factory, "encoder_name", repr(factory))
 
-    @F.pandas_udf(ArrayType(FloatType(), containsNull=False))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(FloatType(), containsNull=False))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _WORKER_ENCODERS.get(key)
         if enc is None:
             enc = _WORKER_ENCODERS[key] = factory()
         for texts in batches:
-            items = texts.fillna("").astype(str).tolist()
-            vecs = [v for i in range(0, len(items), ARROW_BATCH) for v in enc(items[i:i + ARROW_BATCH])]
-            yield pd.Series(vecs, dtype=object)
+            items = ["" if t is None else t for t in texts.cast(pa.string()).to_pylist()]
+            parts = [np.asarray(enc(items[i : i + ARROW_BATCH]), dtype=np.float32) for i in range(0, len(items), ARROW_BATCH)]
+            matrix = np.concatenate(parts) if parts else np.empty((0, 0), dtype=np.float32)
+            # the matrix as it is becomes the list column: offsets and one flat buffer
+            ends = pa.array(np.arange(len(items) + 1, dtype=np.int32) * matrix.shape[1])
+            yield pa.ListArray.from_arrays(ends, pa.array(matrix.ravel()))
 
     return encode
 

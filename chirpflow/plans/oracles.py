@@ -710,3 +710,14 @@ select cast(1 as bigint) as version, 'first' as batch_id, 'append' as mode, tota
 union all
 select 2, 'second', 'dedup', total, accepted, rejected, 0 from c
 """
+
+ORACLES["archive_large"] = f"""
+with {ARCHIVE}
+select * exclude (retweeted) from (
+  select account_id, retweeted, id, full_text, created_at, in_reply_to_user_id, in_reply_to_status_id,
+         row_number() over (partition by account_id order by pos) - 1 as pos
+  from archive)
+where not retweeted
+"""
+
+ORACLES["embed_job_resumed"] = ORACLES["embed_job"]

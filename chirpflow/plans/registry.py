@@ -182,6 +182,27 @@ def q_archive_flat(spark, sf_dir):
     return archives.read_archives(spark, path, multiline=False)
 
 
+@register("archive_large")
+def q_archive_large(spark, sf_dir):
+    """Each account as one document in a file of its own, split inside the document."""
+    path = scratch_path(spark, "large-archives")
+    whole = fx.archive_documents(spark, sf_dir, part=None)
+    whole.write.option("maxRecordsPerFile", 1).json(path)
+    return archives.read_large_archives(spark, path)
+
+
+@register("embed_job_resumed")
+def q_embed_job_resumed(spark, sf_dir):
+    """The embed job in waves, started twice: the second start finds every wave committed."""
+    root = scratch_path(spark, "embed-waves")
+    posts.write_posts_csv(fx.csv_posts(spark, sf_dir), f"{root}/csv")
+    for _ in range(2):
+        jobs.resumable_embed_job(spark, f"{root}/csv", f"{root}/out", encoder=embed.hashing_encoder(HASH_DIM), waves=4)
+    parsed = jobs.read_embedded(spark, f"{root}/out")
+    e = embed.vector_entries(parsed.select("tweet_id", F.col("full_text_vector").cast("array<float>")), "tweet_id")
+    return e.select("tweet_id", "bucket", F.round(F.col("weight").cast("double"), SCORE_DECIMALS).alias("weight"))
+
+
 @register("embed_job")
 def q_embed_job(spark, sf_dir):
     """Posts CSV -> vectors -> JSON lines (the job), read back and validated."""

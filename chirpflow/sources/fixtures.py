@@ -83,15 +83,16 @@ def csv_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARCHIVE_PART = 100           # positions of one archive document: large accounts come in parts
 
 
-def archive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``archive_tweets`` nested as archive documents (account, tweets), at most 100 positions in one."""
+def archive_documents(spark: SparkSession, sf_dir: str, part: int | None = ARCHIVE_PART) -> DataFrame:
+    """``archive_tweets`` nested as archive documents (account, tweets), at most ``part`` positions in one
+    (None: one document an account)."""
     entry = F.struct("pos", F.struct(
         "retweeted",
         F.struct("id", "full_text", "created_at", "in_reply_to_user_id", "in_reply_to_status_id").alias("tweet"),
     ).alias("entry"))
     parts = (
         archive_tweets(spark, sf_dir)
-        .groupBy("account_id", F.floor(F.col("pos") / ARCHIVE_PART).alias("part"))
+        .groupBy("account_id", (F.floor(F.col("pos") / part) if part else F.lit(0)).alias("part"))
         .agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     )
     account = F.struct(F.col("account_id").alias("accountId"))

@@ -239,3 +239,33 @@ def test_parsers_agree_and_vectors_are_finite(spark, tmp_dir):
     for df in (by_file, by_column):
         reasons = sorted(str(r[0]) for r in df.select(ingest.reject_reason(2)).collect())
         assert reasons == ["None", "bad_vector", "malformed", "malformed"]
+
+
+def test_killed_embed_job_resumes(spark, tmp_dir, monkeypatch):
+    from chirpflow.operators.embed import hashing_encoder
+    from chirpflow.plans import jobs
+    from chirpflow.sources import posts
+
+    rows = [(str(i), "a", "2020-01-05 10:00:00", f"text {i} " * (i % 7 + 1) if i % 9 else "  ", "1", "2", None, None, None, "u") for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in posts.POSTS_CSV.fieldNames()))
+    posts.write_posts_csv(df, f"{tmp_dir}/csv")
+    enc = hashing_encoder(8)
+    whole = jobs.resumable_embed_job(spark, f"{tmp_dir}/csv", f"{tmp_dir}/whole", enc, waves=5)
+    assert whole == {"total_rows": 60, "processed_rows": 53, "waves_run": 5}
+    commit = jobs.manifest.commit
+
+    def dies_in_the_third_wave(spark, path, new):
+        if new["batch_id"] == "wave-2":
+            raise OSError("killed")
+        return commit(spark, path, new)
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs.manifest, "commit", dies_in_the_third_wave)
+        with pytest.raises(OSError):
+            jobs.resumable_embed_job(spark, f"{tmp_dir}/csv", f"{tmp_dir}/out", enc, waves=5)
+    assert jobs.read_embedded(spark, f"{tmp_dir}/out").count() < 53
+    again = jobs.resumable_embed_job(spark, f"{tmp_dir}/csv", f"{tmp_dir}/out", enc, waves=5)
+    assert again == {"total_rows": 60, "processed_rows": 53, "waves_run": 3}  # two waves were finished
+    rows_of = lambda p: sorted(map(str, jobs.read_embedded(spark, p).collect()))
+    assert rows_of(f"{tmp_dir}/out") == rows_of(f"{tmp_dir}/whole")
+    assert jobs.resumable_embed_job(spark, f"{tmp_dir}/csv", f"{tmp_dir}/out", enc, waves=5)["waves_run"] == 0

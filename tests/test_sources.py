@@ -49,3 +49,34 @@ def test_read_stopwords(spark, tmp_dir):
     with open(path, "w") as f:
         f.write("the\nand\nthe\n\ndon't\n")
     assert sorted(r.word for r in read_stopwords(spark, path).collect()) == ["and", "don't", "the"]
+
+
+def test_large_archives_are_split_inside_the_document(spark, tmp_dir):
+    """Texts full of commas, brackets, quotes and escapes; any member order and white space; blocks of a
+    few bytes, so that every document is read by many tasks."""
+    import json
+    import os
+
+    from chirpflow.sources import archives
+
+    nasty = ['a, b, c', '"quoted", [x], {y}', "back\\slash\\", 'end\\"', "]}],[{", "", "é, 漢\n,", ',"tweets":[{"tweet"', "\\\\,", "plain"]
+    docs = {}
+    for k, acc in enumerate(["1", "22", "333"]):
+        tweets = [{"retweeted": i % 4 == 3, "tweet": {"id": f"{acc}-{i}", "full_text": nasty[(i + k) % len(nasty)], "created_at": "d, e",
+                                                     "in_reply_to_user_id": None, "entities": {"urls": [{"u": [1, 2]}, {"v": "],"}]}}} for i in range(12 * k)]
+        members = {"account": [{"account": {"accountId": acc, "name": "n, ]"}}], "profile": [{"a": [[1, 2], [3]]}, {"b": ","}], "tweets": tweets, "like": []}
+        docs[acc] = dict(reversed(members.items())) if k == 1 else members
+    for acc, doc in docs.items():
+        with open(os.path.join(tmp_dir, f"{acc}.json"), "w") as f:
+            json.dump(doc, f, indent=None if acc == "1" else 2, ensure_ascii=acc == "22")
+    want = sorted(map(str, archives.read_archives(spark, tmp_dir).collect()))
+    assert len(want) == 27
+    for size in ("64", "1000", str(128 << 20)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = archives.read_large_archives(spark, tmp_dir)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted(map(str, got.collect())) == want, size
