@@ -152,7 +152,6 @@ def test_flow_prefers_few_repeats_and_fills_quotas():
     assert flow[("a",)].get("a") == 10 and flow[("a", "b")].get("b") == 10
     flow = mixing.min_cost_flow({("a", "b"): 10, ("b", "c"): 10}, {"a": 5, "b": 20, "c": 9})
     assert {s: sum(f.get(s, 0) for f in flow.values()) for s in "abc"} == {"a": 5, "b": 20, "c": 9}
-    assert mixing.share_targets({"a": 1, "b": 100}, {"a": 1, "b": 1}, 101) == {"a": 3.0, "b": 98.0}
 
 
 def test_lm_scores(docs, odd, empty):
