@@ -244,7 +244,7 @@ def _remove(with_text: bool):
         for a in found["a"]:
             for at, start, mask in np.frombuffer(L.unpack(a), dtype=np.int64).reshape(-1, 3).tolist():
                 hits.setdefault(at, []).append((start, mask))
-        n_words, n_removed, sha, kept = [], [], [], []
+        n_words, n_removed, sha, kept, md5 = [], [], [], [], []
         for i, t in enumerate(L.unpack_texts(text["a"])):
             words = t.split()
             removed = np.zeros(len(words), bool)
@@ -264,10 +264,11 @@ def _remove(with_text: bool):
             n_removed.append(int(removed.sum()))
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             kept.append(_without(t, removed).decode("utf-8", "replace") if with_text else "")
+            md5.append(hashlib.md5(t).digest() if with_text else b"")
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if x == L.NO_ID else int(x) for x in ids], dtype="Int64"),
-                "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha, "kept": kept,
+                "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha, "kept": kept, "text_md5": md5,
             }
         )
 
@@ -275,7 +276,8 @@ def _remove(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the text without repeated passages."""
+    """doc_id, n_words, n_removed, kept_sha256, the text without repeated passages, and text_md5 (digest of
+    the text as it was)."""
     spark = docs.sparkSession
     n_buckets = L.buckets(spark)
 
@@ -291,12 +293,27 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     hits = rows.groupBy("bucket").applyInPandas(_repeated, "batch long, a binary")
     found = hits.select("batch", F.lit(0).alias("bucket"), "a")
     return _by_batch(
-        texts, found, _remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+        texts, found, _remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_md5 binary"
     )
 
 
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages cut out of ``text`` (``n_chars`` follows, where there is such a column).
+
+    What is cut from a row depends on its doc_id and text alone, so the cut texts come back by both,
+    to rows without doc_id and to rows that share one as well; a null text stays null."""
+    cut = remove_repeats(docs).where("n_removed > 0").dropDuplicates(["doc_id", "text_md5"])
+    cut = cut.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept").alias("_kept"))
+    marked = docs.withColumn("_text_md5", F.unhex(F.md5(F.col("text").cast("binary"))))
+    out = marked.join(cut, marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_md5") == F.col("_md5")), "left")
+    changed = {"text": F.coalesce("_kept", "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept"))
+    return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+    return remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False).drop("kept", "text_md5")
 
 
 OP5_SQL = r"""
