@@ -5,7 +5,9 @@ Parquet and read again as the next stage's docs. All but the last return the col
 of documents: toxic documents go; one document of each near-duplicate group stays;
 repeated passages are cut out of the texts (``n_chars`` follows); the sources are mixed
 to their target weights (a document appears as often as the mix takes it); the last
-stage tokenizes. Empty tables pass through every stage.
+stage tokenizes. A row is told from others by doc_id and text, never by doc_id alone:
+rows without one and rows that share one are documents like others. Empty tables pass
+through every stage.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from chirpflow.llm.bpe import token_digests
 from chirpflow.llm.jaccard_join import one_per_group
 from chirpflow.llm.mixing import mixed_documents
-from chirpflow.llm.substring_dedup import remove_repeats
+from chirpflow.llm.substring_dedup import cut_documents
 from chirpflow.llm.toxicity import clean_documents, fit_from_tables
 from chirpflow.session import read_table, scratch_path, ship_package
 
@@ -29,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group."""
+    """The document with the smallest doc_id of each near-duplicate group (see ``one_per_group``)."""
     ship_package(spark)
     return one_per_group(docs)
 
@@ -37,11 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words under windows that a smaller document has too; a null text stays null."""
     ship_package(spark)
-    kept = remove_repeats(docs).where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept_text"))
-    out = docs.join(kept, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("_kept_text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("_kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept_text"))}
-    return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return cut_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
