@@ -1,13 +1,15 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, scored in context.
 
 The lexicon (whole terms, and stems that any ending may follow) is learned from a
-bounded sample of labelled rows: entries that stand almost only in toxic texts. All
-entries form one trie. The Levenshtein automaton of a term accepts its misspellings;
+bounded sample of labelled rows: entries that stand almost only in toxic texts, and
+there between many different neighbours (a word of a copied passage always has the
+same ones, however many texts hold the passage). All entries form one trie. The Levenshtein automaton of a term accepts its misspellings;
 the automata of all entries run together as sets of (trie node, edits so far), made
 deterministic on demand and kept in a transition table, so a text's word costs one
 table look-up per letter and most words leave the table after two or three letters.
 
-Every match is classed by (entry, edits, context): a window of words on both sides
+A word within the allowed edits of a term is a misspelling unless the sample knows it as
+a word of its own (it stands in several texts, mostly clean ones). Every match is classed by (entry, edits, context): a window of words on both sides
 tells whether it stands in quotation marks or near a reporting verb. The share of
 toxic rows per class, shrunk towards a prior, turns the strongest match into a score.
 
@@ -32,10 +34,13 @@ from chirpflow.session import read_table, scratch_path
 
 #: About so many labelled rows (chosen by hash of doc_id) teach the lexicon and the classes.
 FIT_ROWS = 40_000
+#: An entry stands in so many toxic texts, and between so many different neighbours (words on each side).
 MIN_SUPPORT = 8
+NEIGHBOURS = 3
 MIN_PRECISION = 0.9
 STEM_LETTERS = range(4, 8)
-MAX_ENTRIES = 5_000
+#: A word in so many clean texts of the sample, more than in toxic ones, is no misspelling.
+KNOWN_WORD = 2
 CONTEXT = 6
 THRESHOLD = 0.3
 CACHE_WORDS = 300_000
@@ -47,7 +52,7 @@ REPORTING = frozenset(
     "sagte schrieb nannte zitat wort dit écrit appelé citation mot dijo escribió llamó cita palabra".split()
 )
 #: Prior share of toxic texts by edits of the strongest match; factor by context.
-PRIOR = {0: 0.9, 1: 0.5, 2: 0.3}
+PRIOR = {0: 0.9, 1: 0.5, 2: 0.35}
 CONTEXT_FACTOR = {0: 1.0, 1: 0.6, 2: 0.2}
 PRIOR_WEIGHT = 4.0
 
@@ -60,14 +65,12 @@ def chunk_tokens(chunk: str) -> list[str]:
     lowered = chunk.lower()
     tokens = _TOKEN.findall(lowered)
     if len(tokens) > 1:
-        bare = lowered.strip(QUOTES + ".,;:!?()[]{}'")
-        if len(bare) <= 40:
-            tokens.append(bare)
+        tokens.append(lowered.strip(QUOTES + ".,;:!?()[]{}'"))
     return tokens
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class LexiconAutomaton:
@@ -159,13 +162,18 @@ class LexiconAutomaton:
 class Matcher:
     """Matches of a text with their context class, with a bounded cache of words."""
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], known: frozenset = frozenset()):
         self.automaton = LexiconAutomaton(terms, stems)
+        self.known = known  # words of their own within the edits of a term
         self.cache: dict[bytes, tuple[int, int] | None] = {}
 
+    def forms(self, chunk: str) -> list[tuple[int, int, str]]:
+        """(entry, edits, token) of the matching tokens of a chunk."""
+        return [(*m, t) for t in chunk_tokens(chunk) if (m := self.automaton.match(t)) and not (m[1] and t in self.known)]
+
     def _chunk(self, chunk: bytes) -> tuple[int, int] | None:
-        found = [m for t in chunk_tokens(chunk.decode("utf-8", "replace")) if (m := self.automaton.match(t))]
-        return min(found, key=lambda m: m[1]) if found else None
+        found = self.forms(chunk.decode("utf-8", "replace"))
+        return min(found, key=lambda m: m[1])[:2] if found else None
 
     def matches(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(word position, entry, edits, context) of every match; context 0 plain, 1 quoted
@@ -199,14 +207,15 @@ class Matcher:
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """(terms, stems) from rows (text, toxic): entries in at least MIN_SUPPORT toxic texts and
-    almost no others; a stem or term that a shorter stem covers as well is left out."""
+    """(terms, stems) from rows (text, toxic): entries in at least MIN_SUPPORT toxic texts, between as many
+    different neighbours, and in almost no other texts; a stem or term that a shorter stem covers as
+    well is left out. Their number is bounded by the words of the sample's toxic texts."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = (Counter(), Counter())
         for batch in rebatched(batches, BATCH_BYTES, 0):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = {t for w in set((text or "").split()) for t in chunk_tokens(w) if len(t) <= 40}
+                tokens = {t for w in set((text or "").split()) for t in chunk_tokens(w)}
                 keys = {"t" + t for t in tokens}
                 keys.update(["s" + t[:n] for t in tokens for n in STEM_LETTERS if len(t) > n])
                 tallies[1 if toxic else 0].update(keys)
@@ -223,8 +232,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     chosen = table.where(
         (F.col("bad") >= MIN_SUPPORT) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good") + 0.5))
     )
-    rows = chosen.orderBy(F.desc("bad"), "entry").limit(MAX_ENTRIES).collect()
-    bad = {r["entry"]: r["bad"] for r in rows}
+    bad = _neighbourhoods(sample, [r["entry"] for r in chosen.select("entry").collect()])
     stems: list[str] = []
     for s in sorted((k[1:] for k in bad if k[0] == "s"), key=lambda s: (len(s), s)):
         whole = [n for k, n in bad.items() if k[0] == "t" and k[1:].startswith(s)]
@@ -235,6 +243,63 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     return terms, stems
 
 
+def _neighbourhoods(sample: DataFrame, entries: list[str]) -> dict[str, int]:
+    """Different neighbours (NEIGHBOURS words on each side) between which each entry stands in toxic texts (MIN_SUPPORT or more)."""
+    shared = sample.sparkSession.sparkContext.broadcast(frozenset(entries))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in rebatched(batches, BATCH_BYTES, 0):
+            found: set[tuple[str, int]] = set()
+            for text in batch.column(0).to_pylist():
+                words = (text or "").lower().split()
+                for at, w in enumerate(words):
+                    keys = {k for t in chunk_tokens(w) for k in ("t" + t, *("s" + t[:n] for n in STEM_LETTERS if len(t) > n)) if k in wanted}
+                    if keys:
+                        around = zlib.crc32(" ".join([*words[max(0, at - NEIGHBOURS) : at], "|", *words[at + 1 : at + 1 + NEIGHBOURS]]).encode())
+                        found.update((k, around) for k in keys)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found]), pa.array([a for _, a in found], pa.int64())], ["entry", "around"])
+
+    if not entries:
+        return {}
+    rows = sample.where("toxic = 1").select("text", "toxic").mapInArrow(places, "entry string, around long").distinct()
+    counted = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT)
+    return {r["entry"]: r["n"] for r in counted.collect()}
+
+
+def near_forms(sample: DataFrame, lexicon: tuple[list[str], list[str]]) -> list[tuple[str, int, int, int, int]]:
+    """(form, entry, edits, clean texts, toxic texts) for every word of the sample within the edits of a term."""
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(*shared.value)
+        of_word: dict[str, list[tuple]] = {}
+        tally: Counter = Counter()
+        for batch in rebatched(batches, BATCH_BYTES, 0):
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                forms: set[tuple] = set()
+                for w in set((text or "").split()):
+                    if w not in of_word:
+                        of_word[w] = [m for m in matcher.forms(w) if m[1]]
+                    forms.update(of_word[w])
+                tally.update((*f, 1 if toxic else 0) for f in forms)
+        keys = list(tally)
+        columns = [pa.array([k[2] for k in keys], pa.string()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1, 3)]]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([tally[k] for k in keys], pa.int64())], ["form", "entry", "edits", "toxic", "n"])
+
+    rows = sample.select("text", "toxic").mapInArrow(near, "form string, entry long, edits long, toxic long, n long")
+    toxic = F.col("toxic") == 1
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    table = rows.groupBy("form", "entry", "edits").agg(of(~toxic).alias("good"), of(toxic).alias("bad"))
+    return [tuple(r) for r in table.collect()]  # at most the words of the sample
+
+
+def known_words(forms: list[tuple[str, int, int, int, int]]) -> frozenset:
+    """Forms that the sample knows as words of their own."""
+    return frozenset(f for f, _, _, good, bad in forms if good >= KNOWN_WORD and good > bad)
+
+
 def strongest(found: list[tuple[int, int, int, int]]) -> tuple[int, int, int]:
     """(entry, edits, context) of the match with the highest prior; (-1, 0, 0) if none."""
     if not found:
@@ -242,10 +307,10 @@ def strongest(found: list[tuple[int, int, int, int]]) -> tuple[int, int, int]:
     return max(((e, d, c) for _, e, d, c in found), key=lambda m: (PRIOR[m[1]] * CONTEXT_FACTOR[m[2]], -m[0]))
 
 
-def class_shares(sample: DataFrame, lexicon: tuple[list[str], list[str]]) -> dict[tuple[int, int, int], float]:
+def class_shares(sample: DataFrame, lexicon: tuple[list[str], list[str]], known: frozenset = frozenset()) -> dict[tuple[int, int, int], float]:
     """P(toxic) per class of the strongest match, shrunk towards the prior; class
     (-1, 0, 0) holds the texts without a match."""
-    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+    shared = sample.sparkSession.sparkContext.broadcast((*lexicon, known))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value)
@@ -265,11 +330,34 @@ def class_shares(sample: DataFrame, lexicon: tuple[list[str], list[str]]) -> dic
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("toxic")).alias("bad")
         ).collect()
     )  # at most entries x 3 edits x 3 contexts
-    return shrunk_shares([(r["entry"], r["edits"], r["context"], r["n"], r["bad"]) for r in rows])
+    table = [(r["entry"], r["edits"], r["context"], r["n"], r["bad"]) for r in rows]
+    return {**shrunk_shares([r for r in table if not r[1]]), **misspelling_shares([*lexicon[0], *lexicon[1]], table)}
+
+
+def misspelling_shares(entries: list[str], rows: list[tuple[int, int, int, int, int]]) -> dict[tuple[int, int, int], float]:
+    """P(toxic) of texts whose strongest match is within the edits of an entry (and no known word), by
+    (entry, edits, context), from rows (entry, edits, context, texts, toxic texts).
+
+    Entries that begin alike (two letters) share their texts: where a language builds many words on one
+    beginning, their neighbours are ordinary words. The prior counts as one text more, so an entry that
+    stands alone keeps it."""
+    tally: dict[tuple[str, int], list[int]] = {}
+    for entry, edits, _, n, bad in rows:
+        if entry >= 0 and edits:
+            t = tally.setdefault((entries[entry][:2], edits), [0, 0])
+            t[0] += n
+            t[1] += bad
+    out = {}
+    for entry, name in enumerate(entries):
+        for edits in (1, 2):
+            n, bad = tally.get((name[:2], edits), (0, 0))
+            for context, factor in CONTEXT_FACTOR.items():
+                out[(entry, edits, context)] = (bad + PRIOR[edits]) * factor / (n + 1)
+    return out
 
 
 def shrunk_shares(rows: list[tuple[int, int, int, int, int]]) -> dict[tuple[int, int, int], float]:
-    """Class shares in three steps: prior, pooled over entries (entry -2), single entry."""
+    """Shares of the exact classes in three steps: prior, pooled over entries (entry -2), single entry."""
     pooled: dict[tuple[int, int], tuple[float, float]] = {}
     for entry, edits, context, n, bad in rows:
         if entry >= 0:
@@ -278,7 +366,7 @@ def shrunk_shares(rows: list[tuple[int, int, int, int, int]]) -> dict[tuple[int,
     shares = {}
     for edits, p in PRIOR.items():
         for context, factor in CONTEXT_FACTOR.items():
-            n, bad = pooled.get((edits, context), (0, 0))
+            n, bad = (0, 0) if edits else pooled.get((edits, context), (0, 0))
             shares[(-2, edits, context)] = (bad + PRIOR_WEIGHT * p * factor) / (n + PRIOR_WEIGHT)
     for entry, edits, context, n, bad in rows:
         if entry < 0:
@@ -289,14 +377,13 @@ def shrunk_shares(rows: list[tuple[int, int, int, int, int]]) -> dict[tuple[int,
 
 
 def score_text(found: list[tuple[int, int, int, int]], shares: dict) -> float:
-    """The best class's share (a class that is wrong more often than right counts half);
-    further exact matches outside quotations move it part of the way to 1."""
+    """The best class's share; further exact matches outside quotations move it part of the way to 1."""
     if not found:
         return min(0.2, shares.get((-1, 0, 0), 0.02))
     p, plain = 0.0, 0
     for _, entry, edits, context in found:
         share = shares.get((entry, edits, context), shares.get((-2, edits, context), 0.0))
-        p = max(p, share if share >= 0.5 else share / 2)
+        p = max(p, share)
         plain += edits == 0 and context == 0 and share >= 0.5
     return p + (1 - p) * 0.5 * (1 - 0.5 ** max(0, plain - 1))
 
@@ -306,8 +393,8 @@ def score_documents(docs: DataFrame, model: tuple) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, shares = shared.value
-        matcher = Matcher(*lexicon)
+        lexicon, shares, known = shared.value
+        matcher = Matcher(*lexicon, known)
         entries = matcher.automaton.entries
         match = pa.struct([("at", pa.int32()), ("entry", pa.string()), ("edits", pa.int32()), ("context", pa.int32())])
         for batch in rebatched(batches, BATCH_BYTES, 1):
@@ -336,8 +423,8 @@ def clean_documents(docs: DataFrame, model: tuple, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, shares = shared.value
-        matcher = Matcher(*lexicon)
+        lexicon, shares, known = shared.value
+        matcher = Matcher(*lexicon, known)
         for batch in rebatched(batches, BATCH_BYTES, at):
             scores = [score_text(matcher.matches(t or b""), shares) for t in bytes_list(batch.column(at))]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
@@ -380,7 +467,8 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
     sample.write.parquet(path)
     sample = spark.read.parquet(path)
     lexicon = learn_lexicon(sample)
-    return lexicon, class_shares(sample, lexicon)
+    known = known_words(near_forms(sample, lexicon))
+    return lexicon, class_shares(sample, lexicon, known), known
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

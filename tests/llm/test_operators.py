@@ -253,6 +253,57 @@ def test_toxicity(odd, empty, spark):
     assert toxicity.score_documents(empty, none).count() == 0 and none[0] == ([], [])
 
 
+def test_misspellings_and_copied_passages(spark):
+    """Four letters take an edit, a word of its own takes none, very long tokens are read, and a word of a
+    passage that many toxic texts copy is no entry."""
+    passage = "alpha beta gamma copied delta epsilon zeta"
+    rows = [(i, f"k{i} m{i} scum n{i} o{i} p{i} {passage} q{i}" if i % 4 == 0 else f"k{i} m{i} scam n{i} o{i} calm words p{i}") for i in range(200)]
+    long = "x" * 100 + "idiot"
+    table = spark.createDataFrame([*rows, (300, "you scuum there"), (301, "a scam there"), (302, long), (303, "sc*m")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit_from_tables(table, labels)
+    assert "scum" in model[0][0] and "copied" not in model[0][0] and "scam" in model[2]
+    got = {r["doc_id"]: r["score"] for r in rows_of(toxicity.score_documents(table, model))}
+    assert got[300] >= 0.3 > got[301] and got[302] < 0.3 <= got[303]
+    assert toxicity.chunk_tokens("a" * 60 + "*" + "b" * 60)[-1] == "a" * 60 + "*" + "b" * 60
+
+
+def test_toxicity_matches_equal_plain_ones(spark):
+    """The matches of every text, found by comparing every token with every entry."""
+    larger = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    model = toxicity.fit_from_tables(docs, spark.read.parquet(f"{larger}/labels.parquet"))
+    (terms, stems), shares, known = model
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def match(token):
+        near = [(d, k) for k, t in enumerate(terms) if abs(len(t) - len(token)) <= 2 and (d := distance(token, t)) <= toxicity.edits_allowed(t)]
+        stem = [len(terms) + k for k, s in enumerate(stems) if token.startswith(s)]
+        best = min(near, default=None)
+        if best and (best[0] == 0 or not stem):
+            return None if best[0] and token in known else (best[1], best[0])
+        return (min(stem, key=lambda k: len(stems[k - len(terms)])), 0) if stem else None
+
+    assert terms
+    for r in docs.select("doc_id", "text").where("doc_id % 9 = 0").collect():
+        found = []
+        ws = r["text"].encode().split()
+        for at, w in enumerate(ws):
+            ms = [m for t in toxicity.chunk_tokens(w.decode()) if (m := match(t))]
+            if ms:
+                found.append((at, *min(ms, key=lambda m: m[1]), toxicity.Matcher.context(ws, at)))
+        got = toxicity.Matcher(terms, stems, known).matches(r["text"].encode())
+        assert got == found
+
+
 def _jaccard(rows):
     sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for _, w in rows]
     links = [[b for b in range(len(rows)) if a != b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9] for a in range(len(rows))]
