@@ -6,9 +6,10 @@ and a header with the logarithm of the length and two quartile ratios. Two diges
 are compared by summed bucket distances plus header distances.
 
 Defined results: a null text counts as empty; an empty text has the all-zero digest;
-equal texts have equal digests; texts shorter than five bytes have empty buckets; of
-rows with the same doc_id the order is by text (null first); an empty table gives no
-rows; a single row is its own next document; other columns are ignored.
+equal texts have equal digests; texts shorter than five bytes have empty buckets; rows
+without a doc_id come first, and rows with the same doc_id are in the order of their
+texts' MD5; an empty table gives no rows; a single row is its own next document; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from chirpflow.session import read_table
+from chirpflow.session import read_table, written
 
 BUCKETS = 128
 WINDOW = 5
@@ -111,108 +114,102 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def in_order_with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, guest, doc_id, text) such that inside a part, sorted, each row's next
-    document follows it.
-
-    Parts are ranges of doc_id between approximate quantiles, so the texts are shuffled
-    once. The first document of each part is also sent to the part before it (the very
-    first to the last) as a *guest* that is only looked at. What reaches the driver is
-    one doc_id per part.
-    """
-    d = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    cuts = d.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    if cuts:
-        low = F.array(*[F.lit(c) for c in cuts])
-        part = F.coalesce(F.size(F.filter(low, lambda c: c < F.col("doc_id"))), F.lit(0))
-        part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)
-    else:
-        part = F.lit(0)
-    firsts = (
-        docs.select("doc_id").withColumn("part", part).groupBy("part").agg(
-            F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")
-        ).orderBy("part").collect()
-    )
-    own = d.select(part.alias("part"), F.lit(False).alias("guest"), "doc_id", "text")
-    guests = []
-    for k, r in enumerate(firsts):
-        before = firsts[k - 1]["part"]  # the very first goes to the last part
-        guests.append((None if r["nulls"] else r["first"], before))
-    if not guests:
-        return own
-    is_first = F.col("doc_id").isNull() if guests[0][0] is None else F.lit(False)
-    goes = F.when(is_first, F.lit(guests[0][1]))
-    for first, before in guests:
-        if first is not None:
-            goes = goes.when(F.col("doc_id") == first, F.lit(before))
-    return own.withColumn("_to", goes).select(
-        F.explode(
-            F.when(F.col("_to").isNull(), F.array(F.struct("part", "guest"))).otherwise(
-                F.array(F.struct("part", "guest"), F.struct(F.col("_to").alias("part"), F.lit(True).alias("guest")))
-            )
-        ).alias("p"),
-        "doc_id",
-        "text",
-    ).select("p.part", "p.guest", "doc_id", "text")
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Chunks of (doc_id, text, next text) of bounded bytes from rows in order."""
+def _pairs(batches: Iterator[pa.RecordBatch], edges: list) -> Iterator[list[tuple]]:
+    """Chunks of (doc_id, text, next text) of bounded bytes from rows (doc_id, text) in order; the first
+    and the last row are left in ``edges`` (the last has no next text here)."""
     held, chunk, size = None, [], 0
     for batch in batches:
-        for part, guest, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held is not None and held[0] == part:
-                chunk.append((held[1], held[2], text))
-                size += len(held[2]) + len(text)
-            held = None if guest else (part, doc_id, text)
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held is None:
+                edges.append(row)
+            else:
+                chunk.append((*held, row[1]))
+                size += len(held[1]) + len(row[1])
+            held = row
             if size > BATCH_BYTES:
                 yield chunk
                 chunk, size = [], 0
     if chunk:
         yield chunk
+    if held is not None:
+        edges.append(held)
+
+
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_TYPES = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _compared(chunk: list[tuple], id_type: pa.DataType) -> list[pa.Array]:
+    """The result columns of rows (doc_id, text, next text)."""
+    edited = []
+    for _, text, following in chunk:
+        q = len(text) // 4
+        edited.append((text[: len(text) - q] + following[:q]).encode())
+    own = digests([c[1].encode() for c in chunk])
+    changed = digests(edited)
+    # mostly a row's next document is the next row
+    nexts = np.concatenate([own[1:], digests([c[2].encode() for c in chunk[-1:]])])
+    breaks = [i for i in range(len(chunk) - 1) if chunk[i][2] is not chunk[i + 1][1]]
+    if breaks:
+        nexts[breaks] = digests([chunk[i][2].encode() for i in breaks])
+    return [
+        pa.array([c[0] for c in chunk], id_type),
+        pa.array([len(c[1]) for c in chunk], pa.int64()),
+        pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()),
+        pa.array([r.tobytes().hex() for r in own], pa.string()),
+        pa.array([r.tobytes().hex() for r in changed], pa.string()),
+        pa.array(likeness(own, changed), pa.float64()),
+        pa.array(likeness(own, nexts), pa.float64()),
+    ]
 
 
 def compare_with_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last quarter replaced by
-    the start of the next document), and the likeness to it and to the next document."""
+    the start of the next document), and the likeness to it and to the next document.
+
+    The texts are shuffled once, into ranges of (doc_id, digest of the text), so that neither a common
+    doc_id nor its lack makes a large part. Inside a range each row's next document follows it. The
+    first and the last row of every range are kept aside with their texts, and the last ones meet the
+    first ones of the next range in a second, small step."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = in_order_with_next(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    rows = docs.select("doc_id", text.alias("text")).withColumn("h", F.md5(F.col("text").cast("binary")))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    id_name = docs.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    names = [*COLUMNS, "kind", "part", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _pairs(batches):
-            edited = []
-            for _, text, following in chunk:
-                q = len(text) // 4
-                edited.append((text[: len(text) - q] + following[:q]).encode())
-            own = digests([c[1].encode() for c in chunk])
-            changed = digests(edited)
-            following = digests([c[2].encode() for c in chunk[-1:]])
-            # within a chunk a row's next document is the next row, but for the last row
-            # and where a part ends
-            nexts = np.concatenate([own[1:], following])
-            breaks = [i for i in range(len(chunk) - 1) if chunk[i][2] is not chunk[i + 1][1]]
-            if breaks:
-                nexts[breaks] = digests([chunk[i][2].encode() for i in breaks])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c[0] for c in chunk], pa.int64()),
-                    pa.array([len(c[1]) for c in chunk], pa.int64()),
-                    pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()),
-                    pa.array([r.tobytes().hex() for r in own], pa.string()),
-                    pa.array([r.tobytes().hex() for r in changed], pa.string()),
-                    pa.array(likeness(own, changed), pa.float64()),
-                    pa.array(likeness(own, nexts), pa.float64()),
-                ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-    return rows.mapInArrow(
-        run,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double",
-    )
+        part = TaskContext.get().partitionId()
+        edges: list[tuple] = []
+        for chunk in _pairs(batches, edges):
+            n = len(chunk)
+            side = [pa.array([0] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string())]
+            yield pa.RecordBatch.from_arrays([*_compared(chunk, id_type), *side], names)
+        if edges:
+            first, last = edges
+            none = [pa.nulls(2, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            side = [pa.array([1, 2], pa.int32()), pa.array([part] * 2, pa.int32()), pa.array([first[1], last[1]], pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([first[0], last[0]], id_type), *none, *side], names)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = tuple(c[i].as_py() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays(_compared([row], id_type), COLUMNS)
+
+    done = written(rows.select("doc_id", "text").mapInArrow(run, f"doc_id {id_name}, {_TYPES}, kind int, part int, text string"), "fingerprints")
+    # the range after each range, in a circle: two numbers a range
+    near = Window.orderBy("part")
+    ring = done.where("kind = 1").select("part", F.lead("part").over(near).alias("next"), F.min("part").over(Window.partitionBy()).alias("least"))
+    ring = ring.select("part", F.coalesce("next", "least").alias("next"))
+    lasts = done.where("kind = 2").select("part", "doc_id", "text")
+    firsts = done.where("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    edge = lasts.join(ring, "part").join(firsts, "next").select("doc_id", "text", "following")
+    closing = edge.mapInArrow(ends, f"doc_id {id_name}, {_TYPES}")
+    return done.where("kind = 0").select(*COLUMNS).unionByName(closing)
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,45 @@ def test_fingerprints(docs, odd, empty):
     assert {r["doc_id"]: r["edited_sha256"] for r in got} == want
     assert sum(r["near_edited"] > r["near_next"] for r in got) > 0.9 * len(got)
     assert {r["doc_id"]: r["fingerprint"] for r in got} == {r["doc_id"]: r["fingerprint"] for r in rows_of(fingerprint.fingerprints(docs))}
+    # digest, difference and likeness by the letter, one text at a time
+    def plain_digest(t):
+        b, counts = t.encode(), [0] * 128
+        for e in range(4, len(b)):
+            for i, j, salt in fingerprint.TRIPLETS:
+                h = int(fingerprint.TABLE[b[e] ^ salt])
+                h = int(fingerprint.TABLE[h ^ b[e - i]])
+                counts[int(fingerprint.TABLE[h ^ b[e - j]]) >> 1] += 1
+        q = [sorted(counts)[k] for k in (31, 63, 95)]
+        codes = [sum(c > x for x in q) for c in counts]
+        import math
+
+        head = [min(255, math.floor(math.log(len(b) + 1) / math.log(1.25))), min(15, 16 * q[0] // max(q[2], 1)) << 4 | min(15, 16 * q[1] // max(q[2], 1))]
+        return head, codes
+
+    def plain_likeness(x, y):
+        (hx, cx), (hy, cy) = plain_digest(x), plain_digest(y)
+        far = sum(6 if abs(a - b) == 3 else abs(a - b) for a, b in zip(cx, cy))
+        for a, b in ((hx[0], hy[0]), (hx[1] >> 4, hy[1] >> 4), (hx[1] & 15, hy[1] & 15)):
+            d = abs(a - b)
+            far += min(24, d if d <= 1 else 4 * (d - 1))
+        return 1 - min(1, far / 250)
+
+    by = {r["doc_id"]: r for r in got}
+    for k, (i, t) in enumerate(rows[:25]):
+        q, following = len(t) // 4, rows[(k + 1) % len(rows)][1]
+        head, codes = plain_digest(t)
+        body = [sum(c << 2 * n for n, c in enumerate(codes[p : p + 4])) for p in range(0, 128, 4)]
+        assert by[i]["fingerprint"] == bytes(head + body).hex()
+        assert abs(by[i]["near_next"] - plain_likeness(t, following)) < 1e-12
+        assert abs(by[i]["near_edited"] - plain_likeness(t, t[: len(t) - q] + following[:q])) < 1e-12
+    # one doc_id, or none, for many rows: dealt over many ranges, each row's next by digest of the text
+    hot = docs.select(F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 7).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, hashlib.md5(r["text"].encode()).hexdigest(), r["text"]) for r in hot.collect()))
+    nexts = Counter()
+    for k, (has, i, _, t) in enumerate(order):
+        q = len(t) // 4
+        nexts[(i if has else None, hashlib.sha256((t[: len(t) - q] + order[(k + 1) % len(order)][3][:q]).encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in rows_of(fingerprint.compare_with_edited(hot, 9))) == nexts
     strange = rows_of(fingerprint.compare_with_edited(odd))
     assert len(strange) == len(ROWS) and all(0 <= r["near_next"] <= 1 for r in strange)
     assert fingerprint.compare_with_edited(empty).count() == 0
