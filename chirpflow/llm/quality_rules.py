@@ -136,12 +136,12 @@ def vote_patterns(votes: DataFrame, names: list[str]) -> DataFrame:
     return votes.groupBy("pattern", *names).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Start rates of bad votes, among the votes a rule casts: on good documents, on documents
-#: of the rule's own failure class, on documents of another failure class.
-START_GOOD, START_OWN, START_OTHER = 0.01, 0.9, 0.2
-#: What the fit assumes of the rules: one is wrong on a good document at most this often,
-#: right on its own failure class at least this often, and most documents are good.
-MAX_FALSE, MIN_OWN, MIN_GOOD = 0.01, 0.9, 0.6
+#: Expected rates of bad votes, among the votes a rule casts: on good documents, on documents
+#: of the rule's own failure class, on documents of another failure class; expected share of good ones.
+GOOD_RATE, OWN_RATE, OTHER_RATE, GOOD_SHARE = 0.01, 0.9, 0.2, 0.9
+#: Weight of these expectations (Beta and Dirichlet priors), in votes per document of the corpus.
+GOOD_WEIGHT, OWN_WEIGHT, OTHER_WEIGHT, SHARE_WEIGHT = 0.5, 0.02, 0.005, 0.01
+ROUNDS = 100
 
 
 def class_weights(names: list[str], model: dict) -> Column:
@@ -170,57 +170,69 @@ def with_posterior(votes: DataFrame, names: list[str], model: dict) -> DataFrame
 
 
 def start_model(names: list[str]) -> dict:
-    own = {n: [START_GOOD] + [START_OWN if n == k else START_OTHER for k in names] for n in names}
-    return {"prior": [0.9] + [0.1 / len(names)] * len(names), "bad": own}
+    """The expected model: what is fitted where there are no documents."""
+    own = {n: [GOOD_RATE] + [OWN_RATE if n == k else OTHER_RATE for k in names] for n in names}
+    return {"prior": [GOOD_SHARE] + [(1 - GOOD_SHARE) / len(names)] * len(names), "bad": own}
 
 
-def fit_em(patterns: DataFrame, names: list[str], rounds: int = 12, smooth: float = 10.0) -> dict:
-    """EM over the pattern table (at most 3^rules rows whatever the corpus size).
+def fit_em(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
+    """EM over the pattern table (at most 3^rules rows whatever the corpus size, read once).
 
     Documents fail in several ways that have little to do with each other (repeats, symbol
     litter, shouting), so there is one good class and one failure class for each rule, and
     a rule's accuracy is its rate of bad votes in each class. Rates are taken among the
-    votes cast: rules abstain on short texts together, so abstaining is no evidence. Each
-    round is one aggregate over patterns x classes: the E-step is the class weights under
-    the current model, the M-step their vote counts; only those few sums come back.
-    MAX_FALSE, MIN_OWN and MIN_GOOD say which class is which; with them a document
-    without a bad vote is never rejected. No documents: the start model.
+    votes cast: rules abstain on short texts together, so abstaining is no evidence. The
+    expectations enter as Beta and Dirichlet priors that weigh so many votes per document:
+    nothing is cut off, and a rule whose votes say otherwise is fitted otherwise. A failure
+    class that no document takes keeps its expected rates and loses its share.
     """
+    rows = [(tuple(r[n] for n in names), r["n"]) for r in patterns.select("n", *names).collect()]
+    # in one order: rules that always agree have classes alike, which rounding alone tells apart
+    return em_rounds(sorted(rows, key=str), names, rounds)
+
+
+def em_rounds(table: list[tuple[tuple, int]], names: list[str], rounds: int = ROUNDS) -> dict:
+    """Maximum a posteriori EM on (votes, documents) rows until the rates stand still."""
     start = model = start_model(names)
+    total = sum(n for _, n in table)
+    if not total:
+        return model
+    classes = range(len(names) + 1)
+    weight = {n: [GOOD_WEIGHT] + [OWN_WEIGHT if n == k else OTHER_WEIGHT for k in names] for n in names}
     for _ in range(rounds):
-        scored = patterns.withColumn("_weights", class_weights(names, model))
-        scored = scored.withColumn("_total", F.aggregate("_weights", F.lit(0.0), lambda x, y: x + y))
-        scored = scored.select("n", "_total", *names, F.posexplode("_weights").alias("k", "_weight"))
-        scored = scored.withColumn("w", F.col("n") * F.col("_weight") / F.col("_total"))
-        sums = [F.sum("w").alias("w")]
-        for name in names:
-            sums.append(F.coalesce(F.sum(F.when(F.col(name) == 0, F.col("w"))), F.lit(0.0)).alias(f"{name}_down"))
-            sums.append(F.coalesce(F.sum(F.when(F.col(name).isNotNull(), F.col("w"))), F.lit(0.0)).alias(f"{name}_cast"))
-        rows = {r["k"]: r for r in scored.groupBy("k").agg(*sums).collect()}  # one row a class
-        total = sum(r["w"] for r in rows.values())
-        if not total:
-            return model
-        prior = [(rows[k]["w"] + smooth * x) / (total + smooth) for k, x in enumerate(start["prior"])]
-        if prior[0] < MIN_GOOD:
-            prior = [MIN_GOOD] + [x * (1 - MIN_GOOD) / (1 - prior[0]) for x in prior[1:]]
-        bad = {}
-        for name in names:
-            rates = [
-                (rows[k][f"{name}_down"] + smooth * x) / (rows[k][f"{name}_cast"] + smooth)
-                for k, x in enumerate(start["bad"][name])
+        mass = [0.0 for _ in classes]
+        down = {n: [0.0 for _ in classes] for n in names}
+        cast = {n: [0.0 for _ in classes] for n in names}
+        for votes, n in table:  # E-step: a pattern's documents shared among the classes
+            share = list(model["prior"])
+            for name, vote in zip(names, votes, strict=True):
+                if vote is not None:
+                    rates = model["bad"][name]
+                    share = [s * (1 - x if vote else x) for s, x in zip(share, rates, strict=True)]
+            scale = n / sum(share)
+            for k in classes:
+                mass[k] += share[k] * scale
+            for name, vote in zip(names, votes, strict=True):
+                if vote is not None:
+                    for k in classes:
+                        cast[name][k] += share[k] * scale
+                        down[name][k] += 0.0 if vote else share[k] * scale
+        bad = {  # M-step: the expectation counts like so many votes more
+            name: [
+                (down[name][k] + total * weight[name][k] * start["bad"][name][k]) / (cast[name][k] + total * weight[name][k])
+                for k in classes
             ]
-            rates[0] = min(rates[0], MAX_FALSE)
-            own = 1 + names.index(name)
-            rates[own] = max(rates[own], MIN_OWN)
-            bad[name] = [min(max(x, 1e-6), 1 - 1e-6) for x in rates]
+            for name in names
+        }
+        prior = [(m + total * SHARE_WEIGHT * x) / (total * (1 + SHARE_WEIGHT)) for m, x in zip(mass, start["prior"], strict=True)]
         shift = max(abs(x - y) for name in names for x, y in zip(bad[name], model["bad"][name], strict=True))
         model = {"prior": prior, "bad": bad}
-        if shift < 1e-4:
+        if shift < 1e-7:
             break
     return model
 
 
-def quality_votes(docs: DataFrame, threshold: float = 0.5, rounds: int = 12) -> DataFrame:
+def quality_votes(docs: DataFrame, threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
     """Features, votes, posterior and verdict per document.
 
     The features (numbers only) go once to the shared scratch folder, so the texts

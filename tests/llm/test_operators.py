@@ -94,6 +94,46 @@ def test_quality_separate_failures_and_short_clean_texts(spark):
     assert all(0 <= r["p_good"] <= 1 for r in got.values())
 
 
+def test_quality_fit_equals_em_over_single_documents(docs):
+    """The fitted model and every posterior against EM written over documents, not patterns; no rate is
+    held at a bound, and good documents stay."""
+    import numpy as np
+
+    names = list(quality_rules.rules())
+    rows = quality_rules.features(docs).withColumns(quality_rules.rules()).select("doc_id", *names).collect()
+    votes = np.array([[np.nan if r[n] is None else r[n] for n in names] for r in rows], dtype=float)
+    given, k = ~np.isnan(votes), len(names)
+    mean = np.full((k, k + 1), quality_rules.OTHER_RATE)
+    mean[:, 0] = quality_rules.GOOD_RATE
+    heavy = np.full((k, k + 1), quality_rules.OTHER_WEIGHT)
+    heavy[:, 0] = quality_rules.GOOD_WEIGHT
+    mean[np.arange(k), np.arange(k) + 1], heavy[np.arange(k), np.arange(k) + 1] = quality_rules.OWN_RATE, quality_rules.OWN_WEIGHT
+    shares = np.array([quality_rules.GOOD_SHARE] + [(1 - quality_rules.GOOD_SHARE) / k] * k)
+    rate, prior = mean.copy(), shares.copy()
+
+    def posterior():
+        like = np.where(given[:, :, None], np.where(votes[:, :, None] == 0, rate[None], 1 - rate[None]), 1.0).prod(axis=1) * prior
+        return like / like.sum(axis=1, keepdims=True)
+
+    for _ in range(quality_rules.ROUNDS):
+        p = posterior()
+        pseudo = heavy * len(rows)
+        rate = ((votes == 0).T.astype(float) @ p + pseudo * mean) / (given.T.astype(float) @ p + pseudo)
+        prior = (p.sum(axis=0) + len(rows) * quality_rules.SHARE_WEIGHT * shares) / (len(rows) * (1 + quality_rules.SHARE_WEIGHT))
+    table = quality_rules.vote_patterns(quality_rules.features(docs).withColumns(quality_rules.rules()).withColumn("pattern", F.lit(0)), names)
+    model = quality_rules.fit_em(table, names)
+    assert np.abs(np.array([model["bad"][n][0] for n in names]) - rate[:, 0]).max() < 1e-4
+    moved = sum(abs(model["bad"][n][0] - quality_rules.GOOD_RATE) > 1e-3 for n in names)
+    assert moved >= 6  # fitted, not assumed
+    want = dict(zip([r["doc_id"] for r in rows], posterior()[:, 0].tolist()))
+    got = rows_of(quality_rules.quality_votes(docs))
+    # rules that always agree have failure classes alike; how those share their documents is left to rounding
+    assert all(abs(r["p_good"] - want[r["doc_id"]]) < 0.05 for r in got)
+    assert all(r["kept"] == (not r["base_failed"] and want[r["doc_id"]] >= 0.5) for r in got)
+    label = {r["doc_id"]: r["quality"] for r in docs.sparkSession.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert all(r["kept"] for r in got if label.get(r["doc_id"]) == 1 and not r["base_failed"])
+
+
 def test_bpe_equals_library(docs, odd, empty):
     from tokenizers import Tokenizer
 
