@@ -364,3 +364,41 @@ def document_runs(docs: DataFrame) -> DataFrame:
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(read_table(spark, sf_dir, "documents"))
+
+
+# every pair of equal words a period apart; stretches of such pairs are runs
+OP12_SQL = r"""
+with t as (
+  select row_number() over () as r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+         list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ord(c) as bigint)) as digits
+  from documents),
+c as (
+  select r, doc_id, words, cast(len(words) as bigint) as n,
+         xor(list_reduce(list_concat([cast(4294967295 as bigint)], digits), lambda c, b:
+           list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) as h
+  from t),
+g as (
+  select *, doc_id is not null and h % 10 = 0 and n > 0 as edited, (h // 10) % greatest(n, 1) as a,
+         1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) as p
+  from c),
+e as (
+  select r, n, u.i, case when edited and u.i >= a then words[1 + a + (u.i - a) % p] else words[1 + u.i] end as word
+  from g, lateral (select unnest(range(0, n)) as i) u),
+m as (
+  select x.r, y.i - x.i as p, x.i, x.i - row_number() over (partition by x.r, y.i - x.i order by x.i) as island
+  from e x join e y on y.r = x.r and y.word = x.word and y.i > x.i and 2 * (y.i - x.i) <= x.n),
+s as (select r, p, min(i) as start, count(*) + p as length from m group by r, p, island),
+runs as (select r, start, length, min(p) as period from s where length >= greatest(12, 2 * p) group by r, start, length),
+best as (
+  select r, count(*) over (partition by r) as n_runs, start, length, period from runs
+  qualify row_number() over (partition by r order by length desc, start, period) = 1),
+listed as (
+  select r, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by r),
+gone as (select distinct r, u.i from runs, lateral (select unnest(range(start + period, start + length)) as i) u),
+k as (select e.r, string_agg(e.word, ' ' order by e.i) as kept from e anti join gone on gone.r = e.r and gone.i = e.i group by e.r)
+select g.doc_id, g.n as n_words, coalesce(best.n_runs, 0) as n_runs, best.start, best.length, best.period,
+       1000 * best.length // best.period as exponent_milli, sha256(coalesce(listed.lines, '')) as runs_sha256,
+       sha256(coalesce(k.kept, '')) as collapsed_sha256
+from g left join best on best.r = g.r left join listed on listed.r = g.r left join k on k.r = g.r
+"""

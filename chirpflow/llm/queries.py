@@ -8,7 +8,7 @@ from chirpflow.llm.fingerprint import op10_fingerprint
 from chirpflow.llm.jaccard_join import op8_ngram_jaccard
 from chirpflow.llm.language_id import op6_language_id
 from chirpflow.llm.mixing import op3_mixing
-from chirpflow.llm.periodic_runs import op12_periodic_runs
+from chirpflow.llm.periodic_runs import OP12_SQL, op12_periodic_runs
 from chirpflow.llm.ppm import op4_lm_score
 from chirpflow.llm.quality_classifier import op13_quality_classifier
 from chirpflow.llm.quality_rules import op1_quality_rules
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_quality_classifier": op13_quality_classifier,
 }
 
-SQL = {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL}
+SQL = {"op5_substring_dedup": OP5_SQL, "op9_chat_format": OP9_SQL, "op12_periodic_runs": OP12_SQL}
