@@ -9,7 +9,9 @@ language and summed per text with numpy.
 Defined results: null texts and texts without a letter are "und" with score 0; ties
 go to the language first by code point; repeated rows are scored alike; no labelled
 rows (or an empty table): everything with a letter is "und"; other columns ignored.
-Texts of any length are scored whole, in chunks of bounded size.
+Texts of any length are scored whole; features are looked up CHUNK characters at a time
+(a text itself, as code points, is held once). More than MAX_LANGUAGES languages raise
+an error.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ FIT_ROWS = 20_000
 #: More languages than this would make the broadcast matrix (256 KB each) too large.
 MAX_LANGUAGES = 400
 BATCH_BYTES = 1 << 20
+CHUNK = 1 << 20
 
 _LETTER: list[np.ndarray] = []
 
@@ -64,6 +67,14 @@ def hashed_ngrams(points: np.ndarray) -> Iterator[np.ndarray]:
         yield (h >> np.uint32(16)).astype(np.intp)
 
 
+def chunked_features(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first, features) of the n-grams of each length that end in each CHUNK of places."""
+    for at in range(0, len(points), CHUNK):
+        before = min(at, MAX_N - 1)
+        for feature in hashed_ngrams(points[at - before : at + CHUNK]):
+            yield at, feature[before:]
+
+
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, smooth: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probabilities [languages, features], log priors) from columns text, lang.
 
@@ -86,7 +97,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, smooth: float = 0.5) -> tuple
                 points, _ = code_points(mine)
                 into = found.setdefault(lang, np.zeros(FEATURES, dtype=np.int64))
                 docs[lang] = docs.get(lang, 0) + len(mine)
-                for feature in hashed_ngrams(points):
+                for _, feature in chunked_features(points):
                     into += np.bincount(feature, minlength=FEATURES)
         for lang, into in found.items():
             at = np.flatnonzero(into)
@@ -120,11 +131,14 @@ def score(texts: list[str | None], langs: list[str], log_p: np.ndarray, log_prio
     points, starts = code_points(texts)
     has_letter = np.add.reduceat((points != 32).astype(np.int64), starts) > 0
     total = np.zeros((len(texts), len(langs)))
-    for feature in hashed_ngrams(points):
-        for k in range(len(langs)):
-            total[:, k] += np.add.reduceat(log_p[k][feature], starts, dtype=np.float64)
     if not langs:
         return ["und"] * len(texts), np.zeros(len(texts))
+    for at, feature in chunked_features(points):
+        first = int(np.searchsorted(starts, at, side="right")) - 1
+        last = int(np.searchsorted(starts, at + len(feature)))  # texts first..last-1 lie in this chunk
+        begin = np.maximum(starts[first:last] - at, 0)
+        for k in range(len(langs)):
+            total[first:last, k] += np.add.reduceat(log_p[k][feature], begin, dtype=np.float64)
     total += log_prior
     best = total.argmax(axis=1)
     share = np.exp(total - total.max(axis=1, keepdims=True))

@@ -254,6 +254,45 @@ def test_language_id(docs, odd, empty, spark):
     assert {r["lang_pred"] for r in rows_of(language_id.predict(odd, language_id.fit(empty)))} == {"und"}
 
 
+def test_language_scores_equal_plain_naive_bayes(docs, monkeypatch):
+    """Posterior of every text from counts of hashed n-grams, one character at a time; chunks change nothing."""
+    import math
+
+    def features(text):
+        t = "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " " * language_id.MAX_N
+        out = []
+        for e in range(len(t)):
+            h = 0
+            for n in range(language_id.MAX_N):
+                c = ord(t[e - n]) if e >= n else 32
+                h = ((h ^ (c + n + 1)) * 0x9E3779B1) & 0xFFFFFFFF
+                h ^= h >> 15
+                out.append(h >> 16)
+        return out
+
+    rows = docs.where("doc_id < 24").select("doc_id", "text", "lang").collect()
+    spark = docs.sparkSession
+    table = spark.createDataFrame([(r["doc_id"], r["text"][:400], r["lang"]) for r in rows], "doc_id long, text string, lang string")
+    counts, number = {}, Counter(r["lang"] for r in rows)
+    for r in rows:
+        counts.setdefault(r["lang"], Counter()).update(features(r["text"][:400]))
+    model = language_id.fit(table)
+    texts = [r["text"][:90] for r in rows] + ["", None, "été", "x" * 50]
+    want = []
+    for t in texts:
+        score = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + 0.5 * language_id.FEATURES
+            score[lang] = math.log(number[lang] / len(rows)) + sum(math.log((c[f] + 0.5) / total) for f in features(t))
+        best = min(sorted(score), key=lambda k: -score[k])
+        letters = any(c.isalpha() for c in t or "")
+        want.append((best if letters else "und", 1 / sum(math.exp(v - score[best]) for v in score.values()) if letters else 0.0))
+    for chunk in (1 << 20, 7, 1):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        langs, p = language_id.score(texts, *model)
+        assert langs == [w[0] for w in want] and all(abs(a - w[1]) < 1e-3 for a, w in zip(p.tolist(), want))
+
+
 def test_levenshtein_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
