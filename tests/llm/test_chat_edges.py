@@ -9,5 +9,5 @@ def test_empty_table_and_long_turns(spark):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert chat_format.format_chats(table.where("false")).collect() == []
     got = {r["conv_id"]: r for r in chat_format.format_chats(table).collect()}
-    assert set(got) == {1, 3} and got[1]["n_logs"] == 2
+    assert set(got) == {1, 3} and got[1]["n_turns"] == 2
     assert long in got[1]["rendered"] and long + "!" in got[3]["rendered"]
