@@ -12,7 +12,8 @@ per batch of texts): one that occurs in a single document cannot hold a repeated
 window. Then equal super-k-mers are reduced to one row with their smallest doc_id
 before the buckets sort. A minimiser in more than ``HOT`` documents is dealt out window
 by window (bucket = hash of the window), so no bucket holds a frequent passage's
-surroundings from all documents.
+surroundings from all documents; of such a window a batch sends its smallest document
+once, however often it occurs there, and keeps the places to itself.
 
 Defined results: null and blank texts have no words; words are kept as they are; rows
 with the same doc_id count as one document (a window is repeated only if a *smaller*
@@ -42,6 +43,7 @@ HOT = 200
 #: Windows per super-k-mer at most (repetitive texts give long runs).
 LONGEST = 48
 LAST = 2**63 - 1  # order of a missing doc_id
+OWN = -1  # marks a frequent window: its places stay with the batch
 
 _ODD = np.random.RandomState(7).randint(1, 2**62, size=PIECE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -102,18 +104,21 @@ def _uncut(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _spread(rows: pd.DataFrame) -> pd.DataFrame:
-    """In one bucket of minimisers: tell each batch 0 (one document), 1 (several), 2 (hot)."""
-    keys = [_uncut(a) for a in rows["a"]]
-    docs = np.concatenate([np.frombuffer(L.unpack(b), dtype=np.uint8) for b in rows["b"]])
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    # rows of one doc_id in two batches count twice: more travels then, nothing is lost
-    total = np.bincount(at, weights=docs)[at]
-    flag = ((total > 1).astype(np.uint8) + (total > HOT)).astype(np.uint8)
-    parts = np.split(flag, np.cumsum([len(k) for k in keys])[:-1])
-    return pd.DataFrame(
-        {"batch": rows["batch"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "a": [L.pack(p.tobytes()) for p in parts]}
-    )
+def _spread(hot: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """In one bucket of minimisers: tell each batch 0 (one document), 1 (several), 2 (hot)."""
+        keys = [_uncut(a) for a in rows["a"]]
+        docs = np.concatenate([np.frombuffer(L.unpack(b), dtype=np.uint8) for b in rows["b"]])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        # rows of one doc_id in two batches count twice: more travels then, nothing is lost
+        total = np.bincount(at, weights=docs)[at]
+        flag = ((total > 1).astype(np.uint8) + (total > hot)).astype(np.uint8)
+        parts = np.split(flag, np.cumsum([len(k) for k in keys])[:-1])
+        return pd.DataFrame(
+            {"batch": rows["batch"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "a": [L.pack(p.tobytes()) for p in parts]}
+        )
+
+    return run
 
 
 def _by_batch(texts: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
@@ -136,6 +141,7 @@ def _super_kmers(n_buckets: int):
         flag = np.zeros(len(values), np.uint8)
         flag[L.in_bucket_order((values % np.uint64(n_buckets)).astype(np.int64))] = flags
         places: dict[tuple[int, bytes], list[int]] = {}  # (key, packed string) -> doc, at, start, doc, ...
+        frequent: dict[tuple[int, bytes], list[int]] = {}  # the same for windows under a hot minimiser
         for i, (words, mins) in enumerate(zip(docs, least, strict=True)):
             begin, size = runs(mins)
             if not len(begin):
@@ -152,38 +158,51 @@ def _super_kmers(n_buckets: int):
                 else:
                     for x in range(s, s + n):
                         w = b" ".join(words[x : x + WINDOW])
-                        places.setdefault((xxhash.xxh3_64_intdigest(w) - 2**63, w), []).extend((owner, i, x))
+                        frequent.setdefault((xxhash.xxh3_64_intdigest(w) - 2**63, w), []).extend((owner, i, x))
+        for number, (found, refs) in enumerate(frequent.items()):
+            places[found] = [min(refs[::3]), OWN, number]
         dealt: dict[int, tuple[list[bytes], list[int], list[int]]] = {}
         for (key, packed), refs in places.items():
             strings, counts, flat = dealt.setdefault(key % (4 * n_buckets), ([], [], []))
             strings.append(packed)
             counts.append(len(refs) // 3)
             flat += refs
-        return pd.DataFrame(
-            {
-                "batch": int(text["batch"]),
-                "bucket": np.array([*dealt], np.int32),
-                "a": [L.pack(b"\n".join(x[0])) for x in dealt.values()],
-                "b": [L.pack(np.array([len(x[1]), *x[1], *x[2]], np.int64).tobytes()) for x in dealt.values()],
-            }
-        )
+        a = [L.pack(b"\n".join(x[0])) for x in dealt.values()]
+        b = [L.pack(np.array([len(x[1]), *x[1], *x[2]], np.int64).tobytes()) for x in dealt.values()]
+        bucket = [*dealt]
+        if frequent:  # the places pass the buckets in a group of the batch's own
+            bucket.append(-1 - xxhash.xxh3_64_intdigest(int(text["batch"]).to_bytes(8, "little")) % (1 << 30))
+            a.append(b"")
+            b.append(_listed([np.array(x, np.int64) for x in frequent.values()]))
+        return pd.DataFrame({"batch": int(text["batch"]), "bucket": np.array(bucket, np.int32), "a": a, "b": b})
 
     return run
 
 
+def _listed(refs: list[np.ndarray]) -> bytes:
+    """Lists of (document, at, start), packed."""
+    return L.pack(np.concatenate([[len(refs)], [len(x) // 3 for x in refs], *refs]).astype(np.int64).tobytes())
+
+
+def _unlisted(data: bytes) -> list[np.ndarray]:
+    numbers = np.frombuffer(L.unpack(data), dtype=np.int64)
+    n = int(numbers[0])
+    return np.split(numbers[n + 1 :].reshape(-1, 3), np.cumsum(numbers[1 : n + 1])[:-1])
+
+
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     """In one bucket: sort all windows of its super-k-mers with their document; the first
     copy of a window has the smallest. Returns per batch the places (at, start, mask of
-    repeated windows) that stand in a larger document."""
+    repeated windows) that stand in a larger document (at OWN: start is the number of a frequent window,
+    all of whose places in the batch are repeated). Rows of places pass through (bucket 1)."""
+    if int(rows["bucket"].iloc[0]) < 0:
+        return pd.DataFrame({"batch": rows["batch"].to_numpy(), "bucket": 1, "a": rows["b"].to_numpy()})
     refs: list[np.ndarray] = []
     batches: list[int] = []
     windows: list[tuple[bytes, int, int, int]] = []
     mins: list[np.ndarray] = []
     for batch, strings, places in zip(rows["batch"], rows["a"], rows["b"], strict=True):
-        numbers = np.frombuffer(L.unpack(places), dtype=np.int64)
-        n = int(numbers[0])
-        own = np.split(numbers[n + 1 :].reshape(-1, 3), np.cumsum(numbers[1 : n + 1])[:-1])
-        for packed, place in zip(L.unpack(strings).split(b"\n"), own, strict=True):
+        for packed, place in zip(L.unpack(strings).split(b"\n"), _unlisted(places), strict=True):
             words = packed.split(b" ")
             r, low, size = len(refs), int(place[:, 0].min()), len(words) - WINDOW + 1
             refs.append(place)
@@ -205,7 +224,7 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
         if hit.any():
             out.setdefault(batch, []).append(np.column_stack([places[hit, 1:], bits[hit]]))
     return pd.DataFrame(
-        {"batch": np.array([*out], np.int64), "a": [L.pack(np.concatenate(x).tobytes()) for x in out.values()]}
+        {"batch": np.array([*out], np.int64), "bucket": 0, "a": [L.pack(np.concatenate(x).tobytes()) for x in out.values()]}
     )
 
 
@@ -241,9 +260,15 @@ def _remove(with_text: bool):
         ids = np.frombuffer(text["ids"], dtype=np.int64)
         found = rows[rows["bucket"] >= 0]
         hits: dict[int, list] = {}
-        for a in found["a"]:
+        for a in found.loc[found["bucket"] == 0, "a"]:
             for at, start, mask in np.frombuffer(L.unpack(a), dtype=np.int64).reshape(-1, 3).tolist():
                 hits.setdefault(at, []).append((start, mask))
+        whole = {number for number, _ in hits.pop(OWN, [])}
+        for a in found.loc[found["bucket"] == 1, "a"]:
+            for number, refs in enumerate(_unlisted(a)):
+                later = refs if number in whole else refs[refs[:, 0] > refs[:, 0].min()]
+                for at, start in later[:, 1:].tolist():
+                    hits.setdefault(at, []).append((start, 1))
         n_words, n_removed, sha, kept, md5 = [], [], [], [], []
         for i, t in enumerate(L.unpack_texts(text["a"])):
             words = t.split()
@@ -275,7 +300,7 @@ def _remove(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, the text without repeated passages, and text_md5 (digest of
     the text as it was)."""
     spark = docs.sparkSession
@@ -288,12 +313,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     path = L.write_ledger(docs, keys, "dedup")
     texts = L.read_kind(spark, path, "text")
-    flags = L.read_kind(spark, path, "key").groupBy("bucket").applyInPandas(_spread, "batch long, bucket int, a binary")
+    flags = L.read_kind(spark, path, "key").groupBy("bucket").applyInPandas(_spread(hot), "batch long, bucket int, a binary")
     rows = _by_batch(texts, flags, _super_kmers(n_buckets), "batch long, bucket int, a binary, b binary")
-    hits = rows.groupBy("bucket").applyInPandas(_repeated, "batch long, a binary")
-    found = hits.select("batch", F.lit(0).alias("bucket"), "a")
+    hits = rows.groupBy("bucket").applyInPandas(_repeated, "batch long, bucket int, a binary")
     return _by_batch(
-        texts, found, _remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_md5 binary"
+        texts, hits, _remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_md5 binary"
     )
 
 

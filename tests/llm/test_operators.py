@@ -236,12 +236,22 @@ def test_substring_dedup(docs, odd, empty):
             gone = {x for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for x in range(j, j + 13)}
             kept = " ".join(x for k, x in enumerate(w) if k not in gone)
             want[(None if i == 2**63 - 1 else i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
-        got = rows_of(sd.remove_repeats(table))
-        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+        for hot in (sd.HOT, 1, 3):  # every shared window, or those in several documents, as frequent ones
+            got = rows_of(sd.remove_repeats(table, hot=hot))
+            assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == want
         assert all(hashlib.sha256(" ".join(words(r["kept"])).encode()).hexdigest() == r["kept_sha256"] for r in got)
     assert sd.remove_repeats(empty).count() == 0
 
 
+def test_substring_frequent_window_in_many_batches(spark):
+    """One passage in every document, several times in some, spread over many partitions."""
+    rows = [(i, f"a{i} b{i} " + PASSAGE + f" c{i} " + (PASSAGE if i % 3 == 0 else "") + f" d{i}") for i in range(1, 60)] + [(None, PASSAGE)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    plain = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in rows_of(sd.remove_repeats(table))}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in rows_of(sd.remove_repeats(table, hot=4))} == plain
+    assert plain[1] == (44, 0) and plain[2] == (44, 40) and plain[3] == (84, 80) and plain[None] == (40, 40)
+
+
 def test_language_id(docs, odd, empty, spark):
     pred = {r["doc_id"]: r for r in rows_of(language_id.op6_language_id(spark, SF))}
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
