@@ -345,3 +345,30 @@ def test_index_in_many_blocks_and_query_blocks(spark, tmp_dir, monkeypatch):
         ann.ivf_search(spark, path, spark.createDataFrame([(1, [1.0])], "query_id int, query_vector array<double>")).collect()
     empty = ann.build_ivf_index(c.where("false"), f"{tmp_dir}/empty", n_cells=3)
     assert ann.ivf_search(spark, empty, q).collect() == []
+
+
+def test_sentence_encoder_slot_with_a_stand_in_package(spark, tmp_dir):
+    """The real encoder's factory against a package of its name: the model is built on the workers with the
+    given name, fed whole chunks, and its vectors arrive unchanged."""
+    import zipfile
+
+    from chirpflow.operators.embed import embed, encoder_of, sentence_transformer_encoder
+
+    source = (
+        "import numpy as np\n"
+        "class SentenceTransformer:\n"
+        "    def __init__(self, name, device=None):\n"
+        "        self.name = name\n"
+        "    def encode(self, texts, batch_size, show_progress_bar):\n"
+        "        assert 1 <= batch_size <= 32 and not show_progress_bar and len(texts) <= 256\n"
+        "        return np.array([[len(t), t.count('a'), len(self.name)] for t in texts], dtype=np.float32)\n"
+    )
+    with zipfile.ZipFile(f"{tmp_dir}/stand_in.zip", "w") as z:
+        z.writestr("sentence_transformers/__init__.py", source)
+    spark.sparkContext.addPyFile(f"{tmp_dir}/stand_in.zip")
+    df = spark.createDataFrame([(i, "a" * (i % 5) + "b" * i if i % 7 else None) for i in range(600)], "id int, full_text string")
+    out = embed(df, sentence_transformer_encoder("m-1"))
+    assert encoder_of(out, "full_text_vector") == "m-1"
+    for r in out.collect():
+        t = "" if r.id % 7 == 0 else "a" * (r.id % 5) + "b" * r.id
+        assert r.full_text_vector == [len(t), t.count("a"), 3]
