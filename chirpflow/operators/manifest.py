@@ -32,14 +32,17 @@ def _folder(path: str) -> str:
     return os.path.join(path, "_manifest")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, in whatever store Spark reads it from."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def table(spark: SparkSession, path: str) -> DataFrame:
     """All entries of the manifest (none while the table has no commit)."""
-    try:
-        return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(_folder(path))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not _exists(spark, _folder(path)):
         return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(_folder(path))
 
 
 def versions(spark: SparkSession, path: str) -> list:
