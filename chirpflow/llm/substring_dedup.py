@@ -326,10 +326,12 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
     What is cut from a row depends on its doc_id and text alone, so the cut texts come back by both,
     to rows without doc_id and to rows that share one as well; a null text stays null."""
-    cut = remove_repeats(docs).where("n_removed > 0").dropDuplicates(["doc_id", "text_md5"])
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept").alias("_kept"))
-    marked = docs.withColumn("_text_md5", F.unhex(F.md5(F.col("text").cast("binary"))))
-    out = marked.join(cut, marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_md5") == F.col("_md5")), "left")
+    # a missing doc_id is ordered, and cut, like LAST; so keyed, the cut texts are shuffled once for both steps
+    key = F.coalesce(F.col("doc_id"), F.lit(LAST))
+    cut = remove_repeats(docs).where("n_removed > 0")
+    cut = cut.select(key.alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_md5"])
+    marked = docs.withColumns({"_key": key, "_text_md5": F.unhex(F.md5(F.col("text").cast("binary")))})
+    out = marked.join(cut, (F.col("_key") == F.col("_id")) & (F.col("_text_md5") == F.col("_md5")), "left")
     changed = {"text": F.coalesce("_kept", "text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept"))
