@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from chirpflow.llm.common import bytes_list, documents_only, rebatched
+from chirpflow.llm.common import bytes_list, documents_only, give_back, rebatched
 from chirpflow.session import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -191,6 +191,11 @@ class WordBpe:
         self.pieces: dict[str, tuple[int, bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
 
+    def forget(self) -> None:
+        """Empty the caches of words."""
+        self.pieces.clear()
+        self.chunks.clear()
+
     @staticmethod
     def normalise(text: str) -> str:
         """NFC, then each character's own lower case (no word-final forms)."""
@@ -324,6 +329,9 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        # the compiled model stays with the worker, the words of this task do not
+        model.forget()
+        give_back()
 
     docs = documents_only(docs, "doc_id", "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,6 +7,8 @@ exactly those six bytes, so Python kernels and SQL expressions agree.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,3 +55,10 @@ def rebatched(batches: Iterator[pa.RecordBatch], max_bytes: int, text_at: int) -
 def documents_only(docs: DataFrame, *names: str) -> DataFrame:
     """Project to the columns an operator reads, so that extra columns never clash."""
     return docs.select(*[F.col(n) for n in names])
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on and serves the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

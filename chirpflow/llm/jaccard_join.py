@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirpflow.llm.common import SPACE_CHARS, bytes_list, rebatched
+from chirpflow.llm.common import SPACE_CHARS, bytes_list, give_back, rebatched
 from chirpflow.llm.ledger import mixed
 from chirpflow.session import read_table, scratch_path, written
 
@@ -132,6 +132,7 @@ def signatures(docs: DataFrame, trees: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(x, pa.binary()) for x in (digest, texts, sigs)]], ["doc_id", "digest", "text_md5", "sig"]
             )
+        give_back()
 
     schema = f"doc_id {id_type}, digest binary, text_md5 binary, sig binary"
     return written(docs.select("doc_id", "text").mapInArrow(run, schema), "forest")
@@ -376,6 +377,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in rebatched(batches, BATCH_BYTES, 0):
             found = [shingles(t or b"").tobytes() for t in bytes_list(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["digest", "weight", "shingles"])
+        give_back()
 
     w = wanted.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "digest", "weight")
     md5 = F.unhex(F.md5(F.col("text").cast("binary")))

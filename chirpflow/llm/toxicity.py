@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirpflow.llm.common import bytes_list, crc_mod, rebatched
+from chirpflow.llm.common import bytes_list, crc_mod, give_back, rebatched
 from chirpflow.session import read_table, scratch_path
 
 #: About so many labelled rows (chosen by hash of doc_id) teach the lexicon and the classes.
@@ -428,6 +428,8 @@ def clean_documents(docs: DataFrame, model: tuple, threshold: float = THRESHOLD)
         for batch in rebatched(batches, BATCH_BYTES, at):
             scores = [score_text(matcher.matches(t or b""), shares) for t in bytes_list(batch.column(at))]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+        del matcher
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
