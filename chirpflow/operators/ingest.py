@@ -180,7 +180,8 @@ def _write_part(df: DataFrame, path: str, part: str) -> int:
 
 def _write_rejects(rejected: DataFrame, path: str, part: str) -> int:
     seen = Observation()
-    out = rejected.withColumn("part", F.lit(part)).observe(seen, F.count(F.lit(1)).alias("n"))
+    # few files, however many tasks hold the rejects
+    out = rejected.hint("rebalance").withColumn("part", F.lit(part)).observe(seen, F.count(F.lit(1)).alias("n"))
     out.write.mode("append").partitionBy("part").parquet(path)
     return seen.get["n"]
 

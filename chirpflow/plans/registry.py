@@ -431,7 +431,7 @@ def _streamed(spark, sf_dir, deliveries: int):
     root = ann.index_path(spark, "stream")
     ingest.create_posts_table(spark, f"{root}/posts")
     for _ in range(deliveries):
-        fx.ingest_lines(spark, sf_dir).select("value").write.mode("append").text(f"{root}/in")
+        fx.write_ingest_lines(spark, sf_dir, f"{root}/in")
         q = ingest_stream(spark, f"{root}/in", f"{root}/posts", f"{root}/quarantine", f"{root}/checkpoint",
                           dim=INGEST_DIM, max_files_per_trigger=8)
         q.awaitTermination()

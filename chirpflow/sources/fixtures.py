@@ -202,6 +202,21 @@ def ingest_lines(spark: SparkSession, sf_dir: str, dim: int = 3) -> DataFrame:
     return e.select(k.alias("line_id"), doc.alias("value"))
 
 
+# --- Fixed values: files of a delivery to the ingest stream ---
+LINES_PER_FILE = 500_000
+LEAST_FILES = 16             # a small delivery still comes in several micro-batches
+# --- end of fixed values ---
+
+
+def write_ingest_lines(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Add the values of ``ingest_lines`` to a folder as text files whose number follows the lines, not the
+    session's shuffle partitions: a micro-batch takes a few files and costs a commit of every state partition."""
+    rows = read_table(spark, sf_dir, "events").count()
+    n = max(LEAST_FILES, -(-rows // LINES_PER_FILE))
+    values = ingest_lines(spark, sf_dir).select("value").coalesce(n)
+    values.write.mode("append").option("maxRecordsPerFile", LINES_PER_FILE).text(path)
+
+
 def text_queries(spark: SparkSession) -> DataFrame:
     """Search requests: a common phrase, a single word, and a text nothing matches.
 

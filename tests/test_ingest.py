@@ -269,3 +269,32 @@ def test_killed_embed_job_resumes(spark, tmp_dir, monkeypatch):
     rows_of = lambda p: sorted(map(str, jobs.read_embedded(spark, p).collect()))
     assert rows_of(f"{tmp_dir}/out") == rows_of(f"{tmp_dir}/whole")
     assert jobs.resumable_embed_job(spark, f"{tmp_dir}/csv", f"{tmp_dir}/out", enc, waves=5)["waves_run"] == 0
+
+
+def test_a_delivery_comes_in_few_files_whatever_the_shuffle_partitions(spark, tmp_dir, monkeypatch):
+    from chirpflow.plans import registry
+    from chirpflow.sources import fixtures as fx
+
+    events = spark.range(400).selectExpr(
+        "id as event_id", "timestamp'2024-01-01' as ts", "id % 7 as user_id", "'view' as event_type", "1.5D as value"
+    )
+    events.write.parquet(f"{tmp_dir}/events.parquet")
+    monkeypatch.setattr(spark.conf, "get", lambda key, *a, get=spark.conf.get: "64" if key == "spark.sql.shuffle.partitions" else get(key, *a))
+    fx.write_ingest_lines(spark, tmp_dir, f"{tmp_dir}/in")
+    files = [n for n in os.listdir(f"{tmp_dir}/in") if n.startswith("part-")]
+    assert len(files) <= fx.LEAST_FILES
+    want = sorted(r["value"] for r in fx.ingest_lines(spark, tmp_dir).collect())
+    assert sorted(r["value"] for r in spark.read.text(f"{tmp_dir}/in").collect()) == want and len(want) == 400
+    monkeypatch.setattr(fx, "LINES_PER_FILE", 10)
+    fx.write_ingest_lines(spark, tmp_dir, f"{tmp_dir}/more")
+    assert len([n for n in os.listdir(f"{tmp_dir}/more") if n.startswith("part-")]) >= 40  # larger deliveries: more files
+    root = registry._streamed(spark, tmp_dir, 1).removeprefix("file:")
+    assert len([n for n in os.listdir(f"{root}/in") if n.startswith("part-")]) >= 40
+    assert ingest.read_posts_table(spark, f"{root}/posts").count() + ingest.read_quarantine(spark, f"{root}/posts", f"{root}/quarantine").count() == 400
+
+
+def test_rejects_are_stored_in_few_files(spark, tmp_dir):
+    lines = ingest.parse_json_lines(lines_df(spark, [line(i) for i in range(40)] + [line(40 + i, rt="many") for i in range(40)]).repartition(40))
+    ingest.ingest(lines, f"{tmp_dir}/posts", f"{tmp_dir}/quarantine", dim=3)
+    rejects = ingest.read_quarantine(spark, f"{tmp_dir}/posts", f"{tmp_dir}/quarantine")
+    assert rejects.count() == 40 and rejects.select("_metadata.file_path").distinct().count() <= 2
