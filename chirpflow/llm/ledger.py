@@ -53,8 +53,20 @@ def buckets(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def write_ledger(docs: DataFrame, keys: Callable, name: str) -> str:
-    """Write texts and keys. ``keys(ids, texts)`` yields (kind, bucket, a, b) per batch."""
+def pack_columns(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return pack(sink.getvalue().to_pybytes(), 4)
+
+
+def unpack_columns(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(unpack(data)).read_all()
+
+
+def write_ledger(docs: DataFrame, keys: Callable, name: str, carried: list[str] | None = None) -> str:
+    """Write texts and keys. ``keys(ids, texts)`` yields (kind, bucket, a, b) per batch. The ``carried`` columns
+    stay with the batch's texts (packed, in ``b``)."""
     path = scratch_path(docs.sparkSession, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +74,8 @@ def write_ledger(docs: DataFrame, keys: Callable, name: str) -> str:
         for batch in rebatched(batches, BATCH_BYTES, 1):
             ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], dtype=np.int64)
             texts = [t or b"" for t in bytes_list(batch.column(1))]
-            rows = [("text", 0, ids.tobytes(), pack_texts(texts), b"")]
+            own = b"" if carried is None else pack_columns(batch.select(range(2, batch.num_columns)))
+            rows = [("text", 0, ids.tobytes(), pack_texts(texts), own)]
             rows += [(kind, bucket, b"", a, b) for kind, bucket, a, b in keys(ids, texts)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -75,7 +88,7 @@ def write_ledger(docs: DataFrame, keys: Callable, name: str) -> str:
             )
             number += 1
 
-    docs.select("doc_id", "text").mapInArrow(run, SCHEMA).write.partitionBy("kind").parquet(path)
+    docs.select("doc_id", "text", *(carried or ())).mapInArrow(run, SCHEMA).write.partitionBy("kind").parquet(path)
     return path
 
 

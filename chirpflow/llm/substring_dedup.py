@@ -29,9 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from chirpflow.llm import ledger as L
 from chirpflow.session import read_table
@@ -121,12 +123,12 @@ def _spread(hot: int):
     return run
 
 
-def _by_batch(texts: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
-    """Bring each batch's text row and its answers together."""
-    both = texts.select("batch", F.lit(-1).alias("bucket"), "ids", "a").unionByName(
-        answers.select("batch", "bucket", F.lit(None).cast("binary").alias("ids"), "a")
+def _with_texts(texts: DataFrame, answers: DataFrame, *names: str) -> GroupedData:
+    """Each batch's text row (bucket -1, with the columns ``names`` of the ledger) and its answers, by batch."""
+    both = texts.select("batch", F.lit(-1).alias("bucket"), *names).unionByName(
+        answers.select("batch", "bucket", "a"), allowMissingColumns=True
     )
-    return both.groupBy("batch").applyInPandas(fn, schema)
+    return both.groupBy("batch")
 
 
 def _super_kmers(n_buckets: int):
@@ -254,55 +256,73 @@ def _without(text: bytes, removed: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def _decided(rows: pd.DataFrame) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
+    """(text, words, which of them are removed) of a batch's texts, in order."""
+    text = rows[rows["bucket"] < 0].iloc[0]
+    found = rows[rows["bucket"] >= 0]
+    hits: dict[int, list] = {}
+    for a in found.loc[found["bucket"] == 0, "a"]:
+        for at, start, mask in np.frombuffer(L.unpack(a), dtype=np.int64).reshape(-1, 3).tolist():
+            hits.setdefault(at, []).append((start, mask))
+    whole = {number for number, _ in hits.pop(OWN, [])}
+    for a in found.loc[found["bucket"] == 1, "a"]:
+        for number, refs in enumerate(_unlisted(a)):
+            later = refs if number in whole else refs[refs[:, 0] > refs[:, 0].min()]
+            for at, start in later[:, 1:].tolist():
+                hits.setdefault(at, []).append((start, 1))
+    for i, t in enumerate(L.unpack_texts(text["a"])):
+        words = t.split()
+        removed = np.zeros(len(words), bool)
+        if i in hits:
+            mark = np.zeros(len(words) + 1, np.int64)
+            for start, mask in hits[i]:
+                at = start
+                while mask:
+                    if mask & 1:
+                        mark[at] += 1
+                        mark[at + WINDOW] -= 1
+                    mask >>= 1
+                    at += 1
+            removed = np.cumsum(mark)[:-1] > 0
+        yield t, words, removed
+
+
 def _remove(with_text: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        text = rows[rows["bucket"] < 0].iloc[0]
-        ids = np.frombuffer(text["ids"], dtype=np.int64)
-        found = rows[rows["bucket"] >= 0]
-        hits: dict[int, list] = {}
-        for a in found.loc[found["bucket"] == 0, "a"]:
-            for at, start, mask in np.frombuffer(L.unpack(a), dtype=np.int64).reshape(-1, 3).tolist():
-                hits.setdefault(at, []).append((start, mask))
-        whole = {number for number, _ in hits.pop(OWN, [])}
-        for a in found.loc[found["bucket"] == 1, "a"]:
-            for number, refs in enumerate(_unlisted(a)):
-                later = refs if number in whole else refs[refs[:, 0] > refs[:, 0].min()]
-                for at, start in later[:, 1:].tolist():
-                    hits.setdefault(at, []).append((start, 1))
-        n_words, n_removed, sha, kept, md5 = [], [], [], [], []
-        for i, t in enumerate(L.unpack_texts(text["a"])):
-            words = t.split()
-            removed = np.zeros(len(words), bool)
-            if i in hits:
-                mark = np.zeros(len(words) + 1, np.int64)
-                for start, mask in hits[i]:
-                    at = start
-                    while mask:
-                        if mask & 1:
-                            mark[at] += 1
-                            mark[at + WINDOW] -= 1
-                        mask >>= 1
-                        at += 1
-                removed = np.cumsum(mark)[:-1] > 0
-                words = [w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]
+        ids = np.frombuffer(rows[rows["bucket"] < 0].iloc[0]["ids"], dtype=np.int64)
+        n_words, n_removed, sha, kept = [], [], [], []
+        for t, words, removed in _decided(rows):
             n_words.append(len(removed))
             n_removed.append(int(removed.sum()))
-            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            left = [w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]
+            sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
             kept.append(_without(t, removed).decode("utf-8", "replace") if with_text else "")
-            md5.append(hashlib.md5(t).digest() if with_text else b"")
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if x == L.NO_ID else int(x) for x in ids], dtype="Int64"),
-                "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha, "kept": kept, "text_md5": md5,
+                "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha, "kept": kept,
             }
         )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, the text without repeated passages, and text_md5 (digest of
-    the text as it was)."""
+def _cut_rows(table: pa.Table) -> pa.Table:
+    """In one batch: its carried columns, the texts without what is removed, and whether that is anything."""
+    rows = table.to_pandas()
+    carried = L.unpack_columns(rows[rows["bucket"] < 0].iloc[0]["b"])
+    texts, changed = [], []
+    for (t, _, removed), missing in zip(_decided(rows), carried.column("_no_text").to_pylist(), strict=True):
+        changed.append(bool(removed.any()))
+        if changed[-1]:
+            t = _without(t, removed).decode("utf-8", "replace").encode()
+        texts.append(None if missing else t)
+    text = pa.array(texts, pa.binary()).view(pa.string())
+    return carried.drop_columns("_no_text").append_column("_text", text).append_column("_changed", pa.array(changed, pa.bool_()))
+
+
+def _found(docs: DataFrame, hot: int, carried: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The batches' text rows and what is removed from them."""
     spark = docs.sparkSession
     n_buckets = L.buckets(spark)
 
@@ -311,35 +331,44 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT) -> D
         for k, v, c in L.split_by((values % np.uint64(n_buckets)).astype(np.int64), n_buckets, values, counts):
             yield "key", k, _cut(v), L.pack(np.minimum(c, 255).astype(np.uint8).tobytes())
 
-    path = L.write_ledger(docs, keys, "dedup")
+    path = L.write_ledger(docs, keys, "dedup", carried)
     texts = L.read_kind(spark, path, "text")
     flags = L.read_kind(spark, path, "key").groupBy("bucket").applyInPandas(_spread(hot), "batch long, bucket int, a binary")
-    rows = _by_batch(texts, flags, _super_kmers(n_buckets), "batch long, bucket int, a binary, b binary")
-    hits = rows.groupBy("bucket").applyInPandas(_repeated, "batch long, bucket int, a binary")
-    return _by_batch(
-        texts, hits, _remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_md5 binary"
+    rows = _with_texts(texts, flags, "ids", "a").applyInPandas(_super_kmers(n_buckets), "batch long, bucket int, a binary, b binary")
+    return texts, rows.groupBy("bucket").applyInPandas(_repeated, "batch long, bucket int, a binary")
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, and the text without repeated passages."""
+    texts, hits = _found(docs, hot)
+    return _with_texts(texts, hits, "ids", "a").applyInPandas(
+        _remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of ``text`` (``n_chars`` follows, where there is such a column).
 
-    What is cut from a row depends on its doc_id and text alone, so the cut texts come back by both,
-    to rows without doc_id and to rows that share one as well; a null text stays null."""
-    # a missing doc_id is ordered, and cut, like LAST; so keyed, the cut texts are shuffled once for both steps
-    key = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    cut = remove_repeats(docs).where("n_removed > 0")
-    cut = cut.select(key.alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_md5"])
-    marked = docs.withColumns({"_key": key, "_text_md5": F.unhex(F.md5(F.col("text").cast("binary")))})
-    out = marked.join(cut, (F.col("_key") == F.col("_id")) & (F.col("_text_md5") == F.col("_md5")), "left")
-    changed = {"text": F.coalesce("_kept", "text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept"))
-    return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    The other columns travel with the texts of their batch, so a row keeps what is its own whatever its
+    doc_id, and no join brings the cut texts back; a null text stays null."""
+    names = [f"_c{i}" for i, c in enumerate(docs.columns) if c != "text"]
+    own = docs.toDF(*["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)])
+    own = own.withColumns({"doc_id": F.col(f"_c{docs.columns.index('doc_id')}"), "_no_text": F.col("text").isNull()})
+    texts, hits = _found(own, HOT, [*names, "_no_text"])
+    schema = StructType([*own.select(*names).schema.fields, StructField("_text", StringType()), StructField("_changed", BooleanType())])
+    out = _with_texts(texts, hits, "ids", "a", "b").applyInArrow(_cut_rows, schema)
+    n_chars = F.char_length("_text")
+    cols = []
+    for i, f in enumerate(docs.schema.fields):
+        kept = F.col("_text") if f.name == "text" else F.col(f"_c{i}")
+        if f.name == "n_chars":
+            kept = F.when(F.col("_changed"), n_chars).otherwise(kept)
+        cols.append(kept.cast(f.dataType).alias(f.name))
+    return out.select(*cols)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False).drop("kept", "text_md5")
+    return remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 OP5_SQL = r"""

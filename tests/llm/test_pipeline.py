@@ -85,3 +85,19 @@ def test_run_is_its_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert Counter(map(tuple, docs.collect())) == Counter(map(tuple, corpus_pipeline.run(spark, SF).collect()))
+
+
+def test_cut_rows_keep_their_columns_without_a_join(spark):
+    """The whole rows are neither joined nor shuffled to get their cut texts back."""
+    rows = [(i, t, None if n % 3 == 0 else f"l{n}", [n, None], n) for n, (i, t, _) in enumerate(ROWS)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, extra array<int>, n_chars int")
+    out = corpus_pipeline.cut_repeated_passages(spark, docs, SF)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["extra"][0]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, t, lang, extra, n in rows:
+        r = got[n]
+        assert (r["doc_id"], r["lang"], r["extra"]) == (i, lang, extra)
+        assert r["n_chars"] == (n if r["text"] == t else len(r["text"]))
+    assert Counter((r["doc_id"], r["text"] if r["text"] in {t for _, t, _ in ROWS} else " ".join(words(r["text"]))) for r in got.values()) == cut(ROWS)
