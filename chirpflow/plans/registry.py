@@ -187,7 +187,8 @@ def q_archive_large(spark, sf_dir):
     """Each account as one document in a file of its own, split inside the document."""
     path = scratch_path(spark, "large-archives")
     whole = fx.archive_documents(spark, sf_dir, part=None)
-    whole.write.option("maxRecordsPerFile", 1).json(path)
+    # a file a document: tasks put their own files in place, the driver does not rename them one by one
+    whole.write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).json(path)
     return archives.read_large_archives(spark, path)
 
 

@@ -80,3 +80,24 @@ def test_large_archives_are_split_inside_the_document(spark, tmp_dir):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")
         assert sorted(map(str, got.collect())) == want, size
+
+
+def test_the_driver_renames_no_file_of_a_document(spark, tmp_dir, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from chirpflow.plans import registry
+
+    seen = {}
+
+    def options(self, get=DataFrameWriter.options, **given):
+        seen.update(given)
+        return get(self, **given)
+
+    monkeypatch.setattr(DataFrameWriter, "options", options)
+    monkeypatch.setattr(registry.archives, "read_large_archives", lambda spark, path: spark.read.text(path).selectExpr("value", "_metadata.file_path as file"))
+    rows = [(c, t, "user", f"text {t}") for c in range(6) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_dir}/conversations.parquet")
+    spark.sql("select 1L as o_orderkey, date'2024-01-01' as o_orderdate").write.parquet(f"{tmp_dir}/orders.parquet")
+    files = [r["file"] for r in registry.q_archive_large(spark, tmp_dir).collect()]
+    assert len(files) == len(set(files)) == 6  # one document in a file of its own
+    assert seen["mapreduce.fileoutputcommitter.algorithm.version"] == 2
